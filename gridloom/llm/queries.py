@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat_format, exact_dedup, line_dedup, mixing, token_files
+from gridloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, token_files
 
-MODULES = (chat_format, mixing, bpe, token_files, exact_dedup, line_dedup)
+MODULES = (chat_format, mixing, language_id, bpe, token_files, exact_dedup, line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
