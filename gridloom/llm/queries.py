@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, near_dup, token_files
+from gridloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, near_dup, nearest, token_files
 
-MODULES = (chat_format, mixing, language_id, bpe, token_files, exact_dedup, line_dedup, near_dup)
+MODULES = (chat_format, mixing, language_id, bpe, nearest, token_files, exact_dedup, line_dedup, near_dup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
