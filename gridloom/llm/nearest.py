@@ -152,7 +152,7 @@ def nearest(
     )
     queries = rows.where("asks").select(
         "id", "vector", (F.floor(draw / shards) % blocks).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
     )
 
     def find(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
