@@ -19,6 +19,7 @@ the order of their texts' hash; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import os
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -36,46 +37,59 @@ from gridloom.llm.bpe import _low, _low_only
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-KEPT, KEPT_LENGTH = 250_000, 64
+KEPT, KEPT_LENGTH = 500_000, 64
 ROWS = 200
 #: Documents that a reader returns at once.
 READ_DOCS = 500
 RECORD = np.dtype([("id", "<i8"), ("start", "<u8"), ("no_id", "u1")])
 PARTS = "part int, ids_path string, docs_path string, n_docs long, n_ids long, width int"
 
-_tokenizers: dict[bytes, tuple] = {}
+#: The characters that stand for bytes in byte-level vocabularies: itself if printable in Latin-1, else the next from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+BYTE_CHARACTERS = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + k) for k, b in enumerate(_HIDDEN)}
 
 
-def _tokenizer(definition: bytes):
-    key = xxhash.xxh128_digest(definition)
-    if key not in _tokenizers:
+class _Pieces(dict):
+    """Pre-token to its ids as little-endian unsigned integers, by the library's model."""
+
+    def __init__(self, definition: bytes):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_buffer(definition)
-        t.encode_special_tokens = True
-        _tokenizers[key] = t, {}
-    return _tokenizers[key]
-
-
-def encode_texts(definition: bytes, texts: list[str], width: int) -> list[bytes]:
-    """The ids of each text, without special tokens, as little-endian unsigned integers of width bytes."""
-    tokenizer, known = _tokenizer(definition)
-    kind = f"<u{width}"
-    pieces = [_low(t) if _low_only(t) else None for t in texts]
-    if len(known) > KEPT:
-        known.clear()
-    here = {p for own in pieces if own for p in own}
-    new = [p for p in here if p not in known]
-    extra = {}
-    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        (known if len(p) <= KEPT_LENGTH else extra)[p] = np.array(e.ids, kind).tobytes()
-    look = known if not extra else known | extra
-    whole = [t for t, own in zip(texts, pieces, strict=True) if own is None]
-    rest = iter(tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-    return [
-        np.array(next(rest).ids, kind).tobytes() if own is None else b"".join([look[p] for p in own]) for own in pieces
-    ]
+        self.tokenizer = Tokenizer.from_buffer(definition)
+        self.tokenizer.encode_special_tokens = True
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = {2: "H", 4: "I"}[self.width]
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if _low_only(text):
+            return b"".join(map(self.__getitem__, _low(text)))
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_pieces: dict[bytes, _Pieces] = {}
+
+
+def pieces(definition: bytes) -> _Pieces:
+    """The encoder of a tokenizer file, made once in each worker."""
+    key = xxhash.xxh128_digest(definition)
+    if key not in _pieces:
+        _pieces[key] = _Pieces(definition)
+    return _pieces[key]
 
 
 def write_tokens(
@@ -89,11 +103,11 @@ def write_tokens(
     """Writes the files under folder (a URI that all executors reach); returns the table of parts with base_docs and base_ids."""
     with open(path or public_tokenizers.path(TOKENIZER), "rb") as f:
         definition = f.read()
-    width = 2 if _tokenizer(definition)[0].get_vocab_size() <= 1 << 16 else 4
+    width = pieces(definition).width
     end = int(end_id).to_bytes(width, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, encode = TaskContext.get().partitionId(), pieces(definition).encode
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         names = [f"part-{part:06d}-{uuid.uuid4().hex}.{kind}" for kind in ("ids", "docs")]
@@ -102,7 +116,7 @@ def write_tokens(
             for batch in batches:
                 for at in range(0, batch.num_rows, ROWS):
                     rows = batch.slice(at, ROWS)
-                    data = [x + end for x in encode_texts(definition, rows.column(1).to_pylist(), width)]
+                    data = [encode(t) + end for t in rows.column(1).to_pylist()]
                     sizes = np.array([len(x) // width for x in data], np.int64)
                     record = np.zeros(len(data), RECORD)
                     record["id"] = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False)
