@@ -174,11 +174,11 @@ def nearest(
         projection = rng.standard_normal((points.shape[1], PROJECTED))
         skip = [{alone[i]} if i in alone else set() for i in q_ids]
         found, _ = search(unit, asks, projection, k, skip)
-        norms = np.linalg.norm(points, axis=1)
+        norms = np.sqrt((points * points).sum(1))
         out = []
         for i, v, best in zip(q_ids, wanted, found, strict=True):
             mine = [p for _, p in best]
-            score = points[mine] @ v / (norms[mine] * np.linalg.norm(v)) if mine else []
+            score = (points[mine] * v).sum(1) / (norms[mine] * np.sqrt((v * v).sum())) if mine else []
             out += [(i, x, s) for p, s in zip(mine, score, strict=True) for x in held[p] if x != i]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype(
             {"query_id": "int64", "id": "int64", "score": "float64"}
