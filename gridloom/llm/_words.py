@@ -35,8 +35,8 @@ def _powers_to(n: int) -> list[np.ndarray]:
 class Words:
     """Words of texts: bytes of starts[i]:ends[i] of data; those of text d are first[d]:first[d + 1]."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        parts = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        parts = [t.encode("utf-8", "replace") if isinstance(t, str) else t or b"" for t in texts]
         self.data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
         if lower:
             self.data = LOWER[self.data]
