@@ -1,7 +1,74 @@
-"""placeholder until the stages exist"""
-STAGES = []
+"""A training-corpus pipeline over ``documents``; each stage's rows are written and read again for the next.
+
+Stages and their rules: documents without a letter, or whose most common language has less than half
+of the letters, go; repeated three-line windows go; one document of each near-duplicate group stays;
+documents are repeated or left out so that sources meet their targets; texts are encoded.
+A document that loses all its lines stays, as an empty text, until mixing, which takes no words of it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, language_id, line_dedup, mixing, near_dup
+from gridloom.llm._shared import cut, table
+
+LEAST_SCORE = 0.5
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns as one, so that no column clashes with an operator's results."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
+def _with_text(docs: DataFrame, packed: DataFrame, **changed) -> DataFrame:
+    """The columns of docs from packed rows, some replaced."""
+    return packed.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of one language, named in lang; the model learns from all labelled documents' bounded sample."""
+    found = language_id.identify(_packed(docs), language_id.learn(docs))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _with_text(docs, kept, lang=F.col("lang_pred"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_packed(docs))
+    return _with_text(docs, kept, text=F.col("text"), n_chars=F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group; rows that repeat an id are one document, rows without id all stay."""
+    kept = near_dup.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
+    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(docs.where("doc_id is null"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; rows that repeat an id are taken equally often."""
+    plan = mixing.mix_sources(docs).groupBy("id").agg(F.max("reps").alias("reps"))
+    taken = _packed(docs).join(plan.where("reps > 0"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return _with_text(docs, taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "reps"))))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.bpe_encode(docs, decoded=True))
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources", mixture),
+    ("byte-level BPE", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
