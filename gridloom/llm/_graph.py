@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut
+from gridloom.llm._shared import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,9 +14,11 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins every node's smallest neighbour to its links; a node with very many links is
     one that adaptive execution splits, and no node's links are gathered in one row.
     """
-    edges, state = links.select("a", "b").where("a <> b").distinct(), None
+    edges, state, last = links.select("a", "b").where("a <> b").distinct(), None, []
     while True:
         edges = cut(_star(_star(edges, large=True), large=False), "edges")
+        discard(*last)
+        last = [edges]
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break

@@ -10,9 +10,11 @@ full sets.
 
 Work that grows with the square of a group's size is avoided in steps, none of which loses a link:
 * Documents with one set are one class; only its smallest id is compared.
-* In each band bucket, members are first compared with one pivot each, in a few rounds with other
-  pivots, and only in buckets that still hold more than one component.
-* What is left, pairs from different components in a bucket, is compared pair by pair.
+* In each band bucket, members are first compared with one pivot: the member with the most company
+  over all its buckets, which for copies that were altered is the text they come from.
+* Buckets that still hold more than one component are compared with another pivot each.
+* What is left, pairs from different components in a bucket, is compared pair by pair, if the pair
+  can reach the threshold with the shingles of each that occur in any other text that is left.
 Linked documents form components by alternating stars.
 
 With 32 bands of 4 registers a pair at similarity 0.85 shares no band with probability 6e-11.
@@ -30,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._graph import components
-from gridloom.llm._shared import cut, table
+from gridloom.llm._shared import cut, discard, table
 from gridloom.llm._words import Words, grams, mix
 
 SHINGLE = 5
@@ -45,8 +47,6 @@ REGISTERS = BANDS * ROWS_PER_BAND
 RATE, BASE, LARGEST = 20.0, 1.001, (1 << 16) - 1
 #: Estimates this many standard errors below the threshold are not verified.
 ERRORS = 5.0
-#: Rounds of comparisons with pivots before pairs are compared one by one.
-ROUNDS = 3
 DOCS = 200
 _TURN = np.random.default_rng(21).integers(1, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.random.default_rng(22).integers(1, 1 << 63, (BANDS, ROWS_PER_BAND), np.uint64) | np.uint64(1)
@@ -215,20 +215,24 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         likely = _pairs_of(pairs, sketches, "regs", "n").mapInArrow(_likely, "a long, b long")
         return cut(_pairs_of(likely, sets, "set").mapInArrow(_verified, "a long, b long"), "links")
 
-    links = tested(_with_pivots(members.withColumn("component", F.col("node")), 0))
-    for seed in range(1, ROUNDS + 1):
-        rest = _apart(members, components(links))
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    alone = members.join(company, "node").withColumn("component", F.col("node"))
+    links = tested(_with_pivots(alone, F.struct("company", "node")))
+    for last in (False, True):
+        found = components(links)
+        rest = _apart(members, found)
         if not rest.limit(1).count():
-            return links
-        pairs = _with_pivots(rest, seed) if seed < ROUNDS else _one_by_one(rest)
+            break
+        pairs = _one_by_one(rest, sets) if last else _with_pivots(rest, F.xxhash64("node"))
         links = links.unionByName(tested(pairs))
+    discard(members, sets, sketches)
     return links
 
 
-def _with_pivots(members: DataFrame, seed: int) -> DataFrame:
-    """Each member with its bucket's pivot, the member whose hash is smallest; pairs of one component are left out."""
-    pivot = F.min_by("node", F.xxhash64(F.lit(seed), "node")).alias("pivot")
-    owner = F.min_by("component", F.xxhash64(F.lit(seed), "node")).alias("owner")
+def _with_pivots(members: DataFrame, rank: Column) -> DataFrame:
+    """Each member with its bucket's pivot, the member of largest rank; pairs of one component are left out."""
+    pivot = F.max_by("node", rank).alias("pivot")
+    owner = F.max_by("component", rank).alias("owner")
     return (
         members.join(members.groupBy("key").agg(pivot, owner), "key")
         .where("component <> owner")
@@ -242,16 +246,36 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     own = (
         members.where("size > 2")
         .join(found, "node", "left")
-        .select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
     mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return cut(own.join(mixed.select("key"), "key"), "apart")
 
 
-def _one_by_one(members: DataFrame) -> DataFrame:
-    """All pairs of members of one bucket that are in different components."""
-    other = members.select("key", F.col("node").alias("b"), F.col("component").alias("owner"))
-    return members.withColumnRenamed("node", "a").join(other, "key").where("a < b and component <> owner").select("a", "b").distinct()
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "element"])
+
+
+def _one_by_one(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of members of one bucket that are in different components and can reach the threshold.
+
+    Of a set's elements only those that occur in another set that is left can be shared with any.
+    """
+    left = sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_elements, "node long, element long")
+    common = left.groupBy("element").agg(F.count(F.lit(1)).alias("in_sets"))
+    shared = left.join(common, "element").groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_sets") > 1).alias("shared")
+    )
+    one = members.join(shared, "node")
+    other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "shared")])
+    most = F.least("shared", "shared_b")
+    can = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
+    near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & can
+    pairs = one.join(other, (one["key"] == other["key"]) & near)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
