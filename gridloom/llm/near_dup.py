@@ -209,7 +209,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         docs.join(compared.withColumnRenamed("node", "id"), "id", "left_semi").mapInArrow(_sets, "node long, set binary"),
         "sets",
     )
-    sketches = cut(classes.join(compared, "node", "left_semi").select("node", "regs", "n"), "compared")
+    sketches = cut(classes.join(compared, "node", "left_semi").select("node", "regs", "n", "bands"), "compared")
 
     def tested(pairs: DataFrame) -> DataFrame:
         likely = _pairs_of(pairs, sketches, "regs", "n").mapInArrow(_likely, "a long, b long")
@@ -223,7 +223,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = _apart(members, found)
         if not rest.limit(1).count():
             break
-        pairs = _one_by_one(rest, sets) if last else _with_pivots(rest, F.xxhash64("node"))
+        pairs = _one_by_one(rest, sets, sketches) if last else _with_pivots(rest, F.xxhash64("node"))
         links = links.unionByName(tested(pairs))
     discard(members, sets, sketches)
     return links
@@ -259,23 +259,27 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "element"])
 
 
-def _one_by_one(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _one_by_one(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs of members of one bucket that are in different components and can reach the threshold.
 
-    Of a set's elements only those that occur in another set that is left can be shared with any.
+    Of a set's elements only those that occur in another set that is left can be shared with any. A
+    pair is made in one of the buckets it shares, the one of smallest key; if that bucket isn't among
+    those left it held this pair alone and has been compared.
     """
     left = sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_elements, "node long, element long")
     common = left.groupBy("element").agg(F.count(F.lit(1)).alias("in_sets"))
     shared = left.join(common, "element").groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_sets") > 1).alias("shared")
     )
-    one = members.join(shared, "node")
-    other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "shared")])
+    one = members.join(shared, "node").join(sketches.select("node", "bands"), "node")
+    columns = ("key", "node", "component", "n", "shared", "bands")
+    other = one.select(*[F.col(c).alias(f"{c}_b") for c in columns])
     most = F.least("shared", "shared_b")
     can = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
     near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & can
-    pairs = one.join(other, (one["key"] == other["key"]) & near)
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    here = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
+    pairs = one.join(other, (F.col("key") == F.col("key_b")) & near & here)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
