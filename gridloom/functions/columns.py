@@ -78,6 +78,12 @@ def between_times(ts: str, start: str, end: str) -> Column:
     return F.col(ts).between(F.lit(start).cast("timestamp_ntz"), last)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's coefficient of pairs (both null or neither) as an aggregate; null if either side is constant."""
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varied, F.covar_pop(x, y) / F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0)))
+
+
 def hour_of(ts: Column | str) -> Column:
     """The start of the hour, without a time zone (date_trunc alone would bring the session's in)."""
     return F.date_trunc("hour", ts).cast("timestamp_ntz")

@@ -78,9 +78,10 @@ def _rings_of(data) -> list | None:
     """Rings of a WKB point, polygon or multipolygon (two or more dimensions; the first two are kept)."""
     if data is None:
         return None
-    if isinstance(data, str):
-        data = bytes.fromhex(data.strip())
-    data, at = bytes(data), 0
+    try:
+        data, at = bytes.fromhex(data.strip()) if isinstance(data, str) else bytes(data), 0
+    except ValueError:
+        return None
 
     def read(order: str, form: str):
         nonlocal at

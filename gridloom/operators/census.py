@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.columns import correlation
 from gridloom.operators.timeseries import monthly_energy
 
 POPULATION = "population"
@@ -46,7 +47,7 @@ def select_features(
     pairs = own.join(good.select("feature"), "feature").join(monthly.where(F.col("kwh").isNotNull()), key).select("feature", "ts", F.col("value").alias("x"), F.col("kwh").alias("y"))
     if method == "spearman":
         pairs = pairs.select("feature", "ts", *[_rank(c).alias(c) for c in ("x", "y")])
-    by_month = pairs.groupBy("feature", "ts").agg(F.abs(F.corr("x", "y")).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs)
+    by_month = pairs.groupBy("feature", "ts").agg(F.abs(correlation("x", "y")).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pairs)
     scores = by_month.where(F.col("r").isNotNull() & ~F.isnan("r")).groupBy("feature").agg(F.avg("r").alias("score"), F.count(F.lit(1)).alias("n_months"))
     return scores.orderBy(F.desc("score"), "feature").limit(max_features)
 
@@ -128,7 +129,7 @@ def error_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", predict
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(e).alias("mbe"),
         (100 * F.avg(F.when(both & (F.abs(t) >= eps), F.abs(e) / F.abs(t)))).alias("mape_pct"),
-        F.when(n >= 2, F.corr(F.when(both, t), F.when(both, p))).alias("corr"),
+        F.when(n >= 2, correlation(F.when(both, t), F.when(both, p))).alias("corr"),
     )
 
 

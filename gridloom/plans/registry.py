@@ -59,12 +59,12 @@ def regularize(spark, d):
 @query(
     with_tables(
         "full_load",
-        """SELECT code, count(*) AS n_rows, count(*) - count(kwh) AS n_missing, round(count(kwh) / count(*), 6) AS coverage,
-       round(avg(kwh), 6) AS mean_kwh, round(quantile_cont(kwh, 0.95), 6) AS p95_kwh, round(max(kwh), 6) AS max_kwh FROM full_load GROUP BY code""",
+        """SELECT code, count(*) AS n_rows, count(*) - count(kwh) AS n_missing, round(count(kwh) / count(*), 8) AS coverage,
+       round(avg(kwh), 8) AS mean_kwh, round(quantile_cont(kwh, 0.95), 8) AS p95_kwh, round(max(kwh), 8) AS max_kwh FROM full_load GROUP BY code""",
     )
 )
 def qc_profile(spark, d):
-    return rounded(quality.qc_profile(fx.load_gappy(spark, d)))
+    return rounded(quality.qc_profile(fx.load_gappy(spark, d)), 8)
 
 
 FILL = """p AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts) AS i FROM {source}), n AS (

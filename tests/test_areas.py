@@ -15,7 +15,7 @@ RING = "code string, cx double, cy double, rings array<array<struct<x:double,y:d
 
 
 def square(x, y, r):
-    return [[{"x": x + a * r, "y": y + b * r} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]]
+    return [[{"x": float(x + a * r), "y": float(y + b * r)} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]]
 
 
 def units(spark, *rows):
@@ -130,7 +130,7 @@ def town(spark):
         code = f"A{k:02d}"
         facts += [(code, "f", float(k)), (code, "noise", float(k * 7 % 11)), (code, "flat", 1.0), (code, "population", 100.0 + (100 * (k == 17)))]
         if k < 16:
-            load += [(code, START + dt.timedelta(days=30 * m, hours=h), (k + 1.0) * (h + 1)) for m in range(3) for h in range(3)]
+            load += [(code, START + dt.timedelta(days=31 * m, hours=h), (k + 1.0) * (h + 1)) for m in range(3) for h in range(3)]
     c = spark.createDataFrame(facts, "code string, feature string, value double")
     return spark.createDataFrame(load, "code string, ts timestamp_ntz, kwh double"), c, c.select("code").distinct()
 
