@@ -13,8 +13,8 @@ Work that grows with the square of a group's size is avoided in steps, none of w
 * In each band bucket, members are first compared with one pivot: the member with the most company
   over all its buckets, which for copies that were altered is the text they come from.
 * Buckets that still hold more than one component are compared with another pivot each.
-* What is left, pairs from different components in a bucket, is compared pair by pair, if the pair
-  can reach the threshold with the shingles of each that occur in any other text that is left.
+* What is left, pairs from different components in a bucket, is compared pair by pair, if bitmaps of
+  the two sets leave it possible that they reach the threshold.
 Linked documents form components by alternating stars.
 
 With 32 bands of 4 registers a pair at similarity 0.85 shares no band with probability 6e-11.
@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ BANDS, ROWS_PER_BAND = 32, 4
 REGISTERS = BANDS * ROWS_PER_BAND
 #: Rate of the exponential hash, ratio of neighbouring register values, and the largest register.
 RATE, BASE, LARGEST = 20.0, 1.001, (1 << 16) - 1
+#: Bits of the bitmap of a set's hashes, by which pairs are left out exactly.
+BITS = 2048
 #: Estimates this many standard errors below the threshold are not verified.
 ERRORS = 5.0
 DOCS = 200
@@ -94,10 +98,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, DOCS)
             shingles, begin = shingle_sets(part.column(1).to_pylist(), SHINGLE)
             n, d1, d2 = (np.zeros(part.num_rows, np.int64) for _ in range(3))
+            bits: list = [None] * part.num_rows
             full = np.flatnonzero(np.diff(begin))
             for d in full.tolist():
                 own = np.unique(shingles[begin[d] : begin[d + 1]])
                 n[d] = len(own)
+                mark = np.zeros(BITS, np.uint8)
+                mark[own % np.uint64(BITS)] = 1
+                bits[d] = np.packbits(mark).view(np.int64)
                 d1[d], d2[d] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
             kept = np.append(begin[full], begin[-1])
             found = registers(shingles, kept) if len(full) else np.zeros((0, REGISTERS), np.uint16)
@@ -110,8 +118,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, d in enumerate(full.tolist()):
                 regs[d], bands[d] = found[k].tobytes(), keys[k]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *map(pa.array, (n, d1, d2)), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n", "d1", "d2", "regs", "bands"],
+                [part.column(0), *map(pa.array, (n, d1, d2)), pa.array(regs, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (bits, bands))],
+                ["id", "n", "d1", "d2", "regs", "bits", "bands"],
             )
 
 
@@ -178,12 +186,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id is component_id)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = cut(
-        docs.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, regs binary, bands array<long>"), "sketched"
+        docs.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, regs binary, bits array<long>, bands array<long>"), "sketched"
     )
     classes = cut(
         sketched.where("n > 0 and id is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "regs", "bands")]),
+        .agg(F.min("id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "regs", "bits", "bands")]),
         "classes",
     )
     found = components(_links(docs, classes))
@@ -209,7 +217,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         docs.join(compared.withColumnRenamed("node", "id"), "id", "left_semi").mapInArrow(_sets, "node long, set binary"),
         "sets",
     )
-    sketches = cut(classes.join(compared, "node", "left_semi").select("node", "regs", "n", "bands"), "compared")
+    sketches = cut(classes.join(compared, "node", "left_semi").select("node", "regs", "n", "bits", "bands"), "compared")
 
     def tested(pairs: DataFrame) -> DataFrame:
         likely = _pairs_of(pairs, sketches, "regs", "n").mapInArrow(_likely, "a long, b long")
@@ -223,7 +231,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = _apart(members, found)
         if not rest.limit(1).count():
             break
-        pairs = _one_by_one(rest, sets, sketches) if last else _with_pivots(rest, F.xxhash64("node"))
+        pairs = _one_by_one(rest, sketches) if last else _with_pivots(rest, F.xxhash64("node"))
         links = links.unionByName(tested(pairs))
     discard(members, sets, sketches)
     return links
@@ -252,33 +260,25 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut(own.join(mixed.select("key"), "key"), "apart")
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = np.frombuffer(data.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], ["node", "element"])
-
-
-def _one_by_one(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+def _one_by_one(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs of members of one bucket that are in different components and can reach the threshold.
 
-    Of a set's elements only those that occur in another set that is left can be shared with any. A
-    pair is made in one of the buckets it shares, the one of smallest key; if that bucket isn't among
-    those left it held this pair alone and has been compared.
+    A bit that only one side has stands for a shingle, at least, that only that side has: this bounds
+    what the two share from above. A pair is made in one of the buckets it shares, the one of smallest
+    key; if that bucket isn't among those left it held this pair alone and has been compared.
     """
-    left = sets.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(_elements, "node long, element long")
-    common = left.groupBy("element").agg(F.count(F.lit(1)).alias("in_sets"))
-    shared = left.join(common, "element").groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_sets") > 1).alias("shared")
-    )
-    one = members.join(shared, "node").join(sketches.select("node", "bands"), "node")
-    columns = ("key", "node", "component", "n", "shared", "bands")
+    columns = ("key", "node", "component", "n", "bits", "bands")
+    one = members.join(sketches.select("node", "n", "bits", "bands"), "node").select(*columns)
     other = one.select(*[F.col(c).alias(f"{c}_b") for c in columns])
-    most = F.least("shared", "shared_b")
+
+    def only(x: str, y: str) -> Column:
+        return reduce(add, [F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)])
+
+    most = F.least(F.col("n") - only("bits", "bits_b"), F.col("n_b") - only("bits_b", "bits"))
+    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
     can = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
-    near = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & can
     here = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
-    pairs = one.join(other, (F.col("key") == F.col("key_b")) & near & here)
+    pairs = one.join(other, (F.col("key") == F.col("key_b")) & apart & can & here)
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
