@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from gridloom.llm import (
+    _graph,
     bpe,
     chat_format,
     exact_dedup,
@@ -198,6 +199,21 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("alone", [0, 10**6])
+def test_components(spark, monkeypatch, alone):
+    monkeypatch.setattr(_graph, "ALONE", alone)
+    rng = random.Random(9)
+    links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5)]
+    group = {n: n for pair in links for n in pair}
+    for _ in range(200):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    got = _graph.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got if r.node != r.component} == {n: g for n, g in group.items() if n != g}
+    assert _graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(3)
     for j in (0.3, 0.6, 0.85, 1.0):
