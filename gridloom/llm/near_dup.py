@@ -48,7 +48,7 @@ REGISTERS = BANDS * ROWS_PER_BAND
 #: Rate of the exponential hash, ratio of neighbouring register values, and the largest register.
 RATE, BASE, LARGEST = 20.0, 1.001, (1 << 16) - 1
 #: Bits of the bitmap of a set's hashes, by which pairs are left out exactly.
-BITS = 2048
+BITS = 1024
 #: Estimates this many standard errors below the threshold are not verified.
 ERRORS = 5.0
 DOCS = 200
@@ -276,7 +276,8 @@ def _one_by_one(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
     most = F.least(F.col("n") - only("bits", "bits_b"), F.col("n_b") - only("bits_b", "bits"))
     apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
-    can = 100 * most >= PERCENT * (F.col("n") + F.col("n_b") - most)
+    sizes = 100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")
+    can = sizes & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("n_b")))
     here = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
     pairs = one.join(other, (F.col("key") == F.col("key_b")) & apart & can & here)
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
