@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import first_numeric, first_present, identifier, number, whole_number
 
-#: Source columns of each standard column, in order of preference (fixed values of the source data).
+# Source columns of each standard column in order of preference, the note and the default
+# coordinate system of the hand-over table.
 NUMBERS = {
     "year_built": ["ANNEE_CONS"],
     "num_dwellings": ["NOMBRE_LOG"],

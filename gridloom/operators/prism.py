@@ -19,7 +19,8 @@ from gridloom.operators.timeseries import align_weather
 from gridloom.operators.weather_model import heating_change_point, normalize_weather, per_capita
 
 MODELS = ("2ch", "2cl", "3seg")
-#: Ranges of the heating and cooling breaks; the cold break is at or below 0.
+# Ranges of the heating and cooling breaks (the cold break is at or below 0), fewest points
+# of a fit and, beyond a break, of a valid segment.
 HEATING, COOLING = (2.0, 20.0), (15.0, 25.0)
 COARSE, FINE = 0.5, 0.05
 LEAST_POINTS, BEYOND = 20, 5

@@ -17,6 +17,7 @@ from gridloom.functions.columns import is_weekday, months_of
 from gridloom.operators.timeseries import align_weather, interpolate_both
 from gridloom.operators.weather_model import normalize_weather, per_capita
 
+# Winter months, first and last morning and evening hours, the label of undecided days.
 WINTER = (11, 12, 1, 2, 3, 4)
 AM, PM = (6, 11), (16, 21)
 NO_DECISION = "no_decision"

@@ -13,6 +13,7 @@ from gridloom.functions.columns import identifier, number, rename_first_present
 from gridloom.functions.geometry import from_geojson
 from gridloom.operators.buildings import standardize_buildings
 
+# The zone and column names of the source files.
 ZONE = "America/Toronto"
 RAW = ("CP3", "DateIntervalUTC", "kWh")
 TIMES = ["dt_local", "date_time_local", "datetime", "timestamp", "time"]
