@@ -147,23 +147,22 @@ def asof_nearest(
 ) -> DataFrame:
     """Each left row with value from the right row of the nearest time, the later one on ties.
 
-    Both sides are ordered together by time within by: one shuffle, no range join.
+    Only the distinct times of both sides are ordered together; the rows of left then join on the time.
+    So a place with very many rows costs no more than its times, and there is no range join.
     """
-    by = by or []
-    rest = [c for c in left.columns if c not in (*by, ts)]
-    a = left.select(*by, ts, F.struct(*rest).alias("_row") if rest else F.struct(F.lit(1)).alias("_row"), F.lit(None).alias("_hit"))
-    hit = F.struct(F.col(ts).alias("at"), F.col(value).alias("value"))
-    b = right.where(F.col(value).isNotNull()).select(*by, ts, F.lit(None).alias("_row"), hit.alias("_hit"))
-    order = Window.partitionBy(*by).orderBy(ts)
-    both = a.unionByName(b)
+    on = [*(by or []), ts]
+    times = left.select(*on).distinct().withColumn("_hit", F.lit(None)).withColumn("_asks", F.lit(True))
+    hit = F.struct(F.col(ts).alias("at"), F.col(value).alias("value")).alias("_hit")
+    given = right.where(F.col(value).isNotNull()).select(*on, hit, F.lit(False).alias("_asks"))
+    order = Window.partitionBy(*on[:-1]).orderBy(ts)
     before = F.last("_hit", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first("_hit", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumns({"_b": before, "_a": after}).where(F.col("_row").isNotNull())
+    found = times.unionByName(given).withColumns({"_b": before, "_a": after}).where("_asks")
     since, until = (F.unix_micros(F.col(x).cast("timestamp")) for x in ("_b.at", "_a.at"))
     now = F.unix_micros(F.col(ts).cast("timestamp"))
     later = F.col("_b").isNull() | (until - now <= now - since)
     nearest = F.when(F.col("_a").isNotNull() & later, F.col("_a.value")).otherwise(F.col("_b.value"))
-    return found.select(*by, ts, *[F.col(f"_row.{c}").alias(c) for c in rest], nearest.alias(value))
+    return left.join(found.select(*on, nearest.alias(value)), on, "left")
 
 
 def area_metric(df: DataFrame, how: str = "mean", key: str = "code", ts: str = "ts", value: str = "kwh") -> DataFrame:
