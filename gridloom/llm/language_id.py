@@ -39,8 +39,8 @@ SWITCH, LOWEST = 6.0, -8.0
 UNKNOWN = "und"
 #: A language uses a script if so large a share of its training words does.
 LEAST_SHARE = 0.001
-#: Documents handled together, and words scored together.
-ROWS, WORDS = 2000, 100_000
+#: Documents that Viterbi takes together, documents whose words are scored together, and words at once.
+ROWS, SCORED, WORDS = 2000, 100, 100_000
 RESULTS = "lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>"
 
 CLASSES = 64
@@ -163,6 +163,18 @@ def _scores(codes: np.ndarray, begins: np.ndarray, scripts: np.ndarray, model: M
     return out
 
 
+def _scored(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores and letters of each word, words of each text, and whether it has a letter."""
+    data, starts, has = _lowered(texts)
+    codes, begins, at = _words(data)
+    if len(begins) < 2:
+        return np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64), has
+    doc = np.searchsorted(starts, at[begins[:-1]], side="right") - 1
+    scripts = np.bitwise_or.reduceat(SCRIPT[data[at]], begins[:-1])
+    score = _scores(codes, begins, scripts, model) if model.langs else np.zeros((len(doc), 0), np.float32)
+    return score, np.diff(begins), np.bincount(doc, minlength=len(texts)), has
+
+
 def viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best language of every word; documents are rows first to first + size of score."""
     order = np.argsort(-size, kind="stable")
@@ -196,18 +208,16 @@ def viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray, switch: floa
 def label(texts: list[str | None], model: Model) -> list[pa.Array]:
     """lang_pred, score and spans of each text."""
     n, langs = len(texts), model.langs
-    data, starts, has = _lowered(texts)
-    codes, begins, at = _words(data)
-    words = len(begins) - 1
-    doc = np.searchsorted(starts, at[begins[:-1]], side="right") - 1 if words else np.zeros(0, np.int64)
-    size = np.bincount(doc, minlength=n)
+    parts = [_scored(texts[a : a + SCORED], model) for a in range(0, n, SCORED)]
+    score, letters, size, has = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words = len(letters)
+    doc = np.repeat(np.arange(n), size)
     first = np.cumsum(size) - size
     best, share = [UNKNOWN] * n, np.zeros(n)
     spans = [[] for _ in range(n)]
     if words and langs:
-        scripts = np.bitwise_or.reduceat(SCRIPT[data[at]], begins[:-1])
-        path = viterbi(_scores(codes, begins, scripts, model), first, size)
-        held = np.bincount(doc * len(langs) + path, weights=np.diff(begins), minlength=n * len(langs))
+        path = viterbi(score, first, size)
+        held = np.bincount(doc * len(langs) + path, weights=letters, minlength=n * len(langs))
         held = held.reshape(n, len(langs))
         known = has & (size > 0)
         share = np.where(known, held.max(1) / np.maximum(held.sum(1), 1), 0.0)
