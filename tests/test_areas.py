@@ -291,3 +291,12 @@ def test_columns(spark):
     times = spark.createDataFrame([(dt.datetime(2024, 1, d, 23),) for d in (1, 2, 3)], "ts timestamp_ntz")
     assert times.where(columns.between_times("ts", "2024-01-01", "2024-01-02")).count() == 2
     assert times.where(columns.between_times("ts", "2024-01-01 23:00:00", "2024-01-02 22:00:00")).count() == 1
+
+
+def test_dissolve_and_inspect(spark):
+    two = units(spark, ("A", 0, 0, 1), ("A", 5, 0, 1), ("B", 9, 0, 1))
+    got = {r.code: len(r.rings) for r in spatial.dissolve(two, ["code"]).collect()}
+    assert got == {"A": 2, "B": 1}
+    assert readers.inspect_tables({"two": two, "none": two.limit(0)}) == {"two": 3, "none": 0}
+    c = spark.createDataFrame([("A", 1), ("A", 1), ("B", 2)], "code string, v int")
+    assert readers.first_census_row(c).count() == 2
