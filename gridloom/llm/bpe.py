@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import table
+from gridloom.llm._shared import table, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens kept per worker, and their longest length.
@@ -183,7 +183,7 @@ def bpe_encode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(rank_file)
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids = [e.encode(t) for t in part.column(1).to_pylist()]
@@ -203,7 +203,7 @@ def bpe_decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: st
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(rank_file)
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 out = pa.array([e.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())

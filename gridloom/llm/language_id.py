@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import table
+from gridloom.llm._shared import table, trimmed
 
 #: Expected number of sampled training documents of each language.
 PER_LANG = 1500
@@ -111,7 +111,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = rows.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             own = batch.column(0).to_numpy(zero_copy_only=False)
             texts = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(own)):
@@ -239,7 +239,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     place = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for a in range(0, batch.num_rows, ROWS):
                 part = batch.slice(a, ROWS)
                 out = label(part.column(place).to_pylist(), model)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._graph import components
-from gridloom.llm._shared import cut, discard, table
+from gridloom.llm._shared import cut, discard, table, trimmed
 from gridloom.llm._words import Words, grams, mix
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def registers(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             part = batch.slice(a, DOCS)
             shingles, begin = shingle_sets(part.column(1).to_pylist(), SHINGLE)
@@ -124,7 +124,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             part = batch.slice(a, DOCS)
             shingles, begin = shingle_sets(part.column(1).to_pylist(), SHINGLE)
@@ -152,7 +152,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, ste
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = PERCENT / 100
     least = t - ERRORS * np.sqrt(t * (1 - t) / REGISTERS)
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
@@ -163,7 +163,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))

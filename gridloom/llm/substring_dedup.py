@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut, table
+from gridloom.llm._shared import cut, table, trimmed
 from gridloom.llm._words import Words, grams, mix
 
 WINDOW, GRAM = 50, 10
@@ -76,7 +76,7 @@ def segments_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             part = batch.slice(a, DOCS)
             words = Words(part.column(2).to_pylist())
@@ -98,7 +98,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["d1", "d2", "doc", "low", *CONTENT, "segment"]
     types = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             out: list[list] = [[] for _ in names]
             for row in batch.slice(a, DOCS).to_pylist():
@@ -153,7 +153,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a group ends at a change of key once it has MEMORY words."""
     held: list[pa.RecordBatch] = []
     words, last = 0, None
-    for batch in batches:
+    for batch in trimmed(batches):
         keys = batch.column("key").to_numpy()
         counts = np.cumsum(batch.column("words").to_numpy())
         begin = 0
@@ -172,7 +172,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of segments, by two hashes of its words."""
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             part = batch.slice(a, DOCS)
             words = Words(part.column("segment").to_pylist())
@@ -189,7 +189,7 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         for a in range(0, batch.num_rows, DOCS):
             part = batch.slice(a, DOCS)
             counts, removed, texts = [], [], []

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut, partitions, scratch, table
+from gridloom.llm._shared import cut, partitions, scratch, table, trimmed
 from gridloom.llm.bpe import _low, _low_only
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -113,7 +113,7 @@ def write_tokens(
         names = [f"part-{part:06d}-{uuid.uuid4().hex}.{kind}" for kind in ("ids", "docs")]
         n_docs = n_ids = 0
         with fs.open_output_stream(f"{root}/{names[0]}") as ids, fs.open_output_stream(f"{root}/{names[1]}") as docs:
-            for batch in batches:
+            for batch in trimmed(batches):
                 for at in range(0, batch.num_rows, ROWS):
                     rows = batch.slice(at, ROWS)
                     data = [encode(t) + end for t in rows.column(1).to_pylist()]
@@ -170,7 +170,7 @@ def read_tokens(parts: DataFrame) -> DataFrame:
     """One row per document of the files: id, start (ids of all documents before it), ids (unsigned 32-bit)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for p in batch.to_pylist():
                 yield from _documents(p)
 
