@@ -464,14 +464,14 @@ def error_metrics(spark, d):
         "load_user census",
         IMPUTED
         + ", m AS (SELECT a.code, date_trunc('month', a.ts) AS m, sum(a.kwh) AS t FROM load_user a WHERE a.code % 10 = 3 GROUP BY 1, 2), q AS (SELECT code, date_trunc('month', ts) AS m, sum(kwh) AS p FROM imputed GROUP BY 1, 2) SELECT m.code, "
-        + ERRORS
+        + ERRORS.replace(", 6)", ", 9)")
         + " FROM m LEFT JOIN q ON q.code = m.code AND q.m = m.m GROUP BY m.code",
     )
 )
 def evaluate_holdout(spark, d):
     load = fx.load_user(spark, d)
     codes = [r[0] for r in load.where("code % 10 = 3").select("code").distinct().collect()]
-    return rounded(census.evaluate_holdout(load, fx.census_long(spark, d), load.select("code").distinct(), codes)[1])
+    return rounded(census.evaluate_holdout(load, fx.census_long(spark, d), load.select("code").distinct(), codes)[1], 9)
 
 
 NAMES = ["Population / Age / 0 to 14", "Population / Age/65 +", "Population /Sex", "Dwellings", "Dwellings / Type / Detached", "Population / Age / 0 to 14"]
