@@ -1,7 +1,8 @@
 """A training-corpus pipeline over ``documents``; each stage's rows are written and read again for the next.
 
 Stages and their rules: documents without a letter, or whose most common language has less than half
-of the letters, go; repeated three-line windows go; one document of each near-duplicate group stays;
+of the letters, go; repeated three-line windows go; one document of each near-duplicate group
+(sets of five-word shingles whose similarity is 0.8 or more) stays;
 documents are repeated or left out so that sources meet their targets; texts are encoded.
 A document that loses all its lines stays, as an empty text, until mixing, which takes no words of it.
 """
@@ -15,6 +16,8 @@ from gridloom.llm import bpe, language_id, line_dedup, mixing, near_dup
 from gridloom.llm._shared import cut, table
 
 LEAST_SCORE = 0.5
+#: Of the Jaccard similarity from which documents are near-duplicates; op10's own contract has another.
+NEAR_PERCENT = 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group; rows that repeat an id are one document, rows without id all stay."""
-    kept = near_dup.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
     single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(docs.where("doc_id is null"))
 

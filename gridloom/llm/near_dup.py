@@ -17,7 +17,8 @@ Work that grows with the square of a group's size is avoided in steps, none of w
   the two sets leave it possible that they reach the threshold.
 Linked documents form components by alternating stars.
 
-With 32 bands of 4 registers a pair at similarity 0.85 shares no band with probability 6e-11.
+With 32 bands of 4 registers a pair at similarity 0.85 shares no band with probability 6e-11, one at
+0.8 with 5e-8.
 The full sets are sets of 64-bit hashes of shingles.
 
 Defined results: null or wordless text has an empty set and links with nothing; fewer words than a
@@ -42,6 +43,7 @@ from gridloom.llm._shared import cut, discard, table, trimmed
 from gridloom.llm._words import Words, grams, mix
 
 SHINGLE = 5
+#: The threshold of op10; other callers give their own.
 PERCENT = 85
 BANDS, ROWS_PER_BAND = 32, 4
 REGISTERS = BANDS * ROWS_PER_BAND
@@ -149,20 +151,20 @@ def estimate(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, ste
     return np.take_along_axis(j, chance.argmax(1)[:, None], 1)[:, 0]
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = PERCENT / 100
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    t = percent / 100
     least = t - ERRORS * np.sqrt(t * (1 - t) / REGISTERS)
     for batch in trimmed(batches):
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in (2, 3))
             n_x, n_y = (part.column(k).to_numpy() for k in (4, 5))
-            near = 100 * np.minimum(n_x, n_y) >= PERCENT * np.maximum(n_x, n_y)
+            near = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
             near[near] = estimate(x[near], y[near], n_x[near], n_y[near]) >= least
             yield part.select(["a", "b"]).filter(pa.array(near))
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in trimmed(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -170,7 +172,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([x, y])
             both.sort(kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
+            keep.append(100 * shared >= percent * (len(both) - shared))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -182,8 +184,11 @@ def _pairs_of(df: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
     return df.select("a", "b", *[f"{c}_{s}" for c in columns for s in ("a", "b")])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id is component_id)."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable), kept (id is component_id).
+
+    Documents whose sets have a Jaccard similarity of percent / 100 or more are linked.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = cut(
         docs.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, regs binary, bits array<long>, bands array<long>"), "sketched"
@@ -194,7 +199,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.min("id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "regs", "bits", "bands")]),
         "classes",
     )
-    found = components(_links(docs, classes))
+    found = components(_links(docs, classes, percent))
     same = sketched.join(classes.select("d1", "d2", "node"), ["d1", "d2"], "left")
     one = same.where("id is not null").groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     if one.where("low <> high").limit(1).count():  # an id that repeats with other texts ties its classes
@@ -207,7 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that are linked."""
     exploded = classes.select("node", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -220,8 +225,8 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sketches = cut(classes.join(compared, "node", "left_semi").select("node", "regs", "n", "bits", "bands"), "compared")
 
     def tested(pairs: DataFrame) -> DataFrame:
-        likely = _pairs_of(pairs, sketches, "regs", "n").mapInArrow(_likely, "a long, b long")
-        return cut(_pairs_of(likely, sets, "set").mapInArrow(_verified, "a long, b long"), "links")
+        likely = _pairs_of(pairs, sketches, "regs", "n").mapInArrow(lambda b: _likely(b, percent), "a long, b long")
+        return cut(_pairs_of(likely, sets, "set").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "links")
 
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     alone = members.join(company, "node").withColumn("component", F.col("node"))
@@ -231,7 +236,7 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = _apart(members, found)
         if not rest.limit(1).count():
             break
-        pairs = _one_by_one(rest, sketches) if last else _with_pivots(rest, F.xxhash64("node"))
+        pairs = _one_by_one(rest, sketches, percent) if last else _with_pivots(rest, F.xxhash64("node"))
         links = links.unionByName(tested(pairs))
     discard(members, sets, sketches)
     return links
@@ -260,7 +265,7 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut(own.join(mixed.select("key"), "key"), "apart")
 
 
-def _one_by_one(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def _one_by_one(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of one bucket that are in different components and can reach the threshold.
 
     A bit that only one side has stands for a shingle, at least, that only that side has: this bounds
@@ -276,8 +281,8 @@ def _one_by_one(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
     most = F.least(F.col("n") - only("bits", "bits_b"), F.col("n_b") - only("bits_b", "bits"))
     apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
-    sizes = 100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")
-    can = sizes & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("n_b")))
+    sizes = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    can = sizes & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
     here = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
     pairs = one.join(other, (F.col("key") == F.col("key_b")) & apart & can & here)
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))

@@ -400,3 +400,18 @@ def test_pipeline(spark, rows):
     own = docs.select("decoded_sha256").collect()
     assert own and all(len(r[0]) == 64 for r in own)
     assert hashlib.sha256(b"").hexdigest() not in {r.decoded_sha256 for r in docs.where("n_tokens > 0").collect()}
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    """Pairs at 0.815 and 0.774: the stage drops one of the first pair, op10's threshold none."""
+    import corpus_pipeline as p
+
+    base = [[f"{c}{k}" for k in range(200)] for c in "ab"]
+    docs = [(k, " ".join(w), "en", "a") for k, w in enumerate(base)]
+    for k, (w, changed) in enumerate(zip(base, (4, 5), strict=True)):
+        docs.append((10 + k, " ".join(f"z{i}" if i % 30 == 20 and i // 30 < changed else x for i, x in enumerate(w)), "en", "a"))
+    x, y, u, v = (sets_of(docs[k][1]) for k in (0, 2, 1, 3))
+    assert 0.8 <= len(x & y) / len(x | y) < 0.85 and 0.75 < len(u & v) / len(u | v) < 0.8
+    df = frame(spark, docs)
+    assert {r.doc_id for r in p.near_duplicates(spark, df, "").collect()} == {0, 1, 11}
+    assert all(r.kept for r in near_dup.near_duplicates(df).collect())
