@@ -693,4 +693,4 @@ def rebuild_load(spark, d):
     known = fx.census_long(spark, d).withColumn("code", F.col("code").cast("string"))
     areas = fx.load_user(spark, d).select(F.col("code").cast("string").alias("code")).distinct()
     options = {"min_coverage": 0.0}
-    return rebuild(load, fx.weather_hourly(spark, d), known, areas, preprocess=options, treatment={"max_iter": 2})[0]
+    return rebuild(load, fx.weather_hourly(spark, d), known, areas, preprocess=options)[0]

@@ -52,3 +52,19 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_rebuild_load_treats_to_the_end(spark, monkeypatch):
+    """As registered, on three areas: none is left above the target before the operator's ten rounds."""
+    rebuild, reports = registry.rebuild, []
+
+    def kept(load, *a, **options):
+        out = rebuild(load.where("code in ('1', '2', '4')"), *a, **options)
+        reports.append(out[2])
+        return out
+
+    monkeypatch.setattr(registry, "rebuild", kept)
+    registry.QUERIES["rebuild_load"](spark, DATA)
+    found = reports[0].collect()
+    assert any(r.iterations > 2 for r in found)
+    assert all(r.status != "not_conformed" or r.iterations == 10 for r in found)
