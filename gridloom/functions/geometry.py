@@ -70,6 +70,22 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, holds) | (total % 2 == 1)
 
 
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: a corner of one is in the other, or two edges cross."""
+
+    def side(e: Column, p: Column) -> Column:
+        return F.signum((e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"]))
+
+    def cross(e: Column, f: Column) -> Column:
+        return (side(e, f["a"]) * side(e, f["b"]) < 0) & (side(f, e["a"]) * side(f, e["b"]) < 0)
+
+    def corner(one: Column, other: Column) -> Column:
+        return F.exists(F.flatten(one), lambda p: contains(other, p["x"], p["y"]))
+
+    edges = [F.flatten(F.transform(rings, _edges)) for rings in (a, b)]
+    return corner(a, b) | corner(b, a) | F.exists(edges[0], lambda e: F.exists(edges[1], lambda f: cross(e, f)))
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import box, centroid, contains, distance
+from gridloom.functions.geometry import box, centroid, contains, distance, intersects
 
 #: Rows up to which the table of units is sent to all tasks for the search of the nearest.
 MAX_UNITS = 50_000
@@ -48,19 +48,32 @@ def nearest_units(small: DataFrame, units: DataFrame, k: int | None = 3, key: st
 
 
 def candidates(points: DataFrame, units: DataFrame, cell: float, id_col: str = "building_id", key: str = "code") -> DataFrame:
-    """(id, key) of units that contain the point (cx, cy), by an equi-join on grid cells and an exact test."""
-    b = box(F.col("rings"))
-    cells = units.where(F.col("rings").isNotNull()).withColumn("_b", b)
-    span = {c: F.sequence(F.floor(F.col(f"_b.min_{c}") / cell), F.floor(F.col(f"_b.max_{c}") / cell)) for c in "xy"}
-    covered = cells.select(key, "rings", F.explode(span["x"]).alias("gx"), span["y"].alias("_y")).select(key, "rings", "gx", F.explode("_y").alias("gy"))
+    """(id, key) of units that contain the point (cx, cy) or, if points have rings, intersect them, by an equi-join on grid cells and an exact test."""
+    covered = _covered(units.select(key, "rings"), cell)
     here = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select(id_col, "cx", "cy", F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy"))
-    return here.join(covered, ["gx", "gy"]).where(contains(F.col("rings"), F.col("cx"), F.col("cy"))).select(id_col, key)
+    inside = here.join(covered, ["gx", "gy"]).where(contains(F.col("rings"), F.col("cx"), F.col("cy"))).select(id_col, key)
+    if "rings" not in points.columns:
+        return inside
+    placed = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select(id_col, "rings")
+    shapes = _covered(placed, cell).select(id_col, "gx", "gy", F.col("rings").alias("_rings"), F.col("low_x").alias("_low_x"), F.col("low_y").alias("_low_y"))
+    # Of the cells that both boxes cover, the first stands for the pair.
+    once = (F.col("gx") == F.greatest("low_x", "_low_x")) & (F.col("gy") == F.greatest("low_y", "_low_y"))
+    touched = shapes.join(covered, ["gx", "gy"]).where(once).where(intersects(F.col("_rings"), F.col("rings"))).select(id_col, key)
+    return inside.unionByName(touched).distinct()
+
+
+def _covered(shapes: DataFrame, cell: float) -> DataFrame:
+    """shapes once for each grid cell (gx, gy) that the box of their rings covers, with its lowest cell."""
+    cells = shapes.where(F.col("rings").isNotNull()).withColumn("_b", box(F.col("rings")))
+    ends = {f"{k}_{c}": F.floor(F.col(f"_b.{m}_{c}") / cell) for k, m in (("low", "min"), ("high", "max")) for c in "xy"}
+    span = cells.withColumns(ends).withColumn("gx", F.explode(F.sequence("low_x", "high_x")))
+    return span.withColumn("gy", F.explode(F.sequence("low_y", "high_y"))).drop("_b", "high_x", "high_y")
 
 
 def assign_units(
     points: DataFrame, units: DataFrame, out: str, cell: float = 1000.0, overwrite: bool = False, id_col: str = "building_id", key: str = "code"
 ) -> DataFrame:
-    """points with out: of the units that hold the point the one of nearest centroid; the nearest of all if none does.
+    """points with out: of the units that hold the point, or intersect its rings if points have them, the one of nearest centroid; the nearest of all if none does.
 
     Ties go to the lower code. Codes already there stay unless overwrite; points without a place get none.
     """

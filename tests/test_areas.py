@@ -52,6 +52,19 @@ def test_containing_unit_wins_over_a_nearer_centroid(spark):
     assert {r.fsa_code for r in spatial.assign_units(old, large, "fsa_code", 30.0, overwrite=True).collect()} == {"H1A", "H1B", None}
 
 
+def test_units_that_a_footprint_meets_are_candidates(spark):
+    """B1 straddles a border, B2's centroid is in no unit, B3 meets none, B4 crosses a unit without a corner of either inside, B5 is a hole's."""
+    large = units(spark, ("A", 50, 0, 50), ("B", 106, 0, 6), ("C", 200, 300, 20), ("D", 240, 300, 1))
+    large = large.unionByName(spark.createDataFrame([("E", 500.0, 500.0, square(500, 500, 40) + square(500, 500, 30))], large.schema))
+    bar = [[{"x": float(x), "y": float(y)} for x, y in ((170, 298), (231, 298), (231, 302), (170, 302))]]
+    shapes = [("B1", 98.0, 0.0, square(98, 0, 3)), ("B2", 228.0, 300.0, square(228, 300, 9)), ("B3", 228.0, 300.0, square(228, 300, 1)), ("B4", 234.0, 300.0, bar), ("B5", 500.0, 500.0, square(500, 500, 5)), ("B6", 98.0, 0.0, None)]
+    points = spark.createDataFrame(shapes, f"building_id string, cx double, cy double, rings {geometry.RINGS}")
+    got = {(r.building_id, r.code) for r in spatial.candidates(points, large, 30.0).collect()}
+    assert got == {("B1", "A"), ("B1", "B"), ("B2", "C"), ("B4", "C"), ("B6", "A")}
+    got = {r.building_id: r.fsa_code for r in spatial.assign_units(points, large, "fsa_code", 30.0).collect()}
+    assert got == {"B1": "B", "B2": "C", "B3": "D", "B4": "C", "B5": "E", "B6": "A"}
+
+
 def test_nearest_units_by_distance_then_code(spark):
     large = units(spark, ("B", 1, 0, 1), ("A", -1, 0, 1), ("C", 5, 0, 1))
     small = spark.createDataFrame([("d1", 0.0, 0.0), ("d2", None, None)], "code string, cx double, cy double")
