@@ -131,7 +131,8 @@ def test_line_dedup(spark, rows):
     assert sum(r.n_removed for r in got.collect()) > 5
 
 
-def test_substring_dedup(spark, rows, monkeypatch):
+def kept_words(rows):
+    """What is left of each row when windows of 50 words that start in a smaller id go, by brute force."""
     first = {}
     for i, t, *_ in rows:
         w = words(t)
@@ -145,22 +146,52 @@ def test_substring_dedup(spark, rows, monkeypatch):
             if first[tuple(w[p : p + 50])] < (i is None, i or 0):
                 gone |= set(range(p, p + 50))
         want[(i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))] += 1
-    for hot in (substring_dedup.HOT, 2):  # the second sends keys with three segments the other way
-        monkeypatch.setattr(substring_dedup, "HOT", hot)
-        got = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
-        assert Counter((r.id, r.n_words, r.n_removed, r.kept) for r in got) == want
+    return want
+
+
+@pytest.mark.parametrize("memory", [substring_dedup.MEMORY, 150])  # the second lengthens prefixes of three segments, to whole windows if need be
+def test_substring_dedup(spark, rows, monkeypatch, memory):
+    monkeypatch.setattr(substring_dedup, "MEMORY", memory)
+    want = kept_words(rows)
+    got = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
+    assert Counter((r.id, r.n_words, r.n_removed, r.kept) for r in got) == want
     assert sum(k[2] > 0 for k in want) > 10
 
 
-def test_suffix_classes_are_windows():
-    rng = np.random.default_rng(1)
-    h = rng.integers(0, 2, 400).astype(np.uint64)
-    h[200:300] = h[:100]
-    starts = np.arange(351)
-    got = substring_dedup.window_classes(h, starts)
-    names = {}
-    assert [names.setdefault(tuple(h[s : s + 50]), c) == c for s, c in zip(starts, got, strict=True)] == [True] * 351
-    assert len(set(got)) == len(names)
+@pytest.mark.parametrize("memory", [substring_dedup.MEMORY, 150])
+def test_substring_dedup_of_periodic_texts(spark, monkeypatch, memory):
+    """Texts that repeat 1, 7 and 60 words, two words only, and one passage between different words."""
+    monkeypatch.setattr(substring_dedup, "MEMORY", memory)
+    rng = random.Random(12)
+    turns = [[f"p{k}" for k in range(n)] for n in (1, 7, 60)]
+    texts = [" ".join((w * 400)[: rng.randrange(49, 400)]) for w in turns for _ in range(5)]
+    texts += [" ".join(rng.choices("ab", (9, 1), k=300)) for _ in range(8)]
+    passage, long = prose(rng, 55, 10**6), "z" * 40
+    texts += [f"{prose(rng, 60, 10**6)} {long}{k % 2} {passage} {prose(rng, 60, 10**6)}" for k in range(12)]
+    docs = [(k, t, None, None) for k, t in enumerate(texts)]
+    rng.shuffle(docs)
+    got = substring_dedup.dedup_substrings(frame(spark, docs)).collect()
+    want = kept_words(docs)
+    assert Counter((r.id, r.n_words, r.n_removed, r.kept) for r in got) == want
+    assert sum(k[2] > 0 for k in want) > 20
+
+
+def test_segments_are_bounded():
+    """No text gives a segment of more than 90 words, and every window is in one segment."""
+    texts = [" ".join(f"p{k % 7}" for k in range(2000)), "a " * 500, prose(random.Random(3), 1000)]
+    _, text, low, high, anchor = substring_dedup.segments_of(substring_dedup.Words(texts))
+    assert (high - low <= 40).all() and (anchor >= high).all() and (anchor - low <= 40).all()
+    for d, t in enumerate(texts):
+        assert sorted(p for a, b in zip(low[text == d], high[text == d]) for p in range(a, b + 1)) == list(range(len(words(t)) - 49))
+
+
+def test_suffix_tree_nodes():
+    rows = np.random.default_rng(1).integers(1, 3, (300, 12)).astype(np.uint64)
+    tree = substring_dedup.SuffixTree(rows)
+    for depth in (0, 1, 5, 12):
+        names = {}
+        got = tree.nodes(depth).tolist()
+        assert all(names.setdefault(tuple(r[:depth]), c) == c for r, c in zip(rows.tolist(), got)) and len(set(got)) == len(names)
 
 
 def sets_of(text):
