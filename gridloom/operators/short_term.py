@@ -26,18 +26,21 @@ MAX_DAYS = 4000
 METRICS = ["peak_load", "p90_top10_mean", "am_pm_peak_ratio", "ramp_up_rate"]
 
 
-def daily_metrics(df: DataFrame, labels: DataFrame | None = None, key: str = "code", ts: str = "ts", value: str = "kwh") -> DataFrame:
+def daily_metrics(
+    df: DataFrame, labels: DataFrame | None = None, key: str = "code", ts: str = "ts", value: str = "kwh", order: str | None = None
+) -> DataFrame:
     """(key, date, peak_load, p90_top10_mean, am_pm_peak_ratio, ramp_up_rate, dtw_cluster_label) on rows with a value.
 
-    labels: (key, date, cluster_label); days without one get null.
+    labels: (key, date, cluster_label); days without one get null. order: the column that orders a day's rows
+    where ts doesn't, such as utc if ts is local and an hour occurs twice.
     """
-    rows = df.where(F.col(value).isNotNull()).select(key, F.to_date(ts).alias("date"), F.hour(ts).alias("hour"), ts, F.col(value).alias("x"))
+    rows = df.where(F.col(value).isNotNull()).select(key, F.to_date(ts).alias("date"), F.hour(ts).alias("hour"), F.col(order or ts).alias("at"), F.col(value).alias("x"))
     day = Window.partitionBy(key, "date")
     ranked = rows.withColumns(
         {
             "place": F.row_number().over(day.orderBy(F.desc("x"))),
             "n": F.count(F.lit(1)).over(day),
-            "rise": F.col("x") - F.lag("x").over(day.orderBy(ts)),
+            "rise": F.col("x") - F.lag("x").over(day.orderBy("at")),
         }
     )
     top = F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("n") / 10))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import month_of
+from gridloom.functions.columns import hour_of, month_of, number
 
 AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0))}
 
@@ -30,12 +30,17 @@ def regularize(
 
 
 def _neighbours(key: str, ts: str, value: str) -> tuple[Column, Column, Column]:
-    """Row number, and (place, value) of the nearest value at or before and at or after each row."""
+    """Row number, and (place, value) of the nearest value at or before and at or after each row.
+
+    Both look back over a running frame, the second in reversed order: a frame that runs to the end of
+    the series would be evaluated anew for each row.
+    """
     order = Window.partitionBy(key).orderBy(ts)
     place = F.row_number().over(order)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("_place").alias("place"), F.col(value).alias("value")))
     before = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(key).orderBy(F.desc("_place"))
+    after = F.last(here, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return place, before, after
 
 
@@ -129,19 +134,62 @@ def align_weather(
     temperature: str = "temperature",
     city: str | None = None,
     deduplicate: bool = True,
+    zone: str | None = None,
 ) -> DataFrame:
     """Load rows with a value and the temperature at their time, gaps of temperature interpolated by position.
 
     Several temperatures at one time are averaged; with deduplicate=False they multiply the load rows.
-    Keys whose rows have no temperature at all drop out.
+    Keys whose rows have no temperature at all drop out. With a zone, ts of the load is in UTC (as the
+    column utc of raw load) and ts of the weather is local there.
     """
     on = [city, ts] if city else [ts]
+    if zone:
+        weather = instants_of(weather, zone, ts, [city] if city else [], temperature)
     if deduplicate:
         weather = weather.groupBy(*on).agg(F.avg(temperature).alias(temperature))
     joined = load.where(F.col(value).isNotNull()).join(weather.select(*on, temperature), on, "left")
     return interpolate_both(joined, key, ts, temperature).where(F.col(temperature).isNotNull())
 
 
+def utc_of(ts: Column, zone: str, second: Column) -> Column:
+    """The UTC time (without zone) of a local one; second tells the later of two occurrences.
+
+    A time that the spring change skips becomes the first one after the gap.
+    """
+    name = F.lit(zone)
+    first = F.convert_timezone(name, F.lit("UTC"), ts)
+    skipped = F.convert_timezone(F.lit("UTC"), name, first) != ts
+    # The gap ends where local time jumps; it is an hour long, so the hour of the shifted time is it.
+    shifted = F.convert_timezone(name, F.lit("UTC"), hour_of(F.convert_timezone(F.lit("UTC"), name, first)))
+    hour = F.expr("interval 1 hour")
+    return F.when(skipped, shifted).when(second, first + hour).otherwise(first)
+
+
+def is_repeated(ts: Column, zone: str) -> Column:
+    """Whether a local time occurs twice, at the autumn change."""
+    first = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), first + F.expr("interval 1 hour")) == ts
+
+
+def instants_of(df: DataFrame, zone: str, ts: str = "ts", by: list[str] | None = None, value: str = "temperature") -> DataFrame:
+    """df with ts in UTC instead of local time in zone.
+
+    If every repeated local time is there twice, in each of by, the first of a pair (by value, as rows have no order) is
+    the one before the change. Otherwise that can't be told and all repeated times are left out.
+    """
+    by = by or []
+    marked = df.withColumn("_twice", is_repeated(F.col(ts), zone))
+    same = Window.partitionBy(*by, ts)
+    told = marked.withColumn("_k", F.row_number().over(same.orderBy(value)))
+    odd = marked.where("_twice").groupBy(*by, ts).count().where("count <> 2").select(*by)
+    if by:
+        told = told.join(odd.distinct().withColumn("_odd", F.lit(True)), by, "left")
+    else:
+        told = told.join(F.broadcast(odd.agg((F.count(F.lit(1)) > 0).alias("_odd"))))
+    left = told.where(~(F.col("_twice") & F.coalesce("_odd", F.lit(False))))
+    return left.withColumn(ts, utc_of(F.col(ts), zone, F.col("_twice") & (F.col("_k") == 2))).drop("_twice", "_k", "_odd")
+
+
 def asof_nearest(
     left: DataFrame, right: DataFrame, value: str, ts: str = "ts", by: list[str] | None = None
 ) -> DataFrame:
@@ -154,9 +202,11 @@ def asof_nearest(
     times = left.select(*on).distinct().withColumn("_hit", F.lit(None)).withColumn("_asks", F.lit(True))
     hit = F.struct(F.col(ts).alias("at"), F.col(value).alias("value")).alias("_hit")
     given = right.where(F.col(value).isNotNull()).select(*on, hit, F.lit(False).alias("_asks"))
-    order = Window.partitionBy(*on[:-1]).orderBy(ts)
-    before = F.last("_hit", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_hit", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    parts = Window.partitionBy(*on[:-1])
+    before, after = (
+        F.last("_hit", ignorenulls=True).over(parts.orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        for way in (F.asc(ts), F.desc(ts))
+    )
     found = times.unionByName(given).withColumns({"_b": before, "_a": after}).where("_asks")
     since, until = (F.unix_micros(F.col(x).cast("timestamp")) for x in ("_b.at", "_a.at"))
     now = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -188,3 +238,13 @@ def monthly_ape(truth: DataFrame, imputed: DataFrame, key: str = "code", ts: str
     b = imputed.groupBy(key, month_of(ts).alias(ts)).agg(F.sum(value).alias("imputed"))
     ape = F.abs(F.col("imputed") - F.col("truth")) / F.nullif(F.abs("truth"), F.lit(0.0))
     return a.join(b, [key, ts]).withColumn("ape", ape)
+
+
+def area_map(areas: DataFrame, df: DataFrame, how: str = "mean", key: str = "code", ts: str = "ts", value: str = "kwh") -> DataFrame:
+    """areas with their metric, null where an area has no load."""
+    return areas.join(area_metric(df, how, key, ts, value), key, "left")
+
+
+def scatter(df: DataFrame, x: str, y: str, key: str = "code") -> DataFrame:
+    """(key, x, y): the rows where both columns can be read as numbers."""
+    return df.select(key, number(F.col(x).cast("string")).alias("x"), number(F.col(y).cast("string")).alias("y")).na.drop(subset=["x", "y"])

@@ -6,12 +6,12 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import identifier, number, rename_first_present
 from gridloom.functions.geometry import from_geojson
-from gridloom.operators.buildings import standardize_buildings
+from gridloom.operators.buildings import HEIGHTS, NUMBERS, TEXTS, standardize_buildings
 
 # The zone and column names of the source files.
 ZONE = "America/Toronto"
@@ -29,12 +29,21 @@ def _checked(df: DataFrame, parsed: str, source: str) -> DataFrame:
 
 
 def long_from_raw(raw: DataFrame, zone: str = ZONE) -> DataFrame:
-    """(code, ts, kwh) in local time from CP3, DateIntervalUTC (UTC), kWh; rows of one code and time are summed."""
-    ts = F.from_utc_timestamp(F.try_to_timestamp(F.col("DateIntervalUTC").cast("string")), zone)
-    rows = raw.select(identifier("CP3").alias("code"), "DateIntervalUTC", "kWh", ts.alias("ts"), number(F.col("kWh").cast("string")).alias("kwh_"))
-    rows = _checked(_checked(rows, "ts", "DateIntervalUTC"), "kwh_", "kWh")
-    local = F.col("ts").cast("timestamp_ntz").alias("ts")
-    return rows.groupBy("code", local).agg(F.sum("kwh_").alias("kwh"))
+    """(code, ts, kwh, utc) from CP3, DateIntervalUTC (UTC), kWh; rows of one code and instant are summed.
+
+    ts is the local time, for grouping by day, hour and month; it occurs twice at the autumn change. utc is the
+    instant, without zone, which orders the series. A row without kWh is an error.
+    """
+    at = F.try_to_timestamp(F.col("DateIntervalUTC").cast("string")).cast("timestamp_ntz")
+    rows = raw.select(identifier("CP3").alias("code"), "DateIntervalUTC", "kWh", at.alias("utc"), number(F.col("kWh").cast("string")).alias("kwh_"))
+    rows = _checked(_checked(rows, "utc", "DateIntervalUTC"), "kwh_", "kWh")
+    given = F.when(F.col("kwh_").isNull(), F.raise_error(F.lit("cannot read kWh: a row has none")).cast("double")).otherwise(F.col("kwh_"))
+    summed = rows.groupBy("code", "utc").agg(F.sum(given).alias("kwh"))
+    return summed.select("code", local_of("utc", zone).alias("ts"), "kwh", "utc")
+
+
+def local_of(utc: str, zone: str = ZONE) -> Column:
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(utc))
 
 
 def long_from_wide(wide: DataFrame, index: str | None = None, utc: bool = False, zone: str = ZONE) -> DataFrame:
@@ -117,9 +126,12 @@ def census_long(wide: DataFrame, key: str = "code") -> DataFrame:
     return wide.select(key, *values).unpivot([key], [f"`{c}`" for c in features], "feature", "value")
 
 
-def first_census_row(census: DataFrame, key: str = "code") -> DataFrame:
-    """One row per key: the first in order."""
-    return census.dropDuplicates([key])
+def first_census_row(census: DataFrame, key: str = "code", order: str | None = None) -> DataFrame:
+    """One row per key: the first by order, or by its place in the files that census reads."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    rest = [c for c in census.columns if c != key]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "_at").alias("_row")
+    return census.withColumn("_at", place).groupBy(key).agg(first).select(key, "_row.*").select(*[F.col(f"`{c}`") for c in census.columns])
 
 
 def read_geometry(spark: SparkSession, paths: Mapping[str, str], aliases: Sequence[str] = FSA_ALIASES, strict: bool = True) -> DataFrame:
@@ -142,6 +154,18 @@ def read_geometry(spark: SparkSession, paths: Mapping[str, str], aliases: Sequen
     return reduce(DataFrame.unionByName, parts)
 
 
+def _features(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """Rings and the source columns of standard buildings from GeoJSON with a fixed schema; sources of one standard column are
+    merged into the first, as some names differ in case only."""
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    p = F.col("properties")
+    merged = {names[0]: F.coalesce(*[number(p[n]) for n in names]) for names in [*NUMBERS.values(), HEIGHTS]}
+    merged |= {names[0]: F.coalesce(*[p[n] for n in names]) for names in TEXTS.values()}
+    merged |= {n: p[n] for n in (id_col, "Z_Max", "Z_Min")}
+    return rows.select(*[c.alias(n) for n, c in merged.items()], from_geojson("geometry").alias("rings"))
+
+
 def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> DataFrame:
     """Standard building table from Parquet, CSV or GeoJSON properties; other formats are an error."""
     suffix = path.rsplit(".", 1)[-1].lower()
@@ -150,12 +174,34 @@ def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> Da
     elif suffix == "csv":
         df = spark.read.csv(path, header=True)
     elif suffix in ("geojson", "json"):
-        df = spark.read.json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties.*")
+        df = _features(spark, path, id_col).drop("rings")
     else:
         raise ValueError(f"unsupported building format .{suffix}")
     return standardize_buildings(df, id_col)
 
 
+def read_building_geometry(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> DataFrame:
+    """Standard building table with rings, from GeoJSON; other formats are an error."""
+    if path.rsplit(".", 1)[-1].lower() not in ("geojson", "json"):
+        raise ValueError("building geometry must be GeoJSON")
+    return standardize_buildings(_features(spark, path, id_col), id_col)
+
+
 def inspect_tables(tables: Mapping[str, DataFrame]) -> dict[str, int]:
     """Rows of each table."""
     return {name: df.count() for name, df in tables.items()}
+
+
+def inspect_paths(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """(name, path, exists, kind, n_files, n_bytes) of files and folders; kind is file, dir or missing."""
+    rows, conf = [], spark._jsc.hadoopConfiguration()
+    for name, path in paths.items():
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(conf)
+        if not fs.exists(target):
+            rows.append((name, path, False, "missing", 0, 0))
+            continue
+        found = fs.getContentSummary(target)
+        kind = "dir" if fs.getFileStatus(target).isDirectory() else "file"
+        rows.append((name, path, True, kind, found.getFileCount(), found.getLength()))
+    return spark.createDataFrame(rows, "name string, path string, exists boolean, kind string, n_files long, n_bytes long")
