@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.timeseries import interpolate_both, rolling_median
+from gridloom.storage import stored
 
 COLUMNS = "trend double, seasonal double, resid double"
+#: Cells of the tables (places by span) that smoothing makes at once.
+CELLS = 1_000_000
 METHODS = ("interp", "stl_rebuild", "rolling_median")
 
 
@@ -27,6 +30,9 @@ def loess(y: np.ndarray, span: int, at: np.ndarray | None = None, weights: np.nd
     n = len(y)
     at = np.arange(n) if at is None else at
     q = min(span, n)
+    if len(at) * q > CELLS and len(at) > 1:
+        step = max(1, CELLS // q)
+        return np.concatenate([loess(y, span, at[k : k + step], weights) for k in range(0, len(at), step)])
     left = np.clip(np.floor(at).astype(int) - (q - 1) // 2, 0, n - q)
     place = left[:, None] + np.arange(q)
     gap = np.abs(place - at[:, None])
@@ -128,6 +134,19 @@ def anomaly_summary(scored: DataFrame, key: str = "code") -> DataFrame:
     )
 
 
+def anomalies_of(scored: DataFrame, direction: str = "both") -> DataFrame:
+    """The rows that are anomalies, of one direction (high, low) or of both."""
+    if direction not in ("both", "high", "low"):
+        raise ValueError("direction must be 'both', 'high' or 'low'")
+    hits = scored.where("is_anomaly")
+    return hits if direction == "both" else hits.where(F.col("anomaly_direction") == direction)
+
+
+def by_rate(report: DataFrame, key: str = "code") -> DataFrame:
+    """A treatment report in order: the highest final rate first, ties by key, areas without a rate last."""
+    return report.orderBy(F.desc_nulls_last("final_rate"), key)
+
+
 def replace_anomalies(
     scored: DataFrame, method: str = "interp", window: int = 24, key: str = "code", ts: str = "ts", value: str = "kwh"
 ) -> DataFrame:
@@ -168,7 +187,7 @@ def treat_anomalies(
 ) -> tuple[DataFrame, DataFrame]:
     """(treated, report): decompose, score and replace per area until its rate of anomalies is low enough.
 
-    The whole loop of an area is one task's work. Status: ok, stalled (nothing changed), not_conformed
+    The whole loop of an area is one task's work; it runs once, its result is stored for both tables. Status: ok, stalled (nothing changed), not_conformed
     (max_iter reached; the rate is that before the last replacement, which still holds).
     """
     if method not in ("interp", "stl_rebuild"):
@@ -201,6 +220,6 @@ def treat_anomalies(
 
     rows = df.select(key, ts, F.col(value).cast("double").alias(value))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    both = rows.groupBy(key).applyInPandas(fit, f"{schema}, {REPORT}")
+    both = stored(rows.groupBy(key).applyInPandas(fit, f"{schema}, {REPORT}"), "treated")
     names = [x.split()[0] for x in REPORT.split(", ")]
-    return both.select(key, ts, value), both.groupBy(key).agg(*[F.first(c).alias(c) for c in names])
+    return both.select(key, ts, value), both.groupBy(key).agg(*[F.max(c).alias(c) for c in names])

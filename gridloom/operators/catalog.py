@@ -15,6 +15,7 @@ from gridloom.operators.short_term import short_term_table
 from gridloom.operators.spatial import assign_units, nearest_units, with_centroid
 from gridloom.operators.timeseries import align_weather
 from gridloom.operators.weather_model import expand_by_population, normalize_weather, per_capita
+from gridloom.storage import stored
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,16 @@ def city_tables(catalog: Catalog, unit: str = "fsa", winter_only: bool = True) -
     return prism_table(load, weather, people), short_term_table(load, weather, people, winter_only)
 
 
+def complete(
+    treated: DataFrame, weather: DataFrame, census: DataFrame, areas: DataFrame, people: DataFrame, population_scaling: bool = True, imputation: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(load, imputation report): treated load normalised for weather, taken per head (stored), completed by imputation, expanded again."""
+    normal = normalize_weather(treated, align_weather(treated, weather))
+    heads = stored(per_capita(normal, people, strict=False), "heads")
+    filled, imputed = impute_by_census(heads, census, areas, population_scaling=population_scaling, **imputation or {})
+    return expand_by_population(filled, people), imputed
+
+
 def rebuild(
     load: DataFrame,
     weather: DataFrame,
@@ -94,13 +105,12 @@ def rebuild(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(load, qc, treatment report, imputation report): clean, treat anomalies, normalise for weather, impute per head, expand.
 
+    Each step that later ones read more than once is stored in the shared folder, so nothing runs twice.
     As per-head series are imputed with population scaling and then multiplied by population, an
     imputed area's population counts twice; population_scaling=False leaves the first out.
     """
     clean, qc = preprocess_load(load, **{"fill": "interpolate"} | (preprocess or {}))
     treated, report = treat_anomalies(clean, **treatment or {})
-    normal = normalize_weather(treated, align_weather(treated, weather))
     people = census.where(F.col("feature") == POPULATION).select("code", F.col("value").alias("population"))
-    heads = per_capita(normal, people, strict=False)
-    filled, imputed = impute_by_census(heads, census, areas, population_scaling=population_scaling, **imputation or {})
-    return expand_by_population(filled, people), qc, report, imputed
+    out, imputed = complete(treated, weather, census, areas, people, population_scaling, imputation)
+    return out, qc, report, imputed

@@ -1,19 +1,24 @@
 """Census predictors of load, imputation of areas without load from similar ones, and its evaluation.
 
 Tables: census (code, feature, value) long, load (code, ts, kwh). What is compared pair by pair is
-targets times donors times selected features (at most max_features): areas, not load rows.
+targets times donors (areas, not load rows): an area's selected features (at most max_features) are one
+array, blocks of targets meet blocks of donors in grouped maps, and only the nearest donor of a block leaves it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import correlation
 from gridloom.operators.timeseries import monthly_energy
+from gridloom.storage import stored
 
 POPULATION = "population"
+#: Areas of a block that meets another block in one task.
+BLOCK = 5000
 
 
 def select_features(
@@ -24,19 +29,22 @@ def select_features(
     min_coverage: float = 0.8,
     min_distinct: int = 5,
     min_pairs: int = 8,
+    min_areas: int = 5,
     how: str = "sum",
     key: str = "code",
 ) -> DataFrame:
     """(feature, score, n_months): features by mean absolute correlation with monthly load over months, best first.
 
     Only areas with load count. A feature needs values for enough areas and enough distinct ones; a
-    month needs min_pairs areas with both. Ties go by name.
+    month needs min_pairs areas with both. Ties go by name. Fewer than min_areas areas with load and census are an error.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
     monthly = monthly_energy(load, how, key)
     codes = monthly.select(key).distinct()
     n = codes.agg(F.count(F.lit(1)).alias("areas"))
+    if (found := census.select(key).distinct().join(codes, key, "left_semi").limit(min_areas).count()) < min_areas:
+        raise ValueError(f"features need {min_areas} areas with load and census, not {found}")
     own = census.where(F.col("value").isNotNull()).join(codes, key, "left_semi")
     good = (
         own.groupBy("feature")
@@ -75,6 +83,70 @@ def donor_distance(census: DataFrame, features: DataFrame, targets: DataFrame, d
     return weighted.join(d, "feature").groupBy(key, "donor").agg(F.sqrt(F.sum(F.col("w") * (F.col("zd") - F.col("zt")) ** 2)).alias("distance"))
 
 
+def _vectors(census: DataFrame, features: DataFrame, donors: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, z, score): standardised values and scores of the usable features in one order, NaN where missing; and how many."""
+    own = census.where(F.col("value").isNotNull()).join(F.broadcast(features.select("feature", "score")), "feature")
+    given = own.join(donors.select(key), key, "left_semi")
+    spread = given.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max("score").alias("score")).where(F.col("s") > 0)
+    names = [r[0] for r in spread.select("feature").orderBy("feature").collect()]  # at most max_features
+    if not names:
+        return census.select(key).limit(0), 0
+    z = (F.col("value") - F.col("m")) / F.col("s")
+    rows = own.select(key, "feature", "value").join(F.broadcast(spread), "feature")
+    wide = rows.groupBy(key).pivot("feature", names).agg(F.avg(z).alias("z"), F.max("score").alias("w"))
+    nan = F.lit(float("nan"))
+    arrays = [F.array(*[F.coalesce(F.col(f"`{n}_{c}`"), nan if c == "z" else F.lit(0.0)) for n in names]).alias(c) for c in ("z", "w")]
+    return wide.select(key, *arrays), len(names)
+
+
+def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, donors: DataFrame, key: str = "code") -> DataFrame:
+    """(key, donor, distance) of the donor of least distance (as donor_distance; told by 9 digits, ties to the first donor) for each target that has one."""
+    kind = census.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, donor {kind}, distance double"
+    vectors, n = _vectors(census, features, donors, key)
+    if not n:
+        return census.sparkSession.createDataFrame([], schema)
+    vectors = stored(vectors, "vectors")
+    givers = vectors.join(donors.select(key).distinct(), key, "left_semi")
+    again = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # columns of its own, as both sides meet below
+    askers = again.join(targets.select(key).distinct(), key, "left_semi")
+    n_givers, n_askers = givers.count(), askers.count()
+    shards, blocks = (max(1, -(-n // BLOCK)) for n in (n_givers, n_askers))
+    draw = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    givers = givers.withColumn("shard", draw(shards)).withColumn("block", every(blocks))
+    askers = askers.withColumn("block", draw(blocks)).withColumn("shard", every(shards))
+
+    def nearest(given: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(given) or not len(asking):
+            none = asking[[key]].iloc[:0]
+            return none.assign(donor=none[key], distance=0.0)
+        given = given.sort_values(key)
+        z = np.stack(given["z"].to_numpy())
+        missing, z = np.isnan(z), np.nan_to_num(z)
+        rows = []
+        for a in range(0, len(asking), 200):
+            part = asking.iloc[a : a + 200]
+            own, w = np.stack(part["z"].to_numpy()), np.stack(part["w"].to_numpy())
+            w = np.where(np.isnan(own), 0.0, w)
+            total = w.sum(1, keepdims=True)
+            w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+            square, comparable = np.zeros((len(part), len(z))), np.zeros((len(part), len(z)), bool)
+            for k in range(z.shape[1]):
+                use = ~np.isnan(own[:, k])[:, None] & ~missing[None, :, k]
+                square += np.where(use, w[:, k, None] * (z[None, :, k] - np.nan_to_num(own[:, k])[:, None]) ** 2, 0.0)
+                comparable |= use
+            far = np.where(comparable, np.sqrt(square), np.inf)
+            best = np.round(far, 9).argmin(1)  # the first of equal ones; donors are in order
+            found = far[np.arange(len(part)), best]
+            rows.append(pd.DataFrame({key: part[key].to_numpy(), "donor": given[key].to_numpy()[best], "distance": found})[np.isfinite(found)])
+        return pd.concat(rows)
+
+    found = givers.groupBy("shard", "block").cogroup(askers.groupBy("shard", "block")).applyInPandas(nearest, schema)
+    near = F.struct(F.round("distance", 9).alias("near"), "donor", "distance")
+    return found.groupBy(key).agg(F.min(near).alias("b")).select(key, "b.donor", "b.distance")
+
+
 def impute_by_census(
     load: DataFrame,
     census: DataFrame,
@@ -88,18 +160,16 @@ def impute_by_census(
 ) -> tuple[DataFrame, DataFrame]:
     """(load with imputed areas, report) for areas without load: the nearest donor's series times the ratio of populations.
 
-    The ratio is kept within 0.5 and 2 and is 1 if either population is missing. Ties go to the first
-    donor in order. Report: code, donor, distance, scale, status (imputed, missing_census, no_comparable_donor).
+    The ratio is kept within 0.5 and 2 and is 1 if either population is missing; of several populations of
+    an area the least counts. Ties go to the first donor in order. Features and report are stored. Report: code, donor, distance, scale, status (imputed, missing_census, no_comparable_donor).
     """
     donors = load.select(key).distinct()
     targets = areas.select(key).distinct().join(donors, key, "left_anti")
     if features is None:
         features = select_features(census, load, key=key, **options)
-    distance = donor_distance(census, features, targets, donors, key)
-    # Sums in another order move a distance in its last digits; equal ones are told by 9 of them.
-    near = F.struct(F.round("distance", 9).alias("near"), "donor", "distance")
-    best = distance.groupBy(key).agg(F.min(near).alias("b")).select(key, "b.donor", "b.distance")
-    people = census.where(F.col("feature") == POPULATION).groupBy(key).agg(F.first("value").alias("people"))
+    features = stored(features, "features")
+    best = nearest_donor(census, features, targets, donors, key)
+    people = census.where(F.col("feature") == POPULATION).groupBy(key).agg(F.min("value").alias("people"))
     known = census.select(key).distinct().withColumn("has_census", F.lit(True))
     report = (
         targets.join(known, key, "left")
@@ -111,6 +181,7 @@ def impute_by_census(
     scale = F.least(F.greatest(ratio, F.lit(0.5)), F.lit(2.0)) if population_scaling else F.lit(1.0)
     status = F.when(F.col("has_census").isNull(), "missing_census").when(F.col("donor").isNull(), "no_comparable_donor").otherwise("imputed")
     report = report.select(key, "donor", "distance", F.when(F.col("donor").isNotNull(), F.coalesce(scale, F.lit(1.0))).alias("scale"), status.alias("status"))
+    report = stored(report, "report")
     copied = (
         load.select(F.col(key).alias("donor"), ts, value)
         .join(report.where("status = 'imputed'").select(key, "donor", "scale"), "donor")

@@ -23,6 +23,11 @@ def qc_profile(df: DataFrame, step: str | None = "1 hour", key: str = "code", ts
     )
 
 
+def by_coverage(qc: DataFrame, key: str = "code") -> DataFrame:
+    """A profile in order: the best coverage first, ties by key."""
+    return qc.orderBy(F.desc("coverage"), key)
+
+
 def preprocess_load(
     df: DataFrame,
     step: str | None = "1 hour",
