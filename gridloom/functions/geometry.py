@@ -70,6 +70,11 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, holds) | (total % 2 == 1)
 
 
+def contains_any(parts: Column, x: Column, y: Column) -> Column:
+    """Whether one of several polygons (arrays of rings) contains the point, so overlaps count once."""
+    return F.exists(parts, lambda rings: contains(rings, x, y))
+
+
 def intersects(a: Column, b: Column) -> Column:
     """Whether two polygons share a point: a corner of one is in the other, or two edges cross."""
 

@@ -1,18 +1,23 @@
 """Proximity and containment between units.
 
 A unit's rings are looked up by the cells of a grid that its box covers, so points meet only units
-near them; the exact test and the global fallback follow. Units are the small side.
+near them, and the exact test follows. The nearest units are searched on a grid too: a point looks at
+the cells around its own, and only if those can't hold its nearest at cells four times as large. No
+point meets all units.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import box, centroid, contains, distance, intersects
+from gridloom.storage import stored
 
-#: Rows up to which the table of units is sent to all tasks for the search of the nearest.
-MAX_UNITS = 50_000
+#: How much larger cells are in the next round of a search.
+GROWTH = 4
 
 
 def with_centroid(units: DataFrame, rings: str = "rings") -> DataFrame:
@@ -22,27 +27,69 @@ def with_centroid(units: DataFrame, rings: str = "rings") -> DataFrame:
 
 
 def dissolve(areas: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
-    """One multipolygon per group: all its rings."""
-    return areas.groupBy(*by).agg(F.flatten(F.collect_list(rings)).alias(rings))
+    """One row per group: all its rings, and parts, the polygons they come from.
+
+    A point is in the union if `contains_any` finds it in a part; the rings alone count by odd and even, which
+    is the union only where areas don't overlap. Shared borders aren't removed.
+    """
+    have = areas.where(F.col(rings).isNotNull())
+    return have.groupBy(*by).agg(F.collect_list(rings).alias("parts")).select(*by, F.flatten("parts").alias(rings), "parts")
 
 
-def _few(units: DataFrame) -> DataFrame:
-    """units marked for broadcast once counted; beyond MAX_UNITS they stay distributed."""
-    return F.broadcast(units) if units.limit(MAX_UNITS + 1).count() <= MAX_UNITS else units
+def _nearest(points: DataFrame, units: DataFrame, k: int, key: str) -> DataFrame:
+    """(key, unit, d): the k units (unit, ux, uy) nearest to each point (key, cx, cy), all if there are fewer; ties by unit.
+
+    Cells hold about k units at first. All units within a cell's side of a point are in the nine cells
+    around it, so a point whose k-th of these is as near as that is done; the others go on with larger cells.
+    """
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("ux", "uy") for f in (F.min, F.max)]
+    far = [f(c).alias(f"{f.__name__}_{c}") for c in ("cx", "cy") for f in (F.min, F.max)]
+    u, p = units.agg(F.count(F.lit(1)).alias("n"), *ends).first(), points.agg(F.count(F.lit(1)).alias("n"), *far).first()
+    if not u["n"] or not p["n"]:
+        return points.select(key).limit(0).join(units.select("unit", F.lit(0.0).alias("d")))
+    wide = max(u["max_ux"] - u["min_ux"], u["max_uy"] - u["min_uy"])
+    all_wide = max(max(u["max_u" + c], p["max_c" + c]) - min(u["min_u" + c], p["min_c" + c]) for c in "xy")
+    side = max(wide / max(1.0, (u["n"] / k) ** 0.5), all_wide * 1e-6) or 1.0
+    done, rest = [], points.select(key, "cx", "cy")
+    while True:
+        last = side > all_wide
+        found = stored(_around(rest, units, side, k, key), "nearest")
+        settled = found.groupBy(key).agg(F.max("place").alias("n"), F.max("d").alias("worst")).where((F.col("n") >= min(k, u["n"])) & (F.col("worst") <= side))
+        done.append(found.select(key, "unit", "d") if last else found.join(settled.select(key), key, "left_semi").select(key, "unit", "d"))
+        if last:
+            break
+        rest = stored(rest.join(settled.select(key), key, "left_anti"), "rest")
+        if not rest.limit(1).count():
+            break
+        side *= GROWTH
+    return reduce(DataFrame.unionByName, done)
+
+
+def _around(points: DataFrame, units: DataFrame, side: float, k: int, key: str) -> DataFrame:
+    """(key, unit, d, place): the k nearest units in the nine cells of that side around each point."""
+
+    def cell(c: Column) -> Column:
+        return F.floor(c / F.lit(side))
+
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    asks = points.withColumn("gx", F.explode(F.transform(steps, lambda s: cell(F.col("cx")) + s)))
+    asks = asks.withColumn("gy", F.explode(F.transform(steps, lambda s: cell(F.col("cy")) + s)))
+    has = units.select("unit", "ux", "uy", cell(F.col("ux")).alias("gx"), cell(F.col("uy")).alias("gy"))
+    d = distance(F.col("cx"), F.col("cy"), F.col("ux"), F.col("uy"))
+    pairs = asks.join(has, ["gx", "gy"]).select(key, "unit", d.alias("d"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("d", "unit"))
+    return pairs.withColumn("place", place).where(F.col("place") <= k)
 
 
 def nearest_units(small: DataFrame, units: DataFrame, k: int | None = 3, key: str = "code") -> DataFrame:
-    """(key, nearest): codes of the k units of least centroid distance, ties by code; k=None for all.
+    """(key, nearest): codes of the k units of least centroid distance, ties by code; k=None for all, which pairs every two.
 
     A small unit without a place has an empty list; units without a place don't count.
     """
     have = F.col("cx").isNotNull() & F.col("cy").isNotNull()
     other = units.where(have).select(F.col(key).alias("unit"), F.col("cx").alias("ux"), F.col("cy").alias("uy"))
-    far = distance(F.col("cx"), F.col("cy"), F.col("ux"), F.col("uy"))
-    pairs = small.where(have).select(key, "cx", "cy").join(_few(other)).select(key, "unit", far.alias("d"))
-    if k is not None:
-        best = Window.partitionBy(key).orderBy("d", "unit")
-        pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    placed = small.where(have).select(key, "cx", "cy")
+    pairs = _nearest(placed, other, k or max(1, other.count()), key)
     lists = pairs.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "unit"))), lambda s: s["unit"]).alias("nearest"))
     return small.select(key).join(lists, key, "left").withColumn("nearest", F.coalesce("nearest", F.array().cast("array<string>")))
 
@@ -85,7 +132,7 @@ def assign_units(
     inside = candidates(todo, units, cell, id_col, key).withColumnRenamed(key, "unit")
     held = todo.select(id_col, "cx", "cy").join(inside, id_col).join(place, "unit").groupBy(id_col).agg(F.min_by("unit", F.struct(far, F.col("unit"))).alias("_in"))
     missing = todo.select(id_col, "cx", "cy").join(held, id_col, "left_anti")
-    near = missing.join(_few(place)).groupBy(id_col).agg(F.min_by("unit", F.struct(far, F.col("unit"))).alias("_in"))
+    near = _nearest(stored(missing, "missing"), place, 1, id_col).select(id_col, F.col("unit").alias("_in"))
     found = held.unionByName(near)
     new = F.coalesce(F.col("_in"), old) if overwrite else F.coalesce(old, F.col("_in"))
     return points.join(found, id_col, "left").withColumn(out, new).drop("_in")
