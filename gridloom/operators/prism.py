@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.timeseries import align_weather
-from gridloom.operators.weather_model import heating_change_point, normalize_weather, per_capita
+from gridloom.operators.weather_model import by_temperature, heating_change_point, hinge_fit, normalize_weather, per_capita
 
 MODELS = ("2ch", "2cl", "3seg")
 # Ranges of the heating and cooling breaks (the cold break is at or below 0), fewest points
@@ -129,8 +129,8 @@ def _valid(model: str, t: np.ndarray, p: dict) -> bool:
     return bool(cold and warm and (model not in ("3be", "4sg") or p["k0"] >= 0))
 
 
-def fit_segments(t: np.ndarray, y: np.ndarray, models: tuple[str, ...] = MODELS, f_rule: str = "pdf") -> dict:
-    """The chosen model with its parameters, errors and all candidates.
+def fit_segments(t: np.ndarray, y: np.ndarray, models: tuple[str, ...] = MODELS, f_rule: str = "pdf") -> dict | None:
+    """The chosen model with its parameters, errors and all candidates; None if no model has slopes of the right signs.
 
     More segments win if the F statistic exceeds a threshold: with f_rule "pdf" the density at 0.05
     (a very lenient rule, kept for equal choices), with "critical" the 5 % critical value. If the winner isn't
@@ -145,7 +145,7 @@ def fit_segments(t: np.ndarray, y: np.ndarray, models: tuple[str, ...] = MODELS,
             sse = float(((y - evaluate(name, t, p)) ** 2).sum())
             fits[name] = {"p": p, "sse": sse, "cvrmse": float(np.sqrt(sse / max(n - 3, 1)) / max(y.mean(), 1e-9))}
     if not fits:
-        raise ValueError("no model could be fitted")
+        return None
     good = {m: m in fits and _valid(m, t, fits[m]["p"]) for m in ("2ch", "2cl", "3sg", "3be", "4sg")}
 
     def pick(names: tuple[str, ...], default: str) -> tuple[str, float]:
@@ -184,15 +184,15 @@ def prism_fit(
     value: str = "kwh",
     temperature: str = "temperature",
 ) -> DataFrame:
-    """Per area one row of RESULT; areas with under LEAST_POINTS points or a constant temperature give none."""
+    """Per area one row of RESULT; areas with under LEAST_POINTS points, a constant temperature or no model that fits give none."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y = pdf[temperature].to_numpy(float), pdf[value].to_numpy(float)
         ok = np.isfinite(t) & np.isfinite(y)
         t, y = t[ok], y[ok]
-        if len(t) < LEAST_POINTS or np.ptp(t) < 1e-6:
+        found = fit_segments(t, y, models, f_rule) if len(t) >= LEAST_POINTS and np.ptp(t) >= 1e-6 else None
+        if found is None:
             return pd.DataFrame(columns=[key, *[x.split()[0] for x in _fields()]])
-        found = fit_segments(t, y, models, f_rule)
         p = found["p"]
         rest = y - evaluate(found["model"], t, p)
         total = ((y - y.mean()) ** 2).sum()
@@ -255,20 +255,14 @@ def prism_curve(fits: DataFrame, low: float, high: float, points: int = 300, key
 def prism_grid(
     aligned: DataFrame, step: float = COARSE, key: str = "code", value: str = "kwh", temperature: str = "temperature"
 ) -> DataFrame:
-    """The best heating ("2ch") and cooling ("2cl") model of each area with SQL functions only: every break against every row before the map-side aggregate."""
-    t = F.col(temperature)
+    """The best heating ("2ch") and cooling ("2cl") model of each area with SQL functions only: every break against every temperature, by which rows are summed first."""
+    summed, t = by_temperature(aligned, key, value, temperature), F.col("t")
 
     def side(name: str, ends: tuple[float, float], hinge: Column) -> DataFrame:
         n = round((ends[1] - ends[0]) / step)
         grid = F.array(*[F.lit(ends[0] + step * k) for k in range(n + 1)])
-        rows = aligned.where(F.col(value).isNotNull() & t.isNotNull()).select(key, F.col(value).alias("y"), t.alias(temperature), F.explode(grid).alias("x"))
-        h = F.greatest(hinge, F.lit(0.0))
-        fit = rows.groupBy(key, "x").agg(
-            F.regr_slope("y", h).alias("slope"),
-            F.regr_intercept("y", h).alias("level"),
-            (F.regr_syy("y", h) * (1 - F.regr_r2("y", h))).alias("sse"),
-            F.count_if(h > 0).alias("beyond"),
-        )
+        rows = summed.withColumn("x", F.explode(grid)).withColumn("h", F.greatest(hinge, F.lit(0.0)))
+        fit = hinge_fit(rows, key, "x")
         valid = fit.where((F.col("slope") > 0) & (F.col("level") >= 0) & (F.col("beyond") > BEYOND))
         best = Window.partitionBy(key).orderBy(F.round("sse", 6), "x")
         return valid.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(key, F.lit(name).alias("model"), F.col("x").alias("break_temp"), F.col("level").alias("baseload"), "slope", "sse")

@@ -97,6 +97,32 @@ def degree_day_fit(
     )
 
 
+def by_temperature(aligned: DataFrame, key: str, value: str, temperature: str) -> DataFrame:
+    """(key, t, n, y, yy): rows with both values, their number, load and squared load, by temperature; load is less its key's mean m."""
+    rows = aligned.where(F.col(value).isNotNull() & F.col(temperature).isNotNull()).select(key, F.col(value).cast("double").alias("y"), F.col(temperature).alias("t"))
+    level = rows.groupBy(key).agg(F.avg("y").alias("m"))
+    y = F.col("y") - F.col("m")  # sums of squares of values far from 0 would lose digits
+    return rows.join(level, key).groupBy(key, "m", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"))
+
+
+def hinge_fit(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Least squares of load on h (a column of by_temperature rows) for each key and by: n, slope, level, r2, sse, mean_h, mean_y, beyond (rows with h above 0).
+
+    slope, level and r2 are null where h doesn't vary; r2 is 1 where the load doesn't.
+    """
+    n, h = F.col("n"), F.col("h")
+    s = rows.groupBy(key, by).agg(
+        F.sum("n").alias("n"), F.sum(n * h).alias("sh"), F.sum(n * h * h).alias("shh"), F.sum(h * F.col("y")).alias("shy"), F.sum("y").alias("sy"),
+        F.sum("yy").alias("syy"), F.max("m").alias("m"), F.sum(F.when(h > 0, n).otherwise(0)).alias("beyond"), (F.min("h") < F.max("h")).alias("varied"),
+    )
+    hh, hy, yy = F.col("shh") - F.col("sh") ** 2 / n, F.col("shy") - F.col("sh") * F.col("sy") / n, F.col("syy") - F.col("sy") ** 2 / n
+    slope = F.when(F.col("varied"), hy / hh)
+    out = s.withColumns({"slope": slope, "mean_h": F.col("sh") / n, "mean_y": F.col("m") + F.col("sy") / n, "yy": yy})
+    r2 = F.when(F.col("yy") > 0, F.col("slope") * hy / F.col("yy")).otherwise(F.when(F.col("varied"), 1.0))
+    level = F.col("mean_y") - F.col("slope") * F.col("mean_h")
+    return out.select(key, by, "n", "slope", level.alias("level"), r2.alias("r2"), (F.col("yy") - F.col("slope") * hy).alias("sse"), "mean_h", "mean_y", "beyond")
+
+
 def heating_change_point(
     aligned: DataFrame,
     bases: tuple[float, float, float] = BASES,
@@ -107,23 +133,16 @@ def heating_change_point(
 ) -> DataFrame:
     """The base temperature whose heating degrees explain most of the load; the lowest base on ties.
 
-    Every row meets every base before the map-side aggregate; what is shuffled is keys times bases.
+    Rows are summed by key and temperature first, so only distinct temperatures meet every base.
     With constant degrees c the fit is the minimum-norm one: intercept m / (1 + c^2), slope c times that.
     """
     low, high, step = bases
     n = round((high - low) / step)
     grid = F.array(*[F.lit(low + step * k) for k in range(n + 1)])
-    rows = aligned.where(F.col(value).isNotNull() & F.col(temperature).isNotNull()).select(
-        key, F.col(value).alias("y"), F.col(temperature).alias("t"), F.explode(grid).alias("base")
-    )
+    rows = by_temperature(aligned, key, value, temperature).withColumn("base", F.explode(grid))
     h = F.greatest(F.col("base") - F.col("t"), F.lit(0.0))
-    fit = rows.groupBy(key, "base").agg(
-        F.count(F.lit(1)).alias("n_obs"),
-        F.regr_slope("y", h).alias("slope"),
-        F.regr_intercept("y", h).alias("intercept"),
-        F.regr_r2("y", h).alias("r2"),
-        F.avg(h).alias("c"),
-        F.avg("y").alias("m"),
+    fit = hinge_fit(rows.withColumn("h", h), key, "base").select(
+        key, "base", F.col("n").alias("n_obs"), "slope", F.col("level").alias("intercept"), "r2", F.col("mean_h").alias("c"), F.col("mean_y").alias("m")
     )
     flat = F.col("slope").isNull()
     level = F.col("m") / (1 + F.col("c") * F.col("c"))
