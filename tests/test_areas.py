@@ -227,7 +227,7 @@ def test_geojson_in_and_out(spark, tmp_path):
     writers.write_building_geojson(df, str(tmp_path / "out"), "EPSG:2950")
     out = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
     assert out["properties"] == {"building_id": "B1", "year": None, "crs": "EPSG:2950"} and out["geometry"]["coordinates"][0][0] == [-1, -1]
-    for crs, target in ((None, None), ("EPSG:2950", "EPSG:4326")):
+    for crs, target in ((None, None), ("EPSG:2950", "EPSG:9999"), ("EPSG:9999", "EPSG:4326")):
         with pytest.raises(ValueError):
             writers.write_building_geojson(df, str(tmp_path / "x"), crs, target)
 
