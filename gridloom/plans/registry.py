@@ -12,7 +12,7 @@ from gridloom.operators import anomalies, buildings, census, prism, quality, sho
 from gridloom.operators.catalog import rebuild
 from gridloom.plans import fixtures as fx
 from gridloom.plans.fixtures import with_tables
-from gridloom.sources.readers import long_from_raw, long_from_wide
+from gridloom.sources.readers import long_from_wide
 from gridloom.sources.writers import wide_from_long
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -676,12 +676,6 @@ def preprocess_load(spark, d):
     return rounded(quality.preprocess_load(fx.load_gappy(spark, d), min_coverage=0.8, fill="interpolate")[0])
 
 
-@query("SELECT event_type AS code, ts - INTERVAL 5 HOUR AS ts, round(sum(value), 6) AS kwh FROM events GROUP BY 1, 2")
-def long_from_raw_load(spark, d):
-    raw = fx.table(spark, d, "events").select(F.concat(F.lit(" "), "event_type").alias("CP3"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("DateIntervalUTC"), F.col("value").cast("string").alias("kWh"))
-    return rounded(long_from_raw(raw))
-
-
 @query(with_tables("load_hourly", "g AS (SELECT c.code, t.ts FROM (SELECT DISTINCT code FROM load_hourly) c, (SELECT DISTINCT ts FROM load_hourly) t) SELECT g.code, g.ts, round(l.kwh, 6) AS kwh FROM g LEFT JOIN load_hourly l ON l.code = g.code AND l.ts = g.ts"))
 def wide_and_back(spark, d):
     return rounded(long_from_wide(wide_from_long(fx.load_hourly(spark, d))))
@@ -694,3 +688,6 @@ def rebuild_load(spark, d):
     areas = fx.load_user(spark, d).select(F.col("code").cast("string").alias("code")).distinct()
     options = {"min_coverage": 0.0}
     return rebuild(load, fx.weather_hourly(spark, d), known, areas, preprocess=options)[0]
+
+
+from gridloom.plans import file_queries, model_queries  # noqa: E402, F401  (they register their queries here)
