@@ -18,10 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (one machine, as in tests) a temporary folder is made and set.
+    Only where that is unset on a local master (one machine, as in tests) a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -33,23 +35,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: later jobs neither recompute it nor depend on executors that made it."""
+    """Write df as a table in the shared folder and read it again: later jobs neither recompute it nor depend on executors that made it.
+
+    An aggregate that is cut before it is joined to its own rows leaves the join two plain shuffles, of which
+    adaptive execution can split one at a key with very many rows.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _written[id(out)] = (out, path)
+    out._written_to = path
     return out
 
 
-_written: dict[int, tuple[DataFrame, str]] = {}
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete what cut() wrote for these, once nothing that is still to run reads it."""
     for df in tables:
-        _, path = _written.pop(id(df))
         spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
