@@ -14,7 +14,9 @@ Work that grows with the square of a group's size is avoided in steps, none of w
   over all its buckets, which for copies that were altered is the text they come from.
 * Buckets that still hold more than one component are compared with another pivot each.
 * What is left, pairs from different components in a bucket, is compared pair by pair, if bitmaps of
-  the two sets leave it possible that they reach the threshold.
+  the two sets leave it possible that they reach the threshold. Members of a bucket are dealt to blocks
+  of about BUCKET and each pair of blocks is a key of its own, so no task holds a large bucket.
+A set is shipped with a pair only after size and likelihood passed, that is to sets of about its size.
 Linked documents form components by alternating stars.
 
 With 32 bands of 4 registers a pair at similarity 0.85 shares no band with probability 6e-11, one at
@@ -32,7 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ REGISTERS = BANDS * ROWS_PER_BAND
 RATE, BASE, LARGEST = 20.0, 1.001, (1 << 16) - 1
 #: Bits of the bitmap of a set's hashes, by which pairs are left out exactly.
 BITS = 1024
+#: Members of a bucket that one task compares with as many others.
+BUCKET = 300
 #: Estimates this many standard errors below the threshold are not verified.
 ERRORS = 5.0
 DOCS = 200
@@ -217,6 +221,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that are linked."""
     exploded = classes.select("node", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = cut(shared, "shared")
     members = cut(exploded.join(shared, "key").select("key", "node", "size"), "members")
     compared = members.select("node").distinct()
     sets = cut(
@@ -247,8 +252,9 @@ def _with_pivots(members: DataFrame, rank: Column) -> DataFrame:
     """Each member with its bucket's pivot, the member of largest rank; pairs of one component are left out."""
     pivot = F.max_by("node", rank).alias("pivot")
     owner = F.max_by("component", rank).alias("owner")
+    pivots = cut(members.groupBy("key").agg(pivot, owner), "pivots")
     return (
-        members.join(members.groupBy("key").agg(pivot, owner), "key")
+        members.join(pivots, "key")
         .where("component <> owner")
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
@@ -262,8 +268,12 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
         .join(found, "node", "left")
         .select("key", "node", F.coalesce("component", "node").alias("component"))
     )
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return cut(own.join(mixed.select("key"), "key"), "apart")
+    mixed = (
+        own.groupBy("key")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("left"))
+        .where("x <> y")
+    )
+    return cut(own.join(cut(mixed.select("key", "left"), "mixed"), "key"), "apart")
 
 
 def _one_by_one(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -273,20 +283,28 @@ def _one_by_one(members: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     what the two share from above. A pair is made in one of the buckets it shares, the one of smallest
     key; if that bucket isn't among those left it held this pair alone and has been compared.
     """
-    columns = ("key", "node", "component", "n", "bits", "bands")
-    one = members.join(sketches.select("node", "n", "bits", "bands"), "node").select(*columns)
-    other = one.select(*[F.col(c).alias(f"{c}_b") for c in columns])
+    columns = ("key", "node", "component", "n", "bits", "bands", "low", "high")
+    blocks = F.ceil(F.col("left") / BUCKET)
+    dealt = (
+        members.join(sketches.select("node", "n", "bits", "bands"), "node")
+        .withColumn("last", blocks.cast("int") - 1)
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(4), "node"), blocks).cast("int"))
+    )
+    one = dealt.withColumn("low", F.col("own")).withColumn("high", F.explode(F.sequence("own", "last"))).select(*columns)
+    other = dealt.withColumn("high", F.col("own")).withColumn("low", F.explode(F.sequence(F.lit(0), "own")))
+    other = other.select(*[F.col(c).alias(f"{c}_b") for c in columns])
 
     def only(x: str, y: str) -> Column:
         return reduce(add, [F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITS // 64)])
 
     most = F.least(F.col("n") - only("bits", "bits_b"), F.col("n_b") - only("bits_b", "bits"))
-    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b"))
+    once = (F.col("low") < F.col("high")) | (F.col("node") < F.col("node_b"))
+    apart = once & (F.col("component") != F.col("component_b"))
     sizes = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
     can = sizes & ((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")))
     here = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("key")
-    pairs = one.join(other, (F.col("key") == F.col("key_b")) & apart & can & here)
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    same = reduce(and_, [F.col(c) == F.col(f"{c}_b") for c in ("key", "low", "high")])
+    return one.join(other, same & apart & can & here).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
