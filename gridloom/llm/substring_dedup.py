@@ -316,6 +316,7 @@ def _spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
     lists = [F.col(c).alias(one) for c, one in (("prefixes", "prefix"), ("lows", "low"), ("highs", "high"), ("anchors", "anchor"))]
     anchors = classes.select("doc", "body", *DIGEST, F.explode(F.arrays_zip(*lists)).alias("r")).select("doc", "body", *DIGEST, "r.*")
     twice = anchors.groupBy("prefix").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("prefix")
+    twice = cut(twice, "twice")  # read from a table, the join below has two plain shuffles, and adaptive execution splits a prefix of very many segments
     runs = (
         anchors.join(twice, "prefix")
         .groupBy("doc", "body", *DIGEST)
