@@ -87,6 +87,7 @@ def _covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .where(F.col("n") > 1)
         .drop("n")
     )
+    repeated = cut(repeated, "repeated")  # so that adaptive execution can split the join below at a window that very many documents hold
     later = windows.join(repeated, KEY).where(place != F.col("first")).select(*DOC, "pos").distinct()
     ordered = Window.partitionBy(*DOC).orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(ordered) >= WINDOW, F.lit(True))
