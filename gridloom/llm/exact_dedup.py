@@ -4,9 +4,10 @@ Texts are normalised by deleting white space. Sampled splitters range-partition
 bytes, each partition is sorted externally so that equal texts are adjacent, and neighbours are
 compared in full by the window that follows; the first row of a run is the one that stays.
 
-The splitters are drawn over (first 32 characters, 64-bit hash) so that what the sampling sends to
-the driver is bounded, and so that many texts with one opening still spread; the sort below goes on
-to the whole text. A text with more copies than a quarter of an average partition would make one
+The sampled splitters are openings of HEAD characters, so what sampling sends to the driver is bounded.
+One opening that very many texts share would fill one range; such a tie is cut into several ranges by a
+64-bit hash of the text, which equal texts share too. Inside a range rows are sorted by their whole
+content: opening, then text. A text with more copies than a quarter of an average partition would make one
 run too long for a task. The hashes of such texts (at most four for each partition) are found
 first, and their rows are sorted and combined where they are read, before any shuffle.
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._shared import partitions, strip_spaces, table
 
-HEAD = 32
+#: Characters of a splitter.
+HEAD = 64
 LEAST_HOT = 32
 
 
@@ -54,7 +56,7 @@ def _sorted_runs(rows: DataFrame) -> DataFrame:
     ranged = rows.withColumn("head", F.substring("normalised", 1, HEAD)).repartitionByRange(
         partitions(rows.sparkSession), "head", "h"
     )
-    run = Window.partitionBy("head", "h", "normalised")
+    run = Window.partitionBy("head", "normalised", "h")  # sorted in this order, and a run ends where a neighbour differs
     best = run.orderBy(F.desc("length"), F.col("id").asc_nulls_last())
     return ranged.select(
         "id",
