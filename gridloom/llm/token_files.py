@@ -10,7 +10,10 @@ Ids take 16 bits where the vocabulary has at most 65,536, else 32. A task that r
 under new names; only files in the table of parts count, and that table is written once.
 
 Texts of characters up to U+024F are split by the tokenizer's own pattern and each new pre-token is
-encoded by the library; other texts go to the library whole.
+encoded by the library; other texts, and texts that hold one of the tokenizer's added tokens (which the
+library matches before the pattern), go to the library whole.
+
+The folder is a URI of a file system that Arrow knows; Hadoop's names of S3 are read as such.
 
 Defined results: null text has the end id only; null ids come last; rows that repeat an id come in
 the order of their texts' hash; an empty table gives no rows; other columns are unread.
@@ -19,6 +22,7 @@ the order of their texts' hash; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -59,7 +63,7 @@ class _Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
         self.tokenize = self.tokenizer.model.tokenize
@@ -76,7 +80,7 @@ class _Pieces(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if _low_only(text):
+        if _low_only(text) and not any(t in text for t in self.added):
             return b"".join(map(self.__getitem__, _low(text)))
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -108,7 +112,7 @@ def write_tokens(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), pieces(definition).encode
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = _file_system(folder)
         fs.create_dir(root, recursive=True)
         names = [f"part-{part:06d}-{uuid.uuid4().hex}.{kind}" for kind in ("ids", "docs")]
         n_docs = n_ids = 0
@@ -158,9 +162,13 @@ def _part_types() -> list[pa.DataType]:
     return [kinds[x.split()[1]] for x in PARTS.split(", ")]
 
 
+def _file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def _opened(uri: str):
     """A file to read at offsets: mapped to memory where it is local."""
-    fs, path = pa.fs.FileSystem.from_uri(uri)
+    fs, path = _file_system(uri)
     if isinstance(fs, pa.fs.LocalFileSystem):
         return pa.memory_map(path) if os.path.getsize(path) else pa.BufferReader(b"")
     return fs.open_input_file(path)
@@ -200,7 +208,6 @@ def _documents(p: dict) -> Iterator[pa.RecordBatch]:
         )
 
 
-
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = write_tokens(table(spark, sf_dir, "documents"), scratch(spark, "tokens"))
     return read_tokens(parts).select(
