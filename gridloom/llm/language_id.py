@@ -1,14 +1,14 @@
 """Language identification of spans: script ranges, per-word scores, Viterbi with a switching penalty.
 
-A word is a run of letters. The scripts of its characters (ranges of UTF-8 lead bytes) leave the
-languages whose training words use them as candidates. Each candidate scores the word by the log
+A word is a run of letters and their marks (Unicode classes L and M beyond ASCII). The scripts of its
+characters (ranges of code points) leave the languages whose training words use them as candidates. Each candidate scores the word by the log
 probabilities of its byte trigrams, bounded below so that no word decides alone. Viterbi over the
 words of a document, with a penalty for each change of language, labels spans. The document's
 language is the one whose spans hold the most letters; its score is their share.
 
 Learning counts trigrams per language over a bounded sample: about PER_LANG documents of each
 language, chosen by a hash of their id. The counts are summed by language and trigram class before
-they reach the driver; their number is bounded by languages times 64^3.
+they reach the driver; their number is bounded by languages times 64^3, and languages by MAX_LANGS (more raise an error).
 
 Viterbi runs over all documents of a batch at once, word by word, longest first, so its work is the
 number of words and its Python steps are as many as the longest text of the batch has words.
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from gridloom.llm._shared import table, trimmed
 
 #: Expected number of sampled training documents of each language.
 PER_LANG = 1500
+#: Languages whose model fits a worker: 1 MB each.
+MAX_LANGS = 200
 #: Cost of changing the language between two words, and the lowest score of a word below the best language's.
 SWITCH, LOWEST = 6.0, -8.0
 UNKNOWN = "und"
@@ -49,26 +52,41 @@ CLASS = np.zeros(256, np.uint32)
 CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 CLASS[128:] = 27 + np.arange(128) * 7 % (CLASSES - 27)
 
-#: Script ranges as first and last UTF-8 lead byte; the place in the list is the bit.
+#: Script ranges as first and last code points; the place in the list is the bit. Other letters stand for any script.
 SCRIPTS = [
-    ("latin", 0xC2, 0xCA),
-    ("greek", 0xCD, 0xCF),
-    ("cyrillic", 0xD0, 0xD4),
-    ("hebrew", 0xD6, 0xD7),
-    ("arabic", 0xD8, 0xDB),
-    ("indic or thai", 0xE0, 0xE0),
-    ("georgian, ethiopic and others", 0xE1, 0xE1),
-    ("symbols", 0xE2, 0xE2),
-    ("kana", 0xE3, 0xE3),
-    ("han", 0xE4, 0xE9),
-    ("hangul", 0xEA, 0xED),
-    ("other", 0xEE, 0xF4),
+    ("latin", [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)]),
+    ("greek", [(0x370, 0x3FF), (0x1F00, 0x1FFF)]),
+    ("cyrillic", [(0x400, 0x52F)]),
+    ("armenian", [(0x530, 0x58F)]),
+    ("hebrew", [(0x590, 0x5FF)]),
+    ("arabic", [(0x600, 0x6FF), (0x750, 0x77F)]),
+    ("devanagari", [(0x900, 0x97F)]),
+    ("other indic", [(0x980, 0xDFF)]),
+    ("thai and lao", [(0xE00, 0xEFF)]),
+    ("georgian", [(0x10A0, 0x10FF)]),
+    ("ethiopic", [(0x1200, 0x139F)]),
+    ("kana", [(0x3040, 0x30FF)]),
+    ("han", [(0x3400, 0x9FFF), (0x20000, 0x2FFFF)]),
+    ("hangul", [(0x1100, 0x11FF), (0xAC00, 0xD7AF)]),
 ]
-SCRIPT = np.zeros(256, np.uint16)
-SCRIPT[ord("a") : ord("z") + 1] = 1
-for _bit, (_, _low, _high) in enumerate(SCRIPTS):
-    SCRIPT[_low : _high + 1] = 1 << _bit
 
+
+def _scripts_by_bytes() -> np.ndarray:
+    """Script bits by the first two bytes of a character: 64 code points or fewer in two and three bytes, 4096 in four."""
+    out = np.zeros(1 << 16, np.uint16)
+    for bit, (_, ranges) in enumerate(SCRIPTS):
+        for low, high in ranges:
+            for point in range(low, high + 1):
+                two = (chr(point).encode() + b" ")[:2]
+                if point < 0x80:
+                    out[two[0] << 8 : (two[0] + 1) << 8] |= 1 << bit
+                else:
+                    out[two[0] << 8 | two[1]] |= 1 << bit
+    return out
+
+
+SCRIPT = _scripts_by_bytes()
+_no_letters = regex.compile(r"[^\x00-\x7f\p{L}\p{M}]").sub
 _ascii_letter = re.compile("[a-z]").search
 
 
@@ -82,6 +100,7 @@ class Model:
 def _lowered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the lower-cased texts with a space around each; where each starts; whether each has a letter."""
     low = [t.lower() if t else "" for t in texts]
+    low = [t if t.isascii() else _no_letters(" ", t) for t in low]
     has = np.array([bool(_ascii_letter(t)) or any(map(str.isalpha, t)) for t in low], bool)
     data = [t.encode("utf-8", "replace") for t in low]
     starts = np.cumsum([1] + [len(x) + 1 for x in data])
@@ -89,7 +108,7 @@ def _lowered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram classes and scripts of all letter bytes, and where among these each word begins (with the end appended); first bytes of words."""
+    """Trigram classes of all letter bytes, and where among these each word begins (with the end appended); the places of letter bytes."""
     kind = CLASS[data]
     code = (kind[:-2] << 12) | (kind[1:-1] << 6) | kind[2:]
     letter = kind > 0
@@ -98,16 +117,22 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code[at - 1], np.append(begins, len(at)), at
 
 
+def _scripts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return SCRIPT[data[at].astype(np.uint16) << 8 | data[at + 1]]
+
+
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trigram log probabilities by language from a sample of the rows with text and language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((CLASSES**3, 0), np.float32), np.zeros(0, np.uint16))
-    draw, share = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20)), F.lit(0)
-    for k in langs:
-        share = F.when(F.col(lang_col) == k, int(min(1.0, PER_LANG / counts[k]) * (1 << 20))).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20))
+    shares = [x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, PER_LANG / counts[k]) * (1 << 20))))]
+    share = F.element_at(F.create_map(*shares), F.col(lang_col))
     sample = rows.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +145,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 if not len(codes):
                     continue
                 tri, n = np.unique(codes, return_counts=True)
-                used, m = np.unique(np.bitwise_or.reduceat(SCRIPT[data[at]], begins[:-1]), return_counts=True)
+                used, m = np.unique(np.bitwise_or.reduceat(_scripts(data, at), begins[:-1]), return_counts=True)
                 keys = np.concatenate([tri.astype(np.int64), -1 - used.astype(np.int64)])
                 sums = np.concatenate([n, m]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -170,7 +195,7 @@ def _scored(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarr
     if len(begins) < 2:
         return np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64), np.zeros(len(texts), np.int64), has
     doc = np.searchsorted(starts, at[begins[:-1]], side="right") - 1
-    scripts = np.bitwise_or.reduceat(SCRIPT[data[at]], begins[:-1])
+    scripts = np.bitwise_or.reduceat(_scripts(data, at), begins[:-1])
     score = _scores(codes, begins, scripts, model) if model.langs else np.zeros((len(doc), 0), np.float32)
     return score, np.diff(begins), np.bincount(doc, minlength=len(texts)), has
 
