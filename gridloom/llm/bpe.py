@@ -217,12 +217,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """The number of ids and digests of both sides, with more columns if named."""
     return encoded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

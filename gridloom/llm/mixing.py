@@ -12,7 +12,7 @@ summed by (source, range of the hash), prefix sums go over the ranges, and docum
 only within a range.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; a
-source of size 0 has target 0; a null id hashes as the empty string; repeated rows each count;
+source of size 0 has target 0; a null id is told by the MD5 of its text; repeated rows each count;
 ties of the hash are ordered by id, then size; an empty table gives no rows; other columns are unread.
 """
 
@@ -41,13 +41,15 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, source, size (words), source_size, target, reps, taken.
+    """One row per input row: id, source, size (words), source_size, target, reps, taken; and row, all of its columns, if carry.
 
     weights go to the sources in the order of their code points, null last, and repeat.
     """
     spark = df.sparkSession
-    text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    text_id = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text_id)), 1, HASH_BITS // 4)
     sized = cut(
         df.select(
@@ -57,6 +59,7 @@ def mix_sources(
             F.col(source_col).isNull().alias("source_null"),
             word_count(F.col(text_col)).alias("size"),
             F.conv(digits, 16, 10).cast("long").alias("h"),
+            *row,
         ),
         "sized",
     )
@@ -81,7 +84,7 @@ def mix_sources(
         ranged.join(plan, [*KEY, "range"])
         .withColumn("until", until)
         .withColumn("reps", reps.cast("long"))
-        .select("id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
+        .select("id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"), *["row"] * carry)
     )
 
 
@@ -123,7 +126,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
