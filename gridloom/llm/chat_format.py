@@ -10,18 +10,24 @@ combining, so a first turn or a conversation that a third of all rows share cost
 Only (id, place, hashes) is ordered; texts are shuffled once, for the rendering of what remains.
 
 Defined results: turns are ordered by number, null first, and turns that share a number by their hash;
-rows that repeat all four columns count once; null role or text reads as empty; the null conversation id is one conversation,
-last in order; an empty table gives no rows; other columns are unread.
+rows that repeat all four columns count once; null role or text reads as empty; a row without a conversation
+id is a conversation of its own, after all others, so logs without ids don't meet in one task; an empty
+table gives no rows; other columns are unread.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._shared import cut, table
 
 HASHES = ["x1", "x2"]
+#: What tells conversations apart: the id, or the turn's number and hashes where there's none.
+OWNER = ["alone", "conv"]
 TEMPLATE = ("<|", "|>\n", "<|end|>\n")
 
 
@@ -35,20 +41,22 @@ def format_chats(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).withColumns({"h1": F.xxhash64("role", "text"), "h2": F.xxhash64(F.lit(1), "role", "text")})
+    no_id = F.struct(F.col("turn"), F.col("h1"), F.col("h2"))
+    turns = turns.withColumn("alone", F.when(F.col("conv").isNull(), F.to_json(no_id)))
     prefixes = cut(_prefixes(turns), "prefixes")
     ends = (
         prefixes.where("is_last")
         .groupBy("n", *HASHES)
-        .agg(F.min(F.struct(F.col("conv").isNull(), F.col("conv"))).alias("best"), F.count(F.lit(1)).alias("n_same"))
-        .select("n", *HASHES, F.col("best.conv").alias("conv"), "n_same")
+        .agg(F.min(F.struct(F.col("conv").isNull(), *OWNER)).alias("best"), F.count(F.lit(1)).alias("n_same"))
+        .select("n", *HASHES, *[F.col(f"best.{c}").alias(f"{c}_kept") for c in OWNER], "n_same")
     )
     longer = prefixes.where(~F.col("is_last")).select("n", *HASHES).distinct()
-    maximal = ends.join(longer, ["n", *HASHES], "left_anti").select(F.col("conv").alias("kept"), "n_same")
+    maximal = ends.join(longer, ["n", *HASHES], "left_anti").select(*[f"{c}_kept" for c in OWNER], "n_same")
     a, b, c = map(F.lit, TEMPLATE)
     said = F.array_sort(F.collect_set(F.struct("turn", "h1", "h2", "role", "text")))
     return (
-        turns.join(maximal, turns["conv"].eqNullSafe(maximal["kept"]))
-        .groupBy("conv", "n_same")
+        turns.join(maximal, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_kept")) for c in OWNER]))
+        .groupBy(*OWNER, "n_same")
         .agg(said.alias("said"))
         .select(
             "conv",
@@ -60,16 +68,16 @@ def format_chats(
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
-    """(conv, n, x1, x2, is_last): the hash of the first n turns of each conversation."""
-    order = Window.partitionBy("conv").orderBy("turn", "h1", "h2")
+    """(alone, conv, n, x1, x2, is_last): the hash of the first n turns of each conversation."""
+    order = Window.partitionBy(*OWNER).orderBy("turn", "h1", "h2")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        turns.select("conv", "turn", "h1", "h2")
+        turns.select(*OWNER, "turn", "h1", "h2")
         .distinct()
         .withColumn("n", F.row_number().over(order))
         .withColumns({"y1": F.xxhash64("n", "h1"), "y2": F.xxhash64("n", "h2")})
         .select(
-            "conv",
+            *OWNER,
             F.col("n").cast("long").alias("n"),
             F.bit_xor("y1").over(running).alias("x1"),
             F.bit_xor("y2").over(running).alias("x2"),
@@ -86,11 +94,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN conv_id IS NULL THEN hash(turn, coalesce(role, ''), coalesce(text, '')) END AS alone FROM conversations
 ), p AS (
-  SELECT conv_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS len,
+  SELECT conv_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY alone, conv_id) AS len,
          string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER w AS said
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  FROM t WINDOW w AS (PARTITION BY alone, conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), ends AS (
   SELECT n, said, min(conv_id) AS conv_id, count(*) AS n_same FROM p WHERE n = len GROUP BY n, said
 )
