@@ -15,6 +15,9 @@ other columns pass through, and existing columns named n_lines or n_removed are
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.struct(*[F.col(c) for c in rest]).alias("rest"),
         F.col(text_col).alias("text"),
         F.col(id_col).isNull().alias("no_id"),
-        F.coalesce(F.col(id_col), F.lit(0)).alias("id"),
+        F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("body"),
     )
     lines = F.split("text", "\n", -1)
-    joined = held.join(covered, DOC, "left").withColumn("lines", lines)
+    covered = covered.toDF(*[f"{c}_" for c in DOC], "spans")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in DOC])
+    joined = held.join(covered, same, "left").withColumn("lines", lines)
     spans = F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>"))
 
     def gap(i):
@@ -64,7 +69,7 @@ def _covered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = F.split(F.col(text_col), "\n", -1)
     docs = df.where(F.contains(F.col(text_col), F.lit("\n"))).select(
         F.col(id_col).isNull().alias("no_id"),
-        F.coalesce(F.col(id_col), F.lit(0)).alias("id"),
+        F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("body"),
         F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"),
     )

@@ -298,7 +298,7 @@ def test_viterbi_is_the_best_path():
         assert value(got[a : a + n].tolist(), a) == pytest.approx(best, abs=1e-4)
 
 
-TEXTS = ["", "  a\n\n b\x1c \x85x", "日本 語　x", "a" * 3000, "don't I'll 12²½ ₂", "<|endoftext|>", "é" * 500 + "ß", "Ünï <|endoftext|>日"]
+TEXTS = ["", "  a\n\n b\x1c \x85x", "日本 語　x", "a" * 3000, "don't I'll 12²½ ₂", "<|endoftext|>", "é" * 500 + "ß", "Ünï <|endoftext|>日", "hello <|endoftext|> x", "a<|endoftext|>b<|endoftext"]
 
 
 def random_texts():
@@ -329,7 +329,6 @@ def test_token_files(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
-    t.encode_special_tokens = True
     docs = rows + [(1000 + k, x, None, None) for k, x in enumerate(TEXTS + random_texts())]
     parts = token_files.write_tokens(frame(spark, docs), scratch(spark, "test"))
     got = sorted(token_files.read_tokens(parts).collect(), key=lambda r: r.start)
@@ -372,6 +371,73 @@ def test_nearest(spark):
     assert nearest.nearest(one, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def plain_nearest(rows, queries, k=5):
+    """Brute force over (id, vector): the k best of each query by score, then id."""
+    out = {}
+    for q, v in rows:
+        if q in queries:
+            best = {}
+            for i, w in rows:
+                if i != q:
+                    s = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 10)
+                    best[i] = max(best.get(i, -2), s)
+            out[q] = sorted(best, key=lambda i: (-best[i], i))[:k]
+    return out
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    """Axes, their negatives, doubles and halves: very many equal cosines; extreme lengths; an id with two vectors."""
+    axes = np.eye(8)
+    vectors = [axes[k % 8] * (1.0, 2.0, 0.5, -1.0)[k // 8 % 4] for k in range(96)]
+    vectors[5] = vectors[5] * 1e200
+    vectors[6] = vectors[6] * 1e-200
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    rows += [(0, axes[3].tolist()), (0, (axes[0] * 4).tolist())]
+    schema = "vec_id long, embedding array<double>, query_id string, id string, score string, rank string, cell string"
+    df = spark.createDataFrame([(*r, *"xxxxx") for r in rows], schema)
+    got = defaultdict(list)
+    for r in nearest.nearest(df, F.col("vec_id").isin(5, 6, 7, 40)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    plain = [(i, np.array(v) / np.abs(v).max()) for i, v in rows]
+    assert got == plain_nearest(plain, {5, 6, 7, 40})
+
+
+def test_nearest_over_many_cells(spark, monkeypatch):
+    """Clusters in many cells, blocks and parts: recall as in one cell, and far cells are left out."""
+    for name, v in (("SHARD", 150), ("BLOCK", 7), ("SAMPLE", 600)):
+        monkeypatch.setattr(nearest, name, v)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16)) * 4
+    vectors = np.concatenate([centres[np.arange(1200) % 12] + rng.standard_normal((1200, 16)), np.tile(centres[:1], (500, 1))])
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain_nearest([(k, v) for k, v in enumerate(vectors)], set(range(0, 1700, 50)))
+    got = defaultdict(list)
+    for r in nearest.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append(r.id)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_search_verifies_few_of_clustered_points():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32))
+    points = nearest.unit(np.repeat(centres, 100, 0) + 0.1 * rng.standard_normal((4000, 32)))
+    queries = nearest.unit(centres + 0.1 * rng.standard_normal((40, 32)))
+    found, verified = nearest.search(points, queries, 5, np.full(4000, -1), np.zeros(40, int))
+    best = np.argsort(-(queries @ points.T), 1)[:, :5]
+    assert sum(len(set(a) & set(b)) for a, b in zip(found.tolist(), best.tolist())) >= 0.9 * 200
+    assert verified < 0.2 * 40 * 4000
+
+
+def test_cells_hold_every_point_within_their_bounds():
+    points = np.random.default_rng(7).standard_normal((3000, nearest.PROJECTED))
+    points[:1000] = points[0]
+    cells = nearest.Cells(points[::3], 20)
+    of, bound = cells.of(points), cells.bounds(points)
+    assert (bound[np.arange(3000), of] == 0).all() and 15 <= len(set(of)) <= 20
+
+
 def test_chi_square():
     assert nearest.chi_square(2.0, 2) == pytest.approx(1 - np.exp(-1.0))
     assert nearest.stopping_ratio(2, 0.95) == pytest.approx(-2 * np.log(0.05))
@@ -390,6 +456,79 @@ def test_chat_format(spark):
     assert got[None].rendered == "<||>\nz<|end|>\n"
 
 
+def test_names_that_clash(spark):
+    """Input columns named like results: passed through or replaced, as the docstrings say."""
+    docs = spark.createDataFrame([(1, "ba be bi " * 20, "xx", "p", "s", "w")], "doc_id long, text string, lang string, lang_pred string, spans string, `a b` string")
+    model = language_id.learn(docs)
+    (r,) = language_id.identify(docs, model).collect()
+    assert (r.lang_pred, r["a b"], r.spans[0]["lang"]) == ("xx", "w", "xx")
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "c", "n", "x", "y")], "conv_id long, turn long, role string, text string, conv string, n_turns string, said string, alone string")
+    assert [(r.conv, r.n_turns, r.n_same) for r in chat_format.format_chats(turns).collect()] == [(1, 1, 1)]
+    lines = spark.createDataFrame([("b", "x\ny\nz", 1, 2), ("a", "x\ny\nz", 3, 4)], "doc_id string, text string, n_removed int, spans int")
+    got = {r.doc_id: (r.text, r.n_removed, r.spans) for r in line_dedup.dedup_lines(lines).collect()}
+    assert got == {"a": ("x\ny\nz", 0, 4), "b": ("", 3, 2)}  # ids may be text; removed is counted anew
+    mixed = mixing.mix_sources(docs.withColumn("source", F.lit("z")).withColumn("row", F.lit("old")).withColumn("h", F.lit("old")), carry=True).first()
+    assert mixed.row["row"] == mixed.row["h"] == "old" and mixed.reps == 1
+
+
+def test_rows_without_ids(spark):
+    """Rows without id don't stand for each other: they are drawn by their texts, and chats without id are single turns."""
+    rng = random.Random(15)
+    docs = [(None, prose(rng, 30), None, "a") for _ in range(60)] + [(k, prose(rng, 10), None, "b") for k in range(60)]
+    got = mixing.mix_sources(frame(spark, docs)).collect()
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    target = {r.source: r.target for r in got}
+    assert all(abs(taken[s] - t) <= 16 for s, t in target.items()) and len({r.reps for r in got if r.source == "a"}) > 1
+    turns = [(None, k % 3, "user", f"t{k}") for k in range(30)] + [(None, 0, "user", "t0"), (4, 0, "user", "t0"), (5, 0, "user", "t0"), (5, 1, "user", "u")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(df).collect()
+    assert sorted(r.rendered for r in chats if r.conv is None) == sorted(f"<|user|>\nt{k}<|end|>\n" for k in range(1, 30))
+    assert [(r.conv, r.n_turns) for r in chats if r.conv is not None] == [(5, 2)]  # the others prefix it
+
+
+def test_words_end_at_what_is_no_letter():
+    """No-break spaces, quotes, dashes and full stops of any script part words; scripts go by code points."""
+    data, _, _ = language_id._lowered(["a\u00a0b\u2019c\u2014d\u3002e\u0301f 12 \u0531\u0587 \u4e2d"])
+    _, begins, at = language_id._words(data)
+    assert len(begins) - 1 == 7
+    of = np.bitwise_or.reduceat(language_id._scripts(data, at), begins[:-1])
+    names = [{n for b, (n, _) in enumerate(language_id.SCRIPTS) if x >> b & 1} for x in of.tolist()]
+    assert names == [{"latin"}] * 5 + [{"armenian"}, {"han"}]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    docs = frame(spark, [(k, "a b", str(k), None) for k in range(3)])
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(docs)
+
+
+@pytest.mark.parametrize("bucket", [near_dup.BUCKET, 2])
+def test_buckets_in_blocks_miss_no_pair(spark, monkeypatch, bucket):
+    """Texts that resemble each other just below the threshold share buckets but not components."""
+    monkeypatch.setattr(near_dup, "BUCKET", bucket)
+    rng = random.Random(16)
+    base = [f"b{k}" for k in range(120)]
+    docs = []
+    for k in range(24):
+        w = list(base)
+        for p in rng.sample(range(120), 3):
+            w[p] = f"n{k}-{p}"
+        docs.append((k, " ".join(w), None, None))
+    docs += [(100 + k, t + " tail", None, None) for k, t, *_ in docs[::5]]
+    sets = {i: sets_of(t) for i, t, *_ in docs}
+    group = {i: i for i in sets}
+    for _ in sets:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if 100 * len(x & y) >= 85 * len(x | y):
+                    group[i] = group[j] = min(group[i], group[j])
+    got = {r.id: r.component_id for r in near_dup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == group and len(set(group.values())) > 5
+
+
 def test_empty_tables(spark, rows):
     none = frame(spark, rows).limit(0)
     assert exact_dedup.exact_dedup(none).count() == 0
@@ -403,6 +542,34 @@ def test_empty_tables(spark, rows):
     assert nearest.nearest(vectors, F.col("vec_id") % 50 == 0).count() == 0
     chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.format_chats(chats).count() == 0
+    model = language_id.learn(frame(spark, [(1, "ba be", "xx", None)]))
+    assert language_id.identify(none, model).count() == 0
+
+
+def test_empty_pipeline(spark, rows):
+    import corpus_pipeline as p
+
+    docs = frame(spark, rows).limit(0)
+    for _, stage in p.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+
+
+def test_pipeline_keeps_a_defined_row_of_a_repeated_id(spark):
+    """The row of smallest hash stays, whatever the order of rows; rows without id all stay and are mixed one by one."""
+    import corpus_pipeline as p
+
+    rng = random.Random(17)
+    docs = [(k % 7, prose(rng, 40), "en", "a") for k in range(21)] + [(None, prose(rng, 40), "en", "a") for _ in range(5)] + [(None, "same words here", "en", "b")] * 2
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        out = p.near_duplicates(spark, frame(spark, docs).repartition(5), "").collect()
+        assert Counter(r.doc_id for r in out) == Counter({**dict.fromkeys(range(7), 1), None: 7})
+        seen.add(frozenset(r.text for r in out))
+    assert len(seen) == 1
+    mixed = p.mixture(spark, frame(spark, docs), "")
+    assert mixed.columns == frame(spark, docs).columns and mixed.where("source = 'b'").count() == 6
 
 
 def test_pipeline(spark, rows):
