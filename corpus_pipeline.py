@@ -21,43 +21,59 @@ NEAR_PERCENT = 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all columns as one, so that no column clashes with an operator's results."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    """doc_id, text and the other columns as one, so that no column clashes with an operator's results."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _with_text(docs: DataFrame, packed: DataFrame, **changed) -> DataFrame:
     """The columns of docs from packed rows, some replaced."""
+    changed = {"text": F.col("text")} | changed
     return packed.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of one language, named in lang; the model learns from all labelled documents' bounded sample."""
+    """Keeps documents of one language, named in lang; the model learns from all labelled documents' bounded sample.
+
+    Null and empty texts and texts without a letter go; languages of equal score go by code point; repeated
+    rows and null ids are rows like others; without labelled rows, or of an empty table, nothing stays.
+    """
     found = language_id.identify(_packed(docs), language_id.learn(docs))
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return _with_text(docs, kept, lang=F.col("lang_pred"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without later occurrences of three lines; nulls, ties and repeats as in line_dedup."""
     kept = line_dedup.dedup_lines(_packed(docs))
-    return _with_text(docs, kept, text=F.col("text"), n_chars=F.length("text").cast("long"))
+    return _with_text(docs, kept, n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; rows that repeat an id are one document, rows without id all stay."""
+    """One document of each group, the one of smallest id.
+
+    Rows that repeat an id are one document; of them the row with the smallest hashes stays (text first, then all
+    columns), so reruns agree. Rows without id all stay, null and wordless texts too.
+    """
     kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null"))
+    plain = [f.name for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*plain)))
+    single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row"))
+    return single.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that repeat an id are taken equally often."""
-    plan = mixing.mix_sources(docs).groupBy("id").agg(F.max("reps").alias("reps"))
-    taken = _packed(docs).join(plan.where("reps > 0"), F.col("doc_id").eqNullSafe(F.col("id")))
-    return _with_text(docs, taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "reps"))))
+    """Each row as often as the mix takes it; ids may be null or repeat, each row is drawn by itself.
+
+    Rows of size 0 (null, empty or blank texts) are taken as their source's repetitions say; ties, a null source and
+    an empty table as in mix_sources.
+    """
+    taken = mixing.mix_sources(docs, carry=True).where("reps > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "reps")).alias("_copy")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.bpe_encode(docs, decoded=True))
+    """A row per row, with its token ids and their digests; a null text has no ids."""
+    return bpe.digests(bpe.bpe_encode(docs, decoded=True), "ids")
 
 
 STAGES = [
