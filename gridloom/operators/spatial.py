@@ -18,6 +18,8 @@ from gridloom.storage import stored
 
 #: How much larger cells are in the next round of a search.
 GROWTH = 4
+#: Units of a cell in the first round, about; more of them make fewer rounds and more distances.
+PER_CELL = 16
 
 
 def with_centroid(units: DataFrame, rings: str = "rings") -> DataFrame:
@@ -39,7 +41,7 @@ def dissolve(areas: DataFrame, by: list[str], rings: str = "rings") -> DataFrame
 def _nearest(points: DataFrame, units: DataFrame, k: int, key: str) -> DataFrame:
     """(key, unit, d): the k units (unit, ux, uy) nearest to each point (key, cx, cy), all if there are fewer; ties by unit.
 
-    Cells hold about k units at first. All units within a cell's side of a point are in the nine cells
+    Cells hold about k units (PER_CELL at least) at first. All units within a cell's side of a point are in the nine cells
     around it, so a point whose k-th of these is as near as that is done; the others go on with larger cells.
     """
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("ux", "uy") for f in (F.min, F.max)]
@@ -49,7 +51,7 @@ def _nearest(points: DataFrame, units: DataFrame, k: int, key: str) -> DataFrame
         return points.select(key).limit(0).join(units.select("unit", F.lit(0.0).alias("d")))
     wide = max(u["max_ux"] - u["min_ux"], u["max_uy"] - u["min_uy"])
     all_wide = max(max(u["max_u" + c], p["max_c" + c]) - min(u["min_u" + c], p["min_c" + c]) for c in "xy")
-    side = max(wide / max(1.0, (u["n"] / k) ** 0.5), all_wide * 1e-6) or 1.0
+    side = max(wide / max(1.0, (u["n"] / max(k, PER_CELL)) ** 0.5), all_wide * 1e-6) or 1.0
     done, rest = [], points.select(key, "cx", "cy")
     while True:
         last = side > all_wide
