@@ -89,10 +89,15 @@ def mix_sources(
 
 
 def _weighted(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """The table of sources is ordered in one task: it has a row per source, not per document."""
-    place = F.row_number().over(Window.orderBy("source_null", "source_key")) - 1
+    """Weights by each source's place in order: ranges of sources are ordered apart, and prefix sums over the ranges give their bases."""
+    order = ["source_null", "source_key"]
+    ranged = cut(sources.repartitionByRange(partitions(sources.sparkSession), *order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    bases = ranged.groupBy("range").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + F.col("base")
     cycle = F.array(*map(F.lit, weights))
-    return cut(sources.withColumn("weight", F.get(cycle, place % len(weights)).cast("long")), "sources")
+    placed = ranged.join(F.broadcast(bases), "range").withColumn("place", place)
+    return cut(placed.withColumn("weight", F.get(cycle, F.col("place") % len(weights)).cast("long")).drop("range", "base", "place"), "sources")
 
 
 def fill(sources: DataFrame, max_epochs: float) -> DataFrame:

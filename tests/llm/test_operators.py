@@ -108,6 +108,14 @@ def test_mixing(spark, rows):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_weights_go_by_the_order_of_sources(spark):
+    names = [f"s{k:03d}" for k in range(200)] + ["é", "Z", ""]
+    docs = [(k, "a", None, s) for k, s in enumerate(names + [None])]
+    sources = frame(spark, docs).select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("source_null"), F.lit(1).cast("long").alias("source_size"))
+    got = {None if r.source_null else r.source_key: r.weight for r in mixing._weighted(sources, (1, 2, 3)).collect()}
+    assert got == {s: 1 + k % 3 for k, s in enumerate([*sorted(names), None])}
+
+
 def test_fill_clamps_round_by_round(spark):
     df = spark.createDataFrame([("a", 1, 5), ("b", 10, 5), ("c", 100, 1)], "k string, source_size long, weight long")
     got = {r.k: r.target for r in mixing.fill(df, 3).collect()}
