@@ -6,6 +6,8 @@ by area; the scores from the residual on, the replacement and the summary are wi
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,29 +27,59 @@ def _odd_above(x: float) -> int:
     return n + 1 - n % 2
 
 
-def loess(y: np.ndarray, span: int, at: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
-    """Local linear smoothing of an evenly spaced series at the given places (may lie outside), tricube weights."""
-    n = len(y)
-    at = np.arange(n) if at is None else at
+def _kernel(n: int, span: int, first: float, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For count places from first on: the places themselves, their span nearest points of n, and tricube weights of these."""
+    at = first + np.arange(count)
     q = min(span, n)
-    if len(at) * q > CELLS and len(at) > 1:
-        step = max(1, CELLS // q)
-        return np.concatenate([loess(y, span, at[k : k + step], weights) for k in range(0, len(at), step)])
     left = np.clip(np.floor(at).astype(int) - (q - 1) // 2, 0, n - q)
     place = left[:, None] + np.arange(q)
-    gap = np.abs(place - at[:, None])
     reach = np.maximum(at - left, left + q - 1 - at) + max(0, (span - n) // 2)
-    r = gap / np.maximum(reach, 1e-12)[:, None]
-    w = np.where(r <= 0.001, 1.0, np.where(r <= 0.999, (1 - np.minimum(r, 1) ** 3) ** 3, 0.0))
-    if weights is not None:
-        w = w * weights[place]
-    total = w.sum(1, keepdims=True)
-    w = np.divide(w, total, out=np.full_like(w, 1.0 / q), where=total > 0)
-    centre = (w * place).sum(1)
-    off = place - centre[:, None]
-    spread = (w * off * off).sum(1)
+    r = np.abs(place - at[:, None]) / np.maximum(reach, 1e-12)[:, None]
+    return at, place, np.where(r <= 0.001, 1.0, np.where(r <= 0.999, (1 - np.minimum(r, 1) ** 3) ** 3, 0.0))
+
+
+def _line_weights(w: np.ndarray, place: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """What each point adds to the fitted line's value, for weights w (..., places, points)."""
+    total = w.sum(-1, keepdims=True)
+    w = np.divide(w, total, out=np.full_like(w, 1.0 / w.shape[-1]), where=total > 0)
+    centre = (w * place).sum(-1)
+    off = place - centre[..., None]
+    spread = (w * off * off).sum(-1)
     slope = np.where(np.sqrt(spread) > 0.001 * (n - 1), (at - centre) / np.where(spread > 0, spread, 1), 0.0)
-    return (w * (1 + slope[:, None] * off) * y[place]).sum(1)
+    return w * (1 + slope[..., None] * off)
+
+
+@lru_cache(maxsize=16)
+def _fixed(n: int, span: int, first: float, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without other weights what points add is the same for all series of a length."""
+    at, place, w = _kernel(n, span, first, count)
+    return place, _line_weights(w, place, at, n)
+
+
+def loess(y: np.ndarray, span: int, at: np.ndarray | None = None, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local linear smoothing of evenly spaced series (..., n) at the given places (may lie outside), tricube weights.
+
+    Tables of CELLS are made at once at most; those of unweighted fits are kept for the next series.
+    """
+    n = y.shape[-1]
+    at = np.arange(n) if at is None else np.asarray(at)
+    q, series = min(span, n), y.size // n
+    if len(at) * q * series > CELLS and len(at) > 1:
+        step = max(1, CELLS // (q * series))
+        return np.concatenate([_smoothed(y, span, at[k : k + step], weights) for k in range(0, len(at), step)], -1)
+    return _smoothed(y, span, at, weights)
+
+
+def _smoothed(y: np.ndarray, span: int, at: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+    n, even = y.shape[-1], len(at) < 2 or bool((np.diff(at) == 1).all())
+    if weights is None and even:
+        place, add = _fixed(n, span, float(at[0]), len(at))
+        return (add * y[..., place]).sum(-1)
+    if even:
+        at, place, w = _kernel(n, span, float(at[0]), len(at))
+    else:
+        at, place, w = (np.concatenate(x) for x in zip(*(_kernel(n, span, float(a), 1) for a in at), strict=True))
+    return (_line_weights(w if weights is None else w * weights[..., place], place, at, n) * y[..., place]).sum(-1)
 
 
 def _moving(x: np.ndarray, n: int) -> np.ndarray:
@@ -62,13 +94,15 @@ def stl(y: np.ndarray, period: int, robust: bool = True, seasonal: int = 7) -> t
     trend_span, low_span = _odd_above(1.5 * period / (1 - 1.5 / seasonal) - 1e-9), _odd_above(period)
     trend, season, weights = np.zeros(n), np.zeros(n), None
     outer, inner = (15, 2) if robust else (1, 5)
+    more = np.arange(n % period)
+    lengths = [(p, size) for p, size in ((more, n // period + 1), (np.arange(len(more), period), n // period)) if len(p)]
     for _ in range(outer):
         for _ in range(inner):
             cycle = np.zeros(n + 2 * period)
-            for k in range(period):
-                own = (y - trend)[k::period]
-                w = None if weights is None else weights[k::period]
-                cycle[k::period][: len(own) + 2] = loess(own, seasonal, np.arange(-1.0, len(own) + 1), w)
+            for phase, size in lengths:  # the series of one phase each, those of equal length together
+                own = phase[:, None] + period * np.arange(size)
+                w = None if weights is None else weights[own]
+                cycle[phase[:, None] + period * np.arange(size + 2)] = loess((y - trend)[own], seasonal, np.arange(-1.0, size + 1), w)
             low = loess(_moving(_moving(_moving(cycle, period), period), 3), low_span)
             season = cycle[period : period + n] - low
             trend = loess(y - season, trend_span, None, weights)

@@ -40,7 +40,7 @@ def select_features(
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
-    monthly = monthly_energy(load, how, key)
+    monthly = stored(monthly_energy(load, how, key), "monthly")
     codes = monthly.select(key).distinct()
     n = codes.agg(F.count(F.lit(1)).alias("areas"))
     if (found := census.select(key).distinct().join(codes, key, "left_semi").limit(min_areas).count()) < min_areas:
@@ -84,11 +84,11 @@ def donor_distance(census: DataFrame, features: DataFrame, targets: DataFrame, d
 
 
 def _vectors(census: DataFrame, features: DataFrame, donors: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(key, z, score): standardised values and scores of the usable features in one order, NaN where missing; and how many."""
+    """(key, z, w): standardised values and scores of features in one order, NaN where missing or without deviation; and how many."""
     own = census.where(F.col("value").isNotNull()).join(F.broadcast(features.select("feature", "score")), "feature")
     given = own.join(donors.select(key), key, "left_semi")
     spread = given.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.max("score").alias("score")).where(F.col("s") > 0)
-    names = [r[0] for r in spread.select("feature").orderBy("feature").collect()]  # at most max_features
+    names = sorted({r[0] for r in features.select("feature").collect()})  # at most max_features
     if not names:
         return census.select(key).limit(0), 0
     z = (F.col("value") - F.col("m")) / F.col("s")
@@ -110,8 +110,7 @@ def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, do
     givers = vectors.join(donors.select(key).distinct(), key, "left_semi")
     again = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # columns of its own, as both sides meet below
     askers = again.join(targets.select(key).distinct(), key, "left_semi")
-    n_givers, n_askers = givers.count(), askers.count()
-    shards, blocks = (max(1, -(-n // BLOCK)) for n in (n_givers, n_askers))
+    shards, blocks = (max(1, -(-x.count() // BLOCK)) for x in (donors.select(key).distinct(), targets.select(key).distinct()))
     draw = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     givers = givers.withColumn("shard", draw(shards)).withColumn("block", every(blocks))
@@ -163,8 +162,8 @@ def impute_by_census(
     The ratio is kept within 0.5 and 2 and is 1 if either population is missing; of several populations of
     an area the least counts. Ties go to the first donor in order. Features and report are stored. Report: code, donor, distance, scale, status (imputed, missing_census, no_comparable_donor).
     """
-    donors = load.select(key).distinct()
-    targets = areas.select(key).distinct().join(donors, key, "left_anti")
+    donors = stored(load.select(key).distinct(), "donors")  # a row per area; load may be long to make
+    targets = stored(areas.select(key).distinct().join(donors, key, "left_anti"), "targets")
     if features is None:
         features = select_features(census, load, key=key, **options)
     features = stored(features, "features")
