@@ -55,11 +55,11 @@ def test_entry(spark):
 
 
 def test_rebuild_load_treats_to_the_end(spark, monkeypatch):
-    """As registered, on three areas: none is left above the target before the operator's ten rounds."""
+    """As registered, on five areas: none is left above the target before the operator's ten rounds."""
     rebuild, reports = registry.rebuild, []
 
     def kept(load, *a, **options):
-        out = rebuild(load.where("code in ('1', '2', '4')"), *a, **options)
+        out = rebuild(load.where("code in ('1', '2', '4', '5', '6')"), *a, **options)
         reports.append(out[2])
         return out
 
