@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
-def _edges(ring: Column) -> Column:
+def edges_of(ring: Column) -> Column:
     """(a, b) for each pair of neighbouring corners, the last with the first."""
     again = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.arrays_zip(ring.alias("a"), again.alias("b"))
@@ -27,7 +27,7 @@ def _sum(array: Column, f) -> Column:
 def area(rings: Column) -> Column:
     """Twice the signed area of all rings, by the shoelace formula, halved."""
     cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-    return _sum(rings, lambda r: _sum(_edges(r), cross)) / 2
+    return _sum(rings, lambda r: _sum(edges_of(r), cross)) / 2
 
 
 def centroid(rings: Column) -> Column:
@@ -37,7 +37,7 @@ def centroid(rings: Column) -> Column:
     points = F.flatten(rings)
 
     def along(c: str) -> Column:
-        moment = _sum(rings, lambda r: _sum(_edges(r), lambda e: (e["a"][c] + e["b"][c]) * cross(e)))
+        moment = _sum(rings, lambda r: _sum(edges_of(r), lambda e: (e["a"][c] + e["b"][c]) * cross(e)))
         mean = _sum(points, lambda p: p[c]) / F.nullif(F.size(points), F.lit(0))
         return F.when(total != 0, moment / (6 * total)).otherwise(mean)
 
@@ -65,7 +65,7 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
         straight = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
         return straight & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    edges = F.flatten(F.transform(rings, _edges))
+    edges = F.flatten(F.transform(rings, edges_of))
     total = F.aggregate(F.transform(edges, crosses), F.lit(0), lambda s, v: s + v)
     return F.exists(edges, holds) | (total % 2 == 1)
 
@@ -87,7 +87,7 @@ def intersects(a: Column, b: Column) -> Column:
     def corner(one: Column, other: Column) -> Column:
         return F.exists(F.flatten(one), lambda p: contains(other, p["x"], p["y"]))
 
-    edges = [F.flatten(F.transform(rings, _edges)) for rings in (a, b)]
+    edges = [F.flatten(F.transform(rings, edges_of)) for rings in (a, b)]
     return corner(a, b) | corner(b, a) | F.exists(edges[0], lambda e: F.exists(edges[1], lambda f: cross(e, f)))
 
 

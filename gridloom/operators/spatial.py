@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import box, centroid, contains, distance, intersects
+from gridloom.functions.geometry import RINGS, box, centroid, contains, distance, edges_of, intersects
 from gridloom.storage import stored
 
 #: How much larger cells are in the next round of a search.
@@ -38,6 +39,43 @@ def dissolve(areas: DataFrame, by: list[str], rings: str = "rings") -> DataFrame
     return have.groupBy(*by).agg(F.collect_list(rings).alias("parts")).select(*by, F.flatten("parts").alias(rings), "parts")
 
 
+def outline(areas: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
+    """(by, rings): per group the border around its areas, the edges that two of them share taken out.
+
+    Areas must meet corner to corner and not overlap, as those of one map do; edges are matched by their exact
+    coordinates, whichever way they run. A group's remaining edges are one task's work.
+    """
+    ring = F.explode(rings)
+    edges = areas.where(F.col(rings).isNotNull()).select(*by, ring.alias("r")).select(*by, F.explode(edges_of(F.col("r"))).alias("e"))
+    ends = edges.select(*by, F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b")).where("a <> b")
+    single = ends.groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    flat = single.select(*by, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by_"))
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        meets: dict[tuple, list[int]] = {}
+        pairs = [((r[0], r[1]), (r[2], r[3])) for r in pdf[["ax", "ay", "bx", "by_"]].to_numpy().tolist()]
+        for k, pair in enumerate(pairs):
+            for p in pair:
+                meets.setdefault(p, []).append(k)
+        used, out = [False] * len(pairs), []
+        for k in range(len(pairs)):
+            if used[k]:
+                continue
+            used[k] = True
+            first, at = pairs[k]
+            ring = [first]
+            while at != first:  # every corner has an even number of edges, so a walk comes back
+                ring.append(at)
+                step = next(j for j in meets[at] if not used[j])
+                used[step] = True
+                at = pairs[step][1] if pairs[step][0] == at else pairs[step][0]
+            out.append([{"x": x, "y": y} for x, y in ring])
+        return pdf[by].iloc[:1].assign(**{rings: [out]})
+
+    kinds = ", ".join(f"{c} {areas.schema[c].dataType.simpleString()}" for c in by)
+    return flat.groupBy(*by).applyInPandas(chained, f"{kinds}, {rings} {RINGS}")
+
+
 def _nearest(points: DataFrame, units: DataFrame, k: int, key: str) -> DataFrame:
     """(key, unit, d): the k units (unit, ux, uy) nearest to each point (key, cx, cy), all if there are fewer; ties by unit.
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.config import Paths
-from gridloom.functions.geometry import contains_any
+from gridloom.functions.geometry import area, contains_any
 from gridloom.operators import anomalies, buildings, catalog, prism, quality, short_term, spatial, timeseries, weather_model
 from gridloom.plans import file_queries as files
 from gridloom.plans import fixtures as fx
@@ -37,7 +37,7 @@ y AS (SELECT *, CASE WHEN model IN ('3be', '4sg') AND t <= -5 THEN 84 + 0.25 * (
   ELSE 50 + CASE WHEN model <> '2cl' THEN -2 * least(t - 12, 0) ELSE 0 END + CASE WHEN model IN ('2cl', '3sg', '4sg') THEN 1.5 * greatest(t - 20, 0) ELSE 0 END END AS v FROM g)
 SELECT code, round(t, 6) AS temperature, round(v, 6) AS fitted, round(v - 1.96 * sd, 6) AS lower, round(v + 1.96 * sd, 6) AS upper FROM y"""
 )
-def prism_curve_of_given_fits(spark, d):
+def prism_curve(spark, d):
     rows = [(c, m, s, *SHAPE.values()) for c, m, s in FITS]
     fits = spark.createDataFrame(rows, "code string, model string, resid_std double, " + ", ".join(f"{p} double" for p in SHAPE))
     return rounded(prism.prism_curve(fits, -20.0, 30.0, 101))
@@ -228,6 +228,23 @@ def dissolve(spark, d):
     return held.groupBy("region").agg(F.max(F.size("parts")).cast("long").alias("n_parts"), F.count_distinct("building_id").alias("n_points"))
 
 
+@query(
+    with_tables(
+        "areas",
+        """r AS (SELECT a.*, n.n_regionkey AS region FROM areas a JOIN nation n ON lpad(n.n_nationkey::VARCHAR, 2, '0') = a.code),
+t AS (SELECT a.region, count(*) AS n FROM r a JOIN r b ON a.region = b.region AND abs(a.cx - b.cx) + abs(a.cy - b.cy) = 10 GROUP BY a.region)
+SELECT region, 100.0::DOUBLE * count(*) AS area, 4 * count(*) - coalesce(max(t.n), 0) AS n_edges FROM r LEFT JOIN t USING (region) GROUP BY region""",
+    )
+)
+def outline(spark, d):
+    """Regions of neighbouring squares: two that share an edge lose it."""
+    region = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), F.col("n_regionkey").cast("long").alias("region"))
+    border = spatial.outline(fx.areas(spark, d).join(region, "code"), ["region"])
+    size = F.aggregate(F.transform("rings", lambda r: F.abs(area(F.array(r)))), F.lit(0.0), lambda s, x: s + x)
+    edges = F.size(F.flatten("rings")).cast("long")
+    return rounded(border.select("region", size.alias("area"), edges.alias("n_edges")))
+
+
 @query(with_tables("load_hourly", "m AS (SELECT code, avg(kwh) AS x FROM load_hourly GROUP BY code) SELECT n.n_name AS code, round(m.x, 6) AS metric FROM (SELECT n_name FROM nation UNION ALL SELECT DISTINCT code FROM load_hourly) n LEFT JOIN m ON m.code = n.n_name"))
 def area_map(spark, d):
     load = fx.load_hourly(spark, d)

@@ -375,11 +375,6 @@ def prism_table(spark, d):
     return prism.prism_table(fx.load_hourly(spark, d), fx.weather_hourly(spark, d)).drop("candidates")
 
 
-@query()
-def prism_curve(spark, d):
-    return prism.prism_curve(prism.prism_fit(_aligned(spark, d)), -20.0, 30.0)
-
-
 @query(
     with_tables(
         "aligned",

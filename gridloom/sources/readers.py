@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import struct
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,8 +168,42 @@ def _features(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in merged.items()], from_geojson("geometry").alias("rings"))
 
 
+def dbf_fields(head: bytes) -> tuple[list[tuple[str, int, int]], int, int]:
+    """(name, offset, width) of each field of a dBASE file's header, and the sizes of header and record."""
+    size, width = struct.unpack_from("<HH", head, 8)
+    fields, at = [], 1
+    for place in range(32, size - 1, 32):
+        if head[place] == 0x0D:
+            break
+        fields.append((head[place : place + 11].split(b"\0")[0].decode("latin-1"), at, head[place + 16]))
+        at += head[place + 16]
+    return fields, size, width
+
+
+def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """The attribute table of a shapefile, all columns as text, empty ones null, deleted records left out. A file is one task's work."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    fields, _, _ = dbf_fields(bytes(files.select(F.substring("content", 1, 65535)).first()[0]))
+    names = [n for n, *_ in fields]
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                data = cell.as_buffer()
+                head = data.slice(0, min(len(data), 65535)).to_pybytes()
+                own, size, width = dbf_fields(head)
+                n = min(struct.unpack_from("<I", head, 4)[0], (len(data) - size) // width)
+                for a in range(0, n, 10_000):
+                    block = data.slice(size + a * width, min(10_000, n - a) * width).to_pybytes()
+                    rows = [block[k : k + width] for k in range(0, len(block), width) if block[k : k + 1] != b"*"]
+                    columns = [[r[at : at + w].decode(encoding, "replace").strip(" \0") or None for r in rows] for _, at, w in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+    return files.mapInArrow(records, ", ".join(f"`{n}` string" for n in names))
+
+
 def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> DataFrame:
-    """Standard building table from Parquet, CSV or GeoJSON properties; other formats are an error."""
+    """Standard building table from Parquet, CSV, GeoJSON properties or a shapefile's attributes; other formats are an error."""
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
         df = spark.read.parquet(path)
@@ -175,6 +211,8 @@ def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> Da
         df = spark.read.csv(path, header=True)
     elif suffix in ("geojson", "json"):
         df = _features(spark, path, id_col).drop("rings")
+    elif suffix in ("shp", "dbf"):
+        df = read_dbf(spark, path.rsplit(".", 1)[0] + ".dbf")
     else:
         raise ValueError(f"unsupported building format .{suffix}")
     return standardize_buildings(df, id_col)

@@ -253,7 +253,38 @@ def test_buildings_by_suffix(spark, tmp_path):
     (tmp_path / "b.csv").write_text("ID_UEV,ANNEE_CONS\nB1,1990\n")
     assert readers.read_buildings(spark, str(tmp_path / "b.csv")).first().year_built == 1990
     with pytest.raises(ValueError):
-        readers.read_buildings(spark, "x.shp")
+        readers.read_buildings(spark, "x.gpkg")
+
+
+def test_shapefile_attributes(spark, tmp_path):
+    fields, rows = [(b"ID_UEV", 6), (b"ANNEE_CONS", 6), (b"LIBELLE_UT", 8)], [("B1", "1990", "caf\u00e9"), ("B2", "", "x"), ("B3", "2001", "y")]
+    head = struct.pack("<BBBBIHH20x", 3, 124, 1, 1, len(rows), 32 + 32 * len(fields) + 1, 1 + sum(w for _, w in fields))
+    head += b"".join(struct.pack("<11sc4xB15x", n, b"C", w) for n, w in fields) + b"\r"
+    body = b"".join((b"*" if k == 2 else b" ") + b"".join(v.encode().ljust(w) for v, (_, w) in zip(r, fields)) for k, r in enumerate(rows))
+    (tmp_path / "b.dbf").write_bytes(head + body + b"\x1a")
+    got = readers.read_buildings(spark, str(tmp_path / "b.shp")).orderBy("building_id").collect()
+    assert [(r.building_id, r.year_built, r.building_type) for r in got] == [("B1", 1990, "caf\u00e9"), ("B2", None, "x")]
+
+
+def test_projection_of_known_points(spark):
+    """On the central meridian the northing is the meridian's length: 4984944.378 m to 45 degrees; east and west are symmetric."""
+    from gridloom.functions.projection import to_geographic
+
+    df = spark.createDataFrame([(304800.0, 0.9999 * 4984944.378), (304800.0 + 78_000, 5e6), (304800.0 - 78_000, 5e6)], "x double, y double")
+    lon, lat = to_geographic(F.col("x"), F.col("y"), "EPSG:2950")
+    (a, b), (c, d), (e, f) = [tuple(r) for r in df.select(lon, lat).collect()]
+    assert (a, b) == (pytest.approx(-73.5, abs=1e-9), pytest.approx(45.0, abs=1e-8))
+    assert d == pytest.approx(f) and c + 73.5 == pytest.approx(-73.5 - e) and 0.95 < c + 73.5 < 1.05
+
+
+def test_outline_of_areas_with_a_hole(spark):
+    """Eight squares around an empty one: a border outside and one inside."""
+    squares = [(f"s{k}", 2.0 * (k % 3), 2.0 * (k // 3), 1) for k in range(9) if k != 4]
+    areas = units(spark, *squares).withColumn("city", F.lit("m"))
+    (r,) = spatial.outline(areas, ["city"]).collect()
+    assert sorted(len(x) for x in r.rings) == [4, 12]
+    held = spatial.outline(areas, ["city"]).select(*[geometry.contains(F.col("rings"), F.lit(x), F.lit(2.2)).alias(n) for n, x in (("i", 0.1), ("hole", 2.1), ("out", 9.0))]).first()
+    assert (held.i, held.hole, held.out) == (True, False, False)
 
 
 def test_catalog(spark, town):

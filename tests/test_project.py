@@ -43,3 +43,20 @@ def test_daily_peaks_of_a_stream(spark, tmp_path):
     q.stop()
     got = {r.day: (r.peak_load, r.am_peak, r.pm_peak, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {d: v for d, v in want.items() if d < START + dt.timedelta(days=2)}
+
+
+def test_stages_are_timed_and_reported(spark, tmp_path):
+    from gridloom.plans.stages import run_stages, write_report
+
+    def broken():
+        raise ValueError("x")
+
+    rows = run_stages({"range": lambda: spark.range(10), "broken": broken, "none": lambda: None})
+    assert [(r["stage"], r["status"]) for r in rows] == [("range", "ok"), ("broken", "error: ValueError"), ("none", "ok")]
+    write_report(rows, str(tmp_path / "out"), sf="x")
+    import csv
+    import json
+
+    saved = json.loads((tmp_path / "out" / "stages.json").read_text())
+    assert saved["sf"] == "x" and saved["stages"] == rows
+    assert [r["stage"] for r in csv.DictReader((tmp_path / "out" / "stages.csv").open())] == ["range", "broken", "none"]
