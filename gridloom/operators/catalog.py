@@ -13,7 +13,7 @@ from gridloom.operators.prism import prism_table
 from gridloom.operators.quality import preprocess_load
 from gridloom.operators.short_term import short_term_table
 from gridloom.operators.spatial import assign_units, nearest_units, with_centroid
-from gridloom.operators.timeseries import align_weather
+from gridloom.operators.timeseries import align_weather, local_of
 from gridloom.operators.weather_model import expand_by_population, normalize_weather, per_capita
 from gridloom.storage import stored
 
@@ -84,10 +84,15 @@ def city_tables(catalog: Catalog, unit: str = "fsa", winter_only: bool = True) -
 
 
 def complete(
-    treated: DataFrame, weather: DataFrame, census: DataFrame, areas: DataFrame, people: DataFrame, population_scaling: bool = True, imputation: dict | None = None
+    treated: DataFrame, weather: DataFrame, census: DataFrame, areas: DataFrame, people: DataFrame, population_scaling: bool = True, imputation: dict | None = None, zone: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(load, imputation report): treated load normalised for weather, taken per head (stored), completed by imputation, expanded again."""
-    normal = normalize_weather(treated, align_weather(treated, weather))
+    """(load, imputation report): treated load normalised for weather, taken per head (stored), completed by imputation, expanded again.
+
+    With a zone treated is in UTC and weather local there; what comes back is local.
+    """
+    normal = normalize_weather(treated, align_weather(treated, weather, zone=zone))
+    if zone:
+        normal = normal.withColumn("ts", local_of(F.col("ts"), zone))
     heads = stored(per_capita(normal, people, strict=False), "heads")
     filled, imputed = impute_by_census(heads, census, areas, population_scaling=population_scaling, **imputation or {})
     return expand_by_population(filled, people), imputed
@@ -102,15 +107,19 @@ def rebuild(
     preprocess: dict | None = None,
     treatment: dict | None = None,
     imputation: dict | None = None,
+    zone: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(load, qc, treatment report, imputation report): clean, treat anomalies, normalise for weather, impute per head, expand.
 
+    With a zone the series are those of load's column utc until they are imputed, so a clock change neither
+    doubles nor skips an hour; without one ts must not repeat.
     Each step that later ones read more than once is stored in the shared folder, so nothing runs twice.
     As per-head series are imputed with population scaling and then multiplied by population, an
     imputed area's population counts twice; population_scaling=False leaves the first out.
     """
+    load = load.select("code", F.col("utc").alias("ts"), "kwh") if zone else load
     clean, qc = preprocess_load(load, **{"fill": "interpolate"} | (preprocess or {}))
     treated, report = treat_anomalies(clean, **treatment or {})
     people = census.where(F.col("feature") == POPULATION).select("code", F.col("value").alias("population"))
-    out, imputed = complete(treated, weather, census, areas, people, population_scaling, imputation)
+    out, imputed = complete(treated, weather, census, areas, people, population_scaling, imputation, zone)
     return out, qc, report, imputed

@@ -151,6 +151,11 @@ def align_weather(
     return interpolate_both(joined, key, ts, temperature).where(F.col(temperature).isNotNull())
 
 
+def local_of(utc: Column, zone: str) -> Column:
+    """The local time (without zone) of a UTC one."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
 def utc_of(ts: Column, zone: str, second: Column) -> Column:
     """The UTC time (without zone) of a local one; second tells the later of two occurrences.
 

@@ -26,4 +26,4 @@ def load_project(spark: SparkSession, paths: Paths, buildings: DataFrame | None
         facts.append(readers.census_long(readers.read_census(spark, paths.da_census, readers.DA_ALIASES)))
     census = reduce(DataFrame.unionByName, facts) if facts else spark.createDataFrame([], "code string, feature string, value double")
     weather = readers.read_weather(spark, paths.weather)
-    return build_catalog(reduce(DataFrame.unionByName, areas), reduce(DataFrame.unionByName, loads), weather, census, buildings)
+    return build_catalog(reduce(DataFrame.unionByName, areas), reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loads), weather, census, buildings)

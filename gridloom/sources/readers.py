@@ -8,12 +8,13 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import identifier, number, rename_first_present
 from gridloom.functions.geometry import from_geojson
 from gridloom.operators.buildings import HEIGHTS, NUMBERS, TEXTS, standardize_buildings
+from gridloom.operators.timeseries import local_of
 
 # The zone and column names of the source files.
 ZONE = "America/Toronto"
@@ -41,11 +42,7 @@ def long_from_raw(raw: DataFrame, zone: str = ZONE) -> DataFrame:
     rows = _checked(_checked(rows, "utc", "DateIntervalUTC"), "kwh_", "kWh")
     given = F.when(F.col("kwh_").isNull(), F.raise_error(F.lit("cannot read kWh: a row has none")).cast("double")).otherwise(F.col("kwh_"))
     summed = rows.groupBy("code", "utc").agg(F.sum(given).alias("kwh"))
-    return summed.select("code", local_of("utc", zone).alias("ts"), "kwh", "utc")
-
-
-def local_of(utc: str, zone: str = ZONE) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(utc))
+    return summed.select("code", local_of(F.col("utc"), zone).alias("ts"), "kwh", "utc")
 
 
 def long_from_wide(wide: DataFrame, index: str | None = None, utc: bool = False, zone: str = ZONE) -> DataFrame:

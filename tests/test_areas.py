@@ -324,6 +324,23 @@ def test_rebuild(spark):
     assert out.count() == 12 * 96 and out.where("kwh is null").count() == 0
 
 
+def test_rebuild_over_a_clock_change(spark):
+    """Four days around the autumn change: the repeated hour stays two rows, and neither is doubled."""
+    rows, facts = [], []
+    for k in range(8):
+        facts += [(f"A{k}", "f", float(k)), (f"A{k}", "population", 10.0)]
+        for h in range(96 * (k < 6)):
+            rows.append((f"A{k}", str(dt.datetime(2024, 11, 1, 4) + dt.timedelta(hours=h)), str(100.0 + k + h % 24)))
+    load = readers.long_from_raw(spark.createDataFrame(rows, "CP3 string, DateIntervalUTC string, kWh string"))
+    weather = spark.createDataFrame([(dt.datetime(2024, 11, 1) + dt.timedelta(hours=h), 5.0) for h in range(96)], "ts timestamp_ntz, temperature double")
+    facts = spark.createDataFrame(facts, "code string, feature string, value double")
+    features = spark.createDataFrame([("f", 1.0)], "feature string, score double")
+    out, _, _, imputed = catalog.rebuild(load, weather, facts, facts.select("code").distinct(), treatment={"max_iter": 1}, imputation={"features": features}, zone="America/Toronto")
+    got = out.groupBy("code", "ts").agg(F.count("kwh").alias("n"), F.max("kwh").alias("kwh")).collect()
+    assert {r.ts for r in got if r.n == 2} == {dt.datetime(2024, 11, 3, 1)} and len(got) == 8 * 95
+    assert max(r.kwh for r in got if r.code == "A0") < 200 and {r.donor for r in imputed.collect()} == {"A5"}
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("x", "3", 1)], "a string, `b` string, c int")
     assert columns.rename_first_present(df, "k", ["z", "a"]).columns[0] == "k" and columns.rename_first_present(df, "c", ["a"]) is df
