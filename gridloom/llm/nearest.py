@@ -41,6 +41,8 @@ PROJECTED, SEED, CONFIDENCE = 16, 5, 0.92
 LEAF = 128
 #: Rows of a cell and of a part, and queries of a block, about.
 SHARD, BLOCK = 20_000, 4_000
+#: Queries that are sent to their cells at once.
+ASKING = 64
 #: Rows that the first level is fitted on, and its cells at most.
 SAMPLE, MAX_CELLS = 16_384, 1024
 #: Squared distances are told apart by so much, and points of a part are numbered by so many bits.
@@ -245,8 +247,8 @@ def nearest(
 
         def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in trimmed(batches):
-                for a in range(0, batch.num_rows, 500):
-                    part = batch.slice(a, 500)
+                for a in range(0, batch.num_rows, ASKING):
+                    part = batch.slice(a, ASKING)
                     bound = cells.bounds(unit(_stacked(part.column(1), size)) @ projection(size))
                     go = bound < ratio * np.maximum(part.column(3).to_numpy(), GRAIN)[:, None]
                     go[np.arange(len(go)), part.column(2).to_numpy()] = False
