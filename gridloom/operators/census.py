@@ -162,8 +162,9 @@ def impute_by_census(
     The ratio is kept within 0.5 and 2 and is 1 if either population is missing; of several populations of
     an area the least counts. Ties go to the first donor in order. Features and report are stored. Report: code, donor, distance, scale, status (imputed, missing_census, no_comparable_donor).
     """
-    donors = stored(load.select(key).distinct(), "donors")  # a row per area; load may be long to make
-    targets = stored(areas.select(key).distinct().join(donors, key, "left_anti"), "targets")
+    both = load.select(key, F.lit(True).alias("given")).unionByName(areas.select(key, F.lit(False).alias("given")))
+    both = stored(both.groupBy(key).agg(F.max("given").alias("given")), "areas")  # a row per area; load may be long to make
+    donors, targets = both.where("given").select(key), both.where("not given").select(key)
     if features is None:
         features = select_features(census, load, key=key, **options)
     features = stored(features, "features")
