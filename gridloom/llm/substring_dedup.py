@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut, table, trimmed
+from gridloom.llm._shared import cut, discard, table, trimmed
 from gridloom.llm._words import Words, grams
 
 WINDOW, GRAM = 50, 10
@@ -293,17 +293,17 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select(*DIGEST, "one.*"),
         "classes",
     )
-    spans = _spans(docs, classes)
-    state = (
+    whole = cut(
         scanned.where(f"n >= {WINDOW}")
         .select("doc", "body", *DIGEST)
         .distinct()
         .join(classes.select(*DIGEST, F.col("doc").alias("owner")), DIGEST)
-        .withColumn("copy", F.col("doc") > F.col("owner"))
-        .join(spans, DIGEST, "left")
-        .where("copy or spans is not null")
-        .select("doc", "body", "copy", "spans")
+        .select("doc", "body", *DIGEST, (F.col("doc") > F.col("owner")).alias("copy")),
+        "whole",
     )
+    discard(scanned)
+    spans = _spans(docs, classes)
+    state = whole.join(spans, DIGEST, "left").where("copy or spans is not null").select("doc", "body", "copy", "spans")
     return (
         docs.join(state, ["doc", "body"], "left")
         .select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
@@ -312,7 +312,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(d1, d2, spans): merged intervals of the words to remove from the first document of a class."""
+    """(d1, d2, spans): merged intervals of the words to remove from the first document of a class. Tables that no later step reads, classes too, are deleted."""
     lists = [F.col(c).alias(one) for c, one in (("prefixes", "prefix"), ("lows", "low"), ("highs", "high"), ("anchors", "anchor"))]
     anchors = classes.select("doc", "body", *DIGEST, F.explode(F.arrays_zip(*lists)).alias("r")).select("doc", "body", *DIGEST, "r.*")
     twice = anchors.groupBy("prefix").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("prefix")
@@ -324,11 +324,14 @@ def _spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     texts = docs.select("doc", "body", "text").dropDuplicates(["doc", "body"])
     suspects = cut(runs.join(texts, ["doc", "body"]).select(*DIGEST, "doc", "text", "runs"), "suspects")
+    discard(classes, twice)
     segments = suspects.mapInArrow(
         _segments, "d1 long, d2 long, doc long, low int, c1 long, c2 long, prefix long, at int, words int, segment binary"
     )
     leaves = segments.withColumns({"lowest": F.col("doc"), "highest": F.col("doc")})
-    found = cut(_repeated(cut(_combined(leaves), "leaves"), 0), "found")
+    leaves = cut(_combined(leaves), "leaves")
+    found = cut(_repeated(leaves, 0), "found")
+    discard(leaves)
     ends = segments.select(*DIGEST, "doc", "low", *LEAF).join(found, LEAF).select(*DIGEST, "doc", "low", F.explode("runs").alias("r"))
     covered = ends.where("r.doc < doc").select(
         *DIGEST, (F.col("low") + F.col("r.low")).alias("from"), (F.col("low") + F.col("r.high") + WINDOW - 1).alias("to")
