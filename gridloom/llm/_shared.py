@@ -62,6 +62,32 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+class Kept(dict):
+    """What make() gives for a key, remembered for the keys that came last.
+
+    There are two generations of at most ``most`` keys: when the younger is full it becomes the older, whose
+    keys come back when they are asked for again. So common keys stay, and memory is bounded. Keys longer than ``longest`` aren't kept.
+    """
+
+    def __init__(self, most: int, longest: int):
+        super().__init__()
+        self.most, self.longest, self.older = most, longest, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ displace; as many slots as keys) finds a whole pre-token that is in the vocabula
 one comparison. Second tier, for misses: bytes are linked both ways, a heap holds the rank of each
 neighbouring pair, and the lowest rank, leftmost first, is merged until no pair has a rank.
 
-What a pre-token encodes to is kept in a table of bounded size per worker, emptied when full.
+What a pre-token encodes to is kept in tables of bounded size per worker, from which the rare ones drop out.
 The rank file is read on the driver and sent along; its size is that of the vocabulary.
 
 Defined results: null text encodes as the empty text, to no ids; a text without spaces of any length
@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import table, trimmed
+from gridloom.llm._shared import Kept, table, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens kept per worker, and their longest length.
-KEPT, KEPT_LENGTH = 200_000, 64
+#: Pre-tokens of each of two generations kept per worker, and their longest length.
+KEPT, KEPT_LENGTH = 300_000, 64
 #: Rows handled and returned at once.
 ROWS = 200
 MASK = (1 << 64) - 1
@@ -103,11 +103,11 @@ class MinimalPerfectHash:
         return -1 - d if d < 0 else self._place(h, d)
 
 
-class Encoder(dict):
+class Encoder(Kept):
     """Pre-token to its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, rank_file: bytes):
-        super().__init__()
+        super().__init__(KEPT, KEPT_LENGTH)
         pairs = (line.split() for line in rank_file.splitlines() if line.strip())
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         keys = list(self.ranks)
@@ -119,15 +119,10 @@ class Encoder(dict):
             self.ids[slot] = self.ranks[key].to_bytes(4, "little")
         self.bytes_of = {i: k for k, i in self.ranks.items()}
 
-    def __missing__(self, token: str) -> bytes:
+    def make(self, token: str) -> bytes:
         piece = token.encode()
         slot = self.hash.slot(piece)
-        found = self.ids[slot] if self.held[slot] == piece else self.merged(piece)
-        if len(token) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[token] = found
-        return found
+        return self.ids[slot] if self.held[slot] == piece else self.merged(piece)
 
     def merged(self, piece: bytes) -> bytes:
         n, ranks = len(piece), self.ranks

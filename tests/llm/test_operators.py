@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import (
     _graph,
+    _shared,
     bpe,
     chat_format,
     exact_dedup,
@@ -326,6 +327,21 @@ def test_bpe(spark, rows):
     assert Counter((r.id, bytes(r.decoded)) for r in back) == Counter((i, (t or "").encode()) for i, t, *_ in docs)
 
 
+def test_kept_keys_are_bounded_and_common_ones_stay():
+    class Doubled(_shared.Kept):
+        made = 0
+
+        def make(self, key):
+            self.made += 1
+            return key * 2
+
+    kept = Doubled(10, 4)
+    for k in range(200):
+        assert kept["aa"] == "aaaa" and kept[f"{k}"] == f"{k}" * 2 and kept["longer"] == "longerlonger"
+        assert len(kept) <= 10 and len(kept.older) <= 10
+    assert kept.made == 1 + 200 + 200 and "longer" not in kept
+
+
 def test_minimal_perfect_hash():
     for n in (0, 1, 2, 3000):
         keys = [b"k%d" % k for k in range(n)]
