@@ -36,12 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut, partitions, scratch, table, trimmed
+from gridloom.llm._shared import Kept, cut, partitions, scratch, table, trimmed
 from gridloom.llm.bpe import _low, _low_only
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-KEPT, KEPT_LENGTH = 500_000, 64
+#: Pre-tokens of each of two generations kept per worker, and their longest length.
+KEPT, KEPT_LENGTH = 300_000, 64
 ROWS = 200
 #: Documents that a reader returns at once.
 READ_DOCS = 500
@@ -54,11 +55,11 @@ _HIDDEN = [b for b in range(256) if b not in _PRINTED]
 BYTE_CHARACTERS = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + k) for k, b in enumerate(_HIDDEN)}
 
 
-class _Pieces(dict):
+class _Pieces(Kept):
     """Pre-token to its ids as little-endian unsigned integers, by the library's model."""
 
     def __init__(self, definition: bytes):
-        super().__init__()
+        super().__init__(KEPT, KEPT_LENGTH)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,13 +72,8 @@ class _Pieces(dict):
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[piece] = found
-        return found
+    def make(self, piece: str) -> bytes:
+        return self.packed([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))])
 
     def encode(self, text: str) -> bytes:
         if _low_only(text) and not any(t in text for t in self.added):
