@@ -36,21 +36,20 @@ def select_features(
     """(feature, score, n_months): features by mean absolute correlation with monthly load over months, best first.
 
     Only areas with load count. A feature needs values for enough areas and enough distinct ones; a
-    month needs min_pairs areas with both. Ties go by name. Fewer than min_areas areas with load and census are an error.
+    month needs min_pairs areas with both. Ties go by name. Fewer than min_areas areas with load are an error when the rows are made.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
-    monthly = stored(monthly_energy(load, how, key), "monthly")
+    monthly = monthly_energy(load, how, key)
     codes = monthly.select(key).distinct()
     n = codes.agg(F.count(F.lit(1)).alias("areas"))
-    if (found := census.select(key).distinct().join(codes, key, "left_semi").limit(min_areas).count()) < min_areas:
-        raise ValueError(f"features need {min_areas} areas with load and census, not {found}")
     own = census.where(F.col("value").isNotNull()).join(codes, key, "left_semi")
+    too_few = F.raise_error(F.lit(f"features need {min_areas} areas with load")).cast("boolean")
     good = (
         own.groupBy("feature")
         .agg(F.count_distinct(key).alias("have"), F.count_distinct("value").alias("kinds"))
         .join(F.broadcast(n))
-        .where((F.col("have") / F.col("areas") >= min_coverage) & (F.col("kinds") >= min_distinct))
+        .where(F.when(F.col("areas") < min_areas, too_few).otherwise((F.col("have") / F.col("areas") >= min_coverage) & (F.col("kinds") >= min_distinct)))
     )
     pairs = own.join(good.select("feature"), "feature").join(monthly.where(F.col("kwh").isNotNull()), key).select("feature", "ts", F.col("value").alias("x"), F.col("kwh").alias("y"))
     if method == "spearman":
@@ -100,7 +99,7 @@ def _vectors(census: DataFrame, features: DataFrame, donors: DataFrame, key: str
 
 
 def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, donors: DataFrame, key: str = "code") -> DataFrame:
-    """(key, donor, distance) of the donor of least distance (as donor_distance; told by 9 digits, ties to the first donor) for each target that has one."""
+    """For tables of targets and donors without repeats, (key, donor, distance) of the donor of least distance (as donor_distance; told by 9 digits, ties to the first donor) for each target that has one."""
     kind = census.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, donor {kind}, distance double"
     vectors, n = _vectors(census, features, donors, key)
@@ -110,7 +109,7 @@ def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, do
     givers = vectors.join(donors.select(key).distinct(), key, "left_semi")
     again = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # columns of its own, as both sides meet below
     askers = again.join(targets.select(key).distinct(), key, "left_semi")
-    shards, blocks = (max(1, -(-x.count() // BLOCK)) for x in (donors.select(key).distinct(), targets.select(key).distinct()))
+    shards, blocks = (max(1, -(-x.count() // BLOCK)) for x in (donors, targets))
     draw = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     givers = givers.withColumn("shard", draw(shards)).withColumn("block", every(blocks))

@@ -171,8 +171,9 @@ def assign_units(
     far = distance(F.col("cx"), F.col("cy"), F.col("ux"), F.col("uy"))
     inside = candidates(todo, units, cell, id_col, key).withColumnRenamed(key, "unit")
     held = todo.select(id_col, "cx", "cy").join(inside, id_col).join(place, "unit").groupBy(id_col).agg(F.min_by("unit", F.struct(far, F.col("unit"))).alias("_in"))
+    held = stored(held, "held")
     missing = todo.select(id_col, "cx", "cy").join(held, id_col, "left_anti")
-    near = _nearest(stored(missing, "missing"), place, 1, id_col).select(id_col, F.col("unit").alias("_in"))
+    near = _nearest(missing, place, 1, id_col).select(id_col, F.col("unit").alias("_in"))
     found = held.unionByName(near)
     new = F.coalesce(F.col("_in"), old) if overwrite else F.coalesce(old, F.col("_in"))
     return points.join(found, id_col, "left").withColumn(out, new).drop("_in")

@@ -156,6 +156,12 @@ def test_features_are_ranked(town):
     assert len(census.select_features(facts, load, max_features=1, method="pearson").collect()) == 1
 
 
+def test_features_of_too_few_areas_are_an_error(town):
+    load, facts, _ = town
+    with pytest.raises(Exception, match="features need 5 areas"):
+        census.select_features(facts, load.where("code < 'A04'")).collect()
+
+
 def test_imputation_copies_the_nearest_donor(spark, town):
     load, facts, areas = town
     features = spark.createDataFrame([("f", 1.0)], "feature string, score double")
