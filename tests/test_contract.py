@@ -29,9 +29,9 @@ def rows(df):
     names = sorted(df.columns)
 
     def plain(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan"):
             return None
-        return repr(float(v)) if isinstance(v, float) else str(v)
+        return repr(float(v)) if isinstance(v, float) and not v.is_integer() else str(int(v) if isinstance(v, float) else v)
 
     return sorted([tuple(plain(v) for v in r) for r in df[names].astype(object).itertuples(index=False)], key=str)
 
