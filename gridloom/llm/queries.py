@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, chat_format, exact_dedup, language_id, line_dedup, mixing, near_dup, nearest, substring_dedup, token_files
+from gridloom.llm import bpe, chat_format, exact_dedup, fingerprints, language_id, line_dedup, mixing, near_dup, nearest, snapshot_diff, substring_dedup, token_files, whitening
 
-MODULES = (chat_format, mixing, language_id, bpe, substring_dedup, nearest, token_files, exact_dedup, line_dedup, near_dup)
+MODULES = (chat_format, mixing, language_id, bpe, substring_dedup, nearest, token_files, exact_dedup, line_dedup, near_dup, snapshot_diff, fingerprints, whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
