@@ -45,8 +45,10 @@ def with_sketch(df: DataFrame, text: str, to: str, fraction: float = FRACTION, s
     """df with the sketch of a text column: an ascending array of longs without repeats."""
     limit = _threshold(fraction)
     n = F.size("_words")
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (shingle - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    every = F.transform(starts, lambda k: F.md5(F.array_join(F.slice("_words", k, F.lit(shingle)), " ").cast("binary")))
+    # Words are taken one by one, as slice() copies the whole array each time and concat_ws() is slow.
+    run = lambda k: F.concat(*[x for i in range(shingle) for x in (F.lit(" "), F.get("_words", k + i))][1:])
+    every = F.transform(F.sequence(F.lit(0), n - shingle), lambda k: F.md5(run(k).cast("binary")))
+    alone = F.when(n > 0, F.array(F.md5(F.array_join("_words", " ").cast("binary")))).otherwise(F.array().cast("array<string>"))
     below = F.filter("_hashes", lambda h: h < limit)
     numbers = F.transform("_below", lambda h: F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("long"))
     # The least hash of a text without any below is kept as a number too, if it fits: half of the range is negative as a long.
@@ -54,9 +56,9 @@ def with_sketch(df: DataFrame, text: str, to: str, fraction: float = FRACTION, s
     high = F.array((F.conv(F.substring(least, 1, DIGITS), 16, -10)).cast("long"))
     return (
         df.withColumn("_words", words_of(F.col(text)))
-        .withColumn("_hashes", every)
+        .withColumn("_hashes", F.when(n >= shingle, every).otherwise(alone))
         .withColumn("_below", below)
-        .withColumn(to, F.when(F.size("_below") > 0, F.array_sort(F.array_distinct(numbers))).when(F.size("_hashes") > 0, high).otherwise(F.array().cast("array<long>")))
+        .withColumn(to, F.when(F.size("_below") > 0, F.sort_array(F.array_distinct(numbers))).when(F.size("_hashes") > 0, high).otherwise(F.array().cast("array<long>")))
         .drop("_words", "_hashes", "_below")
     )
 
@@ -141,7 +143,7 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SKETCH = """CASE WHEN len({h}) = 0 THEN []::VARCHAR[] WHEN len(list_filter({h}, lambda x: x < '2')) > 0
     THEN list_sort(list_distinct(list_filter({h}, lambda x: x < '2'))) ELSE [list_min({h})] END"""
 _HASHES = """list_transform(range(1, CASE WHEN len({w}) = 0 THEN 1 ELSE greatest(len({w}) - 4, 1) + 1 END),
-    lambda i: substr(md5(array_to_string({w}[i:i + 4], ' ')), 1, 16))"""
+    lambda i: substr(md5(concat_ws(' ', {w}[i], {w}[i + 1], {w}[i + 2], {w}[i + 3], {w}[i + 4])), 1, 16))"""
 _NEAR = """CASE WHEN least(len({a}), len({b})) > 0 THEN len(list_intersect({a}, {b})) / least(len({a}), len({b}))::DOUBLE
     WHEN len({a}) = len({b}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"""
 SQL = rf"""
