@@ -92,6 +92,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns that a hash can cover: all but those that hold maps."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
+def row_of(df: DataFrame, *but: str) -> Column:
+    """The columns as one struct, named row, so that none clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in but]).alias("row")
+
+
 def strip_spaces(text: Column) -> Column:
     """Text without any character of SPACES; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -6,14 +6,14 @@ above. A round is one aggregate over the table of sources: the level that it fin
 driver holds. The level only rises, so a source clamped once stays clamped.
 
 Sampling: a source with target / size = k + f takes each document k times and, in the order of a
-seeded hash of the id, those whose midpoint on the running sum of sizes lies below f * size once
+seeded hash of the id and text, those whose midpoint on the running sum of sizes lies below f * size once
 more. The running sum is made in two steps so that no source is ordered in one task: sizes are
 summed by (source, range of the hash), prefix sums go over the ranges, and documents are ordered
-only within a range.
+only within a range. Bounds of the ranges are sampled, so rows that are alike in all that the hash covers and fill
+several ranges are dealt among these.
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; a
-source of size 0 has target 0; a null id is told by the MD5 of its text; repeated rows each count;
-ties of the hash are ordered by id, then size; an empty table gives no rows; other columns are unread.
+source of size 0 has target 0; rows of a null or repeated id are told by the MD5 of their texts, then (with carry) by a hash of all columns but maps; repeated rows each count and are drawn in any order; an empty table gives no rows; other columns are unread.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import cut, partitions, table, word_count
+from gridloom.llm._ranges import bounds_of, with_range
+from gridloom.llm._shared import cut, hashable, partitions, table, word_count
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -49,8 +50,8 @@ def mix_sources(
     """
     spark = df.sparkSession
     row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
-    text_id = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text_id)), 1, HASH_BITS // 4)
+    told = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))]
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *told)), 1, HASH_BITS // 4)
     sized = cut(
         df.select(
             F.col(id_col).alias("id"),
@@ -59,13 +60,15 @@ def mix_sources(
             F.col(source_col).isNull().alias("source_null"),
             word_count(F.col(text_col)).alias("size"),
             F.conv(digits, 16, 10).cast("long").alias("h"),
+            (F.xxhash64(*hashable(df)) if carry else F.lit(0).cast("long")).alias("tie"),
             *row,
         ),
         "sized",
     )
     targets = fill(_weighted(sized.groupBy(*KEY).agg(F.sum("size").alias("source_size")), weights), max_epochs)
     ranges = max(4 * partitions(spark), sized.count() // RANGE_ROWS)
-    ranged = sized.withColumn("range", F.expr(f"h div {(1 << HASH_BITS) // ranges + 1}L"))
+    bounds = bounds_of(sized.select(F.col("h").alias("key"), "tie"), ranges)
+    ranged = with_range(sized, F.col("h"), F.col("tie"), bounds).drop("starts") if bounds else sized.withColumn("range", F.lit(0).cast("long"))
     before = Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         ranged.groupBy(*KEY, "range")
@@ -74,7 +77,7 @@ def mix_sources(
         .join(targets, KEY)
         .drop("range_size")
     )
-    inside = Window.partitionBy(*KEY, "range").orderBy("h", F.col("id").asc_nulls_last(), "size")
+    inside = Window.partitionBy(*KEY, "range").orderBy("h", "tie")
     until = F.col("start") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio)
@@ -131,7 +134,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -153,7 +156,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS LAST, d.size
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (
