@@ -6,8 +6,9 @@ probabilities of its byte trigrams, bounded below so that no word decides alone.
 words of a document, with a penalty for each change of language, labels spans. The document's
 language is the one whose spans hold the most letters; its score is their share.
 
-Learning counts trigrams per language over a bounded sample: about PER_LANG documents of each
-language, chosen by a hash of their id. The counts are summed by language and trigram class before
+Learning counts trigrams per language over a bounded sample: about PER_LANG different documents of each
+language (MOST at most), chosen by a hash of id and text, so neither null nor repeated ids decide together; rows alike in both count once, and
+each language has its row of least hash at least. The counts are summed by language and trigram class before
 they reach the driver; their number is bounded by languages times 64^3, and languages by MAX_LANGS (more raise an error).
 
 Viterbi runs over all documents of a batch at once, word by word, longest first, so its work is the
@@ -28,13 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.llm._shared import table, trimmed
 
-#: Expected number of sampled training documents of each language.
-PER_LANG = 1500
+#: Sampled training documents of each language, about and at most.
+PER_LANG, MOST = 1800, 3600
 #: Languages whose model fits a worker: 1 MB each.
 MAX_LANGS = 200
 #: Cost of changing the language between two words, and the lowest score of a word below the best language's.
@@ -124,16 +126,20 @@ def _scripts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trigram log probabilities by language from a sample of the rows with text and language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGS + 1).collect()}
+    h = F.xxhash64(F.lit(3), id_col, text_col)
+    draw = F.pmod(h, F.lit(1 << 20))
+    found = rows.groupBy(lang_col).agg(F.approx_count_distinct(h).alias("n"), F.min(draw).alias("least")).limit(MAX_LANGS + 1).collect()
+    counts = {r[0]: (r["n"], r["least"]) for r in found}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((CLASSES**3, 0), np.float32), np.zeros(0, np.uint16))
-    draw = F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 20))
-    shares = [x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, PER_LANG / counts[k]) * (1 << 20))))]
+    shares = [x for k, (n, least) in counts.items() for x in (F.lit(k), F.lit(max(least + 1, int(min(1.0, PER_LANG / n) * (1 << 20)))))]
     share = F.element_at(F.create_map(*shares), F.col(lang_col))
-    sample = rows.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = rows.where(draw < share).groupBy(F.col(lang_col).alias("lang"), h.alias("h")).agg(F.any_value(text_col).alias("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = drawn.withColumn("k", F.row_number().over(first)).where(F.col("k") <= MOST).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
@@ -152,14 +158,15 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     [pa.array([lang] * len(keys)), pa.array(keys), pa.array(sums)], ["lang", "code", "n"]
                 )
 
+    place = {lang: k for k, lang in enumerate(langs)}
     found = (
-        sample.repartition(16)
+        sample.repartition(16)  # of a bounded number of rows
         .mapInArrow(count, "lang string, code long, n long")
         .groupBy("lang", "code")
         .agg(F.sum("n").alias("n"))
         .toArrow()
     )
-    who = np.array([langs.index(x) for x in found.column("lang").to_pylist()], np.int64)
+    who = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
     code, n = found.column("code").to_numpy(), found.column("n").to_numpy()
     sums = np.zeros((CLASSES**3, len(langs)))
     tri = code >= 0
@@ -260,7 +267,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1) and spans (first word, number of words, language)."""
     names = [x.split()[0] for x in RESULTS.split(", ")]
     rest = df.drop(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    schema = StructType([*rest.schema.fields, *StructType.fromDDL(RESULTS).fields])
     place = rest.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +277,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 out = label(part.column(place).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *names])
 
-    return rest.mapInArrow(run, f"{schema}, {RESULTS}")
+    return rest.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
