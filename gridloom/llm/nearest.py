@@ -10,7 +10,7 @@ reaches CONFIDENCE: a point nearer than d would then have been met with that pro
 The index has two levels. A kd-tree over a bounded sample (SAMPLE rows) of projections cuts space into
 cells of about SHARD rows, MAX_CELLS at most; every row is in a cell. A query searches its own cell
 first, and then, with the distance that it has found, only the cells that its test doesn't exclude. A cell is dealt to parts
-of about SHARD rows by a hash of the id, so a vector that a third of all rows share, or a table far larger
+of about SHARD rows at random, so an id or a vector that a third of all rows share, or a table far larger
 than the sample can cut, makes more parts, not larger ones. Each part has a kd-tree of its own: queries take its leaves in the order of
 their projected distance, and of a leaf those points that pass the test.
 
@@ -236,7 +236,7 @@ def nearest(
     placed = cut(rows.mapInArrow(place, f"id long, vector {kind}, asks boolean, cell long"), "placed")
     own = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per cell
     parts = {c: ceil(x / SHARD) for c, x in own.items()}
-    asking = placed.where("asks").select("id", "vector", "cell").withColumn("reach", F.lit(float("inf")))
+    asking = placed.where("asks").select("id", "vector", "cell").distinct().withColumn("reach", F.lit(float("inf")))
     found = cut(_searched(placed, asking, parts, k, size), "found")
     if len(own) > 1:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -277,7 +277,7 @@ def _searched(placed: DataFrame, asking: DataFrame, parts: dict[int, int], k: in
         return placed.sparkSession.createDataFrame([], schema)
     n_parts = F.element_at(F.create_map(*[F.lit(x) for c in visited for x in (c, parts[c])]), F.col("cell"))
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for c in visited for x in (c, ceil(visits[c] / BLOCK))]), F.col("cell"))
-    draw = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1 << 30))
+    draw = F.floor(F.rand(SEED + 1) * (1 << 30))
     every = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     index = placed.where(F.col("cell").isin(visited)).select("id", "vector", "cell", (draw % n_parts).cast("int").alias("part"), n_blocks.alias("n"))
     index = index.withColumn("block", every(F.col("n"))).drop("n")
@@ -291,6 +291,8 @@ def _searched(placed: DataFrame, asking: DataFrame, parts: dict[int, int], k: in
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         points, least, of = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        if len(points) >> NUMBERS:
+            raise OverflowError(f"a part holds over {1 << NUMBERS} different vectors")
         by_id = np.argsort(least)  # points are numbered by their smallest id
         points, of = points[by_id], np.argsort(by_id)[of.reshape(-1)]
         by_point = np.argsort(of, kind="stable")
