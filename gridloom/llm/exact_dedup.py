@@ -9,10 +9,11 @@ One opening that very many texts share would fill one range; such a tie is cut i
 64-bit hash of the text, which equal texts share too. Inside a range rows are sorted by their whole
 content: opening, then text. A text with more copies than a quarter of an average partition would make one
 run too long for a task. The hashes of such texts (at most four for each partition) are found
-first, and their rows are sorted and combined where they are read, before any shuffle.
+first; their rows are kept without the text, numbered, and combined where they are read, and the few texts go back to them by digest.
+(Salting the equal runs instead would sort and compare as many copies of one text as there are.)
 
-Defined results: null text is the empty text; a null id ranks behind all others; rows that repeat
-an id and a text length share their ``kept``; an empty table gives no rows; other columns are unread.
+Defined results: null text is the empty text; a null id ranks behind all others; of rows that repeat an id and a text length
+the one whose original text has the smallest hash stays, of wholly equal rows any one; an empty table gives no rows; other columns are unread.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import partitions, strip_spaces, table
+from gridloom.llm._shared import cut, partitions, strip_spaces, table
 
 #: Characters of a splitter.
 HEAD = 64
@@ -35,21 +36,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = df.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.length(text_col), F.lit(0)).alias("length"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("original"),
         strip_spaces(F.col(text_col)).alias("normalised"),
     ).withColumn("h", F.xxhash64("normalised"))
     hot = _hot_hashes(rows)
-    out = _sorted_runs(rows.where(~F.col("h").isin(hot)) if hot else rows)
-    if hot:
-        out = out.unionByName(_combined_first(rows.where(F.col("h").isin(hot))))
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
-    return out.select("id", "normalised", "keep_id", "group_size", kept.alias("kept"))
+    if not hot.limit(1).count():
+        return _sorted_runs(rows)
+    return _sorted_runs(rows.join(F.broadcast(hot), "h", "left_anti")).unionByName(_combined_first(rows.join(F.broadcast(hot), "h", "left_semi")))
 
 
-def _hot_hashes(rows: DataFrame) -> list[int]:
+def _hot_hashes(rows: DataFrame) -> DataFrame:
     """Hashes of texts with over 1 / (4 * partitions) of all rows, so at most 4 * partitions of them."""
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     limit = max(LEAST_HOT, rows.count() // (4 * partitions(rows.sparkSession)))
-    return [r["h"] for r in counts.where(F.col("n") > limit).collect()]
+    return cut(counts.where(F.col("n") > limit).select("h"), "hot")
 
 
 def _sorted_runs(rows: DataFrame) -> DataFrame:
@@ -57,34 +57,26 @@ def _sorted_runs(rows: DataFrame) -> DataFrame:
         partitions(rows.sparkSession), "head", "h"
     )
     run = Window.partitionBy("head", "normalised", "h")  # sorted in this order, and a run ends where a neighbour differs
-    best = run.orderBy(F.desc("length"), F.col("id").asc_nulls_last())
+    best = run.orderBy(F.desc("length"), F.col("id").asc_nulls_last(), "original")
     return ranged.select(
         "id",
-        "length",
         "normalised",
         F.first("id").over(best).alias("keep_id"),
-        F.first("length").over(best).alias("keep_length"),
         F.count(F.lit(1)).over(run).alias("group_size"),
+        (F.row_number().over(best) == 1).alias("kept"),
     )
 
 
 def _combined_first(rows: DataFrame) -> DataFrame:
-    """Each task sorts its own rows and sends one row per text; the few groups go back to the rows by digest."""
-    best = F.min(F.struct((-F.col("length")).alias("short"), F.col("id").isNull().alias("no_id"), F.col("id")))
-    groups = (
-        rows.groupBy("normalised")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select(
-            F.sha2("normalised", 256).alias("digest"),
-            F.col("best.id").alias("keep_id"),
-            (-F.col("best.short")).alias("keep_length"),
-            "group_size",
-        )
-    )
-    return (
-        rows.withColumn("digest", F.sha2("normalised", 256))
-        .join(F.broadcast(groups), "digest")
-        .select("id", "length", "normalised", "keep_id", "keep_length", "group_size")
+    """Each task combines its own rows and sends one per text; what these give goes back to the rows by digest."""
+    digest = F.sha2("normalised", 256).alias("digest")
+    order = [(-F.col("length")).alias("short"), F.col("id").isNull().alias("no_id"), "id", "original", "place"]
+    own = cut(rows.select("id", digest, F.struct(*order[:4], F.monotonically_increasing_id().alias("place")).alias("order")), "copies")
+    best = own.groupBy("digest").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("group_size"))
+    texts = rows.groupBy(digest).agg(F.any_value("normalised").alias("normalised"))
+    found = cut(best.join(texts, "digest"), "groups")  # a row per hot text
+    return own.join(F.broadcast(found), "digest").select(
+        "id", "normalised", F.col("best.id").alias("keep_id"), "group_size", (F.col("order") == F.col("best")).alias("kept")
     )
 
 
@@ -101,7 +93,7 @@ WITH d AS (
   FROM documents
 )
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       doc_id IS NOT DISTINCT FROM first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+       row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id ASC NULLS LAST)
 """
 QUERIES = {"op8_exact_dedup": (op8_exact_dedup, SQL)}
