@@ -33,7 +33,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     covered = _covered(df, id_col, text_col)
     rest = [c for c in df.columns if c not in (text_col, "n_lines", "n_removed")]
     held = df.select(
-        F.struct(*[F.col(c) for c in rest]).alias("rest"),
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
         F.col(text_col).alias("text"),
         F.col(id_col).isNull().alias("no_id"),
         F.col(id_col).alias("id"),

@@ -66,6 +66,7 @@ def rows():
 
 
 def test_exact_dedup(spark, rows):
+    """One row of each group stays: the longest, then of smallest id; of rows alike in both, one."""
     got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
     groups = defaultdict(list)
     for i, t, *_ in rows:
@@ -73,12 +74,26 @@ def test_exact_dedup(spark, rows):
     want = Counter()
     for norm, own in groups.items():
         best = min(own, key=lambda x: x[:3])
+        want[(best[3], norm, best[3], len(own), True)] += 1
+        own.remove(best)
         for x in own:
-            want[(x[3], norm, best[3], len(own), x[3] == best[3] and x[0] == best[0])] += 1
+            want[(x[3], norm, best[3], len(own) + 1, False)] += 1
     assert Counter((r.id, r.normalised, r.keep_id, r.group_size, r.kept) for r in got) == want
     assert any(r.group_size > exact_dedup.LEAST_HOT for r in got)  # the branch for hot texts ran
 
 
+@pytest.mark.parametrize("copies", [2, 200])
+def test_exact_dedup_keeps_one_of_repeated_rows(spark, copies):
+    docs = [(1, "a b", None, None)] * copies + [(1, " ab", None, None), (1, "a\tb", None, None), (2, "c", None, None)]
+    seen = set()
+    for k in range(3):
+        random.Random(k).shuffle(docs)
+        got = exact_dedup.exact_dedup(frame(spark, docs).repartition(3)).collect()
+        assert Counter((r.id, r.group_size, r.kept) for r in got) == {(1, copies + 2, True): 1, (1, copies + 2, False): copies + 1, (2, 1, True): 1}
+        seen.add(len(got))
+    assert seen == {copies + 3}
+
+
 def test_mixing(spark, rows):
     got = mixing.mix_sources(frame(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -462,6 +477,41 @@ def test_cells_hold_every_point_within_their_bounds():
     assert (bound[np.arange(3000), of] == 0).all() and 15 <= len(set(of)) <= 20
 
 
+def test_nearest_with_a_repeated_id(spark, monkeypatch):
+    """A third of the rows has one id: its vectors are dealt to several parts, and each is a candidate."""
+    monkeypatch.setattr(nearest, "SHARD", 50)
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((600, 6)).astype(np.float32)
+    ids = [0] * 200 + list(range(1, 401))
+    rows = [(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)] + [(0, vectors[0].tolist())] * 100
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1)[:, None]
+    own, hits, total = np.array(ids), 0, 0
+    for q in range(0, 401, 50):
+        best = {}
+        for j, score in zip(ids, (unit @ unit[own == q].T).max(1), strict=True):
+            if j != q:
+                best[j] = max(best.get(j, -2), score)
+        want = sorted(best, key=lambda j: -best[j])[:5]
+        found = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in found] == [1, 2, 3, 4, 5] and all(abs(r.score - best[r.id]) < 1e-9 for r in found)
+        hits, total = hits + len({r.id for r in found} & set(want)), total + 5
+    assert hits >= 0.9 * total
+
+
+def test_mixing_with_a_hot_row(spark, monkeypatch):
+    """A third of the rows repeats an id, or is one row: ranges part them, and sources still meet their targets."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    rng = random.Random(21)
+    docs = [(5, prose(rng, 12), None, "a") for _ in range(300)] + [(6, "one row of words", None, "b")] * 300 + [(k, prose(rng, 12), None, "abc"[k % 3]) for k in range(100, 400)]
+    got = mixing.mix_sources(frame(spark, docs), carry=True).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == 900 and all(abs(taken[s] - t) <= 7 for s, t in target.items())
+
+
 def test_chi_square():
     assert nearest.chi_square(2.0, 2) == pytest.approx(1 - np.exp(-1.0))
     assert nearest.stopping_ratio(2, 0.95) == pytest.approx(-2 * np.log(0.05))
@@ -522,6 +572,22 @@ def test_words_end_at_what_is_no_letter():
     assert names == [{"latin"}] * 5 + [{"armenian"}, {"han"}]
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "alike"])
+def test_learning_with_odd_ids(spark, monkeypatch, ids):
+    """No language is lost, and the sample stays bounded, where rows share an id or are alike as a whole."""
+    monkeypatch.setattr(language_id, "PER_LANG", 40)
+    monkeypatch.setattr(language_id, "MOST", 60)
+    rng = random.Random(3)
+    words = {"de": "das haus und der garten ist schoen".split(), "en": "the house with this yard looks nice".split()}
+    docs = [(k, " ".join(rng.choices(words["de"], k=9)), "de", None) for k in range(1500)]
+    text = lambda: "the house with this yard" if ids == "alike" else " ".join(rng.choices(words["en"], k=9))
+    docs += [({"null": None, "one": 7, "alike": 7}[ids], text(), "en", None) for _ in range(1500)]
+    model = language_id.learn(frame(spark, docs))
+    assert model.langs == ["de", "en"]
+    asked = frame(spark, [(1, "the house with this yard", None, None), (2, "das haus und der garten", None, None)])
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {1: "en", 2: "de"}
+
+
 def test_too_many_languages_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGS", 2)
     docs = frame(spark, [(k, "a b", str(k), None) for k in range(3)])
@@ -624,6 +690,21 @@ def test_pipeline(spark, rows):
     assert hashlib.sha256(b"").hexdigest() not in {r.decoded_sha256 for r in docs.where("n_tokens > 0").collect()}
 
 
+def test_pipeline_of_odd_columns(spark):
+    """Names that clash or hold dots, and maps inside structs, pass through every stage."""
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    odd = ["named_struct('m', map('k', doc_id)) AS `a.b`", *[f"{k} AS `{c}`" for k, c in enumerate(["_copy", "row", "range", "h", "tie", "starts", "a b"])]]
+    docs = frame(spark, [(k, prose(rng, 40), "en", "ab"[k % 2]) for k in range(20)] + [(3, prose(rng, 40), "en", None)]).selectExpr("*", *odd)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count(), name
+    assert p.encode(spark, docs, "").count() == docs.count()
+
+
 def test_pipeline_links_from_four_fifths(spark):
     """Pairs at 0.815 and 0.774: the stage drops one of the first pair, op10's threshold none."""
     import corpus_pipeline as p

@@ -225,6 +225,11 @@ def plain_lines(docs):
     return out
 
 
+def drawn(doc):
+    """The place of (id, text, source) in the seeded order."""
+    return hashlib.md5(f"{mixing.SEED}:{doc[0]}:{hashlib.md5(doc[1].encode()).hexdigest()}".encode()).hexdigest()[:15]
+
+
 def plain_mix(docs):
     """docs as often as the mix takes them."""
     size, order = Counter(), sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
@@ -240,7 +245,7 @@ def plain_mix(docs):
             break
         clamped |= more
     until, out = Counter(), []
-    for i, t, s in sorted(docs, key=lambda x: int(hashlib.md5(f"{mixing.SEED}:{x[0]}".encode()).hexdigest()[:15], 16)):
+    for i, t, s in sorted(docs, key=drawn):
         ratio = target[s] / size[s] if size[s] else 0.0
         extra = (ratio - math.floor(ratio)) * size[s]
         until[s] += n_words[i]
