@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, language_id, line_dedup, mixing, near_dup
-from gridloom.llm._shared import cut, table
+from gridloom.llm._shared import cut, hashable, row_of, table
 
 LEAST_SCORE = 0.5
 #: Of the Jaccard similarity from which documents are near-duplicates; op10's own contract has another.
@@ -22,7 +22,7 @@ NEAR_PERCENT = 80
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the other columns as one, so that no column clashes with an operator's results."""
-    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    return docs.select("doc_id", "text", row_of(docs, "text"))
 
 
 def _with_text(docs: DataFrame, packed: DataFrame, **changed) -> DataFrame:
@@ -55,8 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns), so reruns agree. Rows without id all stay, null and wordless texts too.
     """
     kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    plain = [f.name for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
-    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*plain)))
+    first = F.min_by(row_of(docs), F.struct(F.xxhash64("text"), F.xxhash64(*hashable(docs))))
     single = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row"))
     return single.select("row.*").unionByName(docs.where("doc_id is null"))
 
@@ -68,11 +67,16 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an empty table as in mix_sources.
     """
     taken = mixing.mix_sources(docs, carry=True).where("reps > 0")
-    return taken.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), "reps")).alias("_copy")).select(*docs.columns)
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "reps")))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per row, with its token ids and their digests; a null text has no ids."""
+    """A row per row, with its token ids and their digests.
+
+    A null or empty text has no ids; very long texts are encoded whole; ties can't occur; repeated rows, and rows without id, each give
+    a row; an empty table gives none; columns beside doc_id and text aren't read.
+    """
     return bpe.digests(bpe.bpe_encode(docs, decoded=True), "ids")
 
 
