@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import hour_of, month_of, number
+from gridloom.operators.ranges import quantiles, with_neighbours
 
 AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0))}
 
@@ -29,49 +30,46 @@ def regularize(
     return grid.join(df.select(key, ts, value), [key, ts], "left")
 
 
-def _neighbours(key: str, ts: str, value: str) -> tuple[Column, Column, Column]:
-    """Row number, and (place, value) of the nearest value at or before and at or after each row.
+def _with_neighbours(df: DataFrame, key: str, ts: str, value: str, ranges: int | None) -> DataFrame:
+    """df with _place (row number), and _before and _after: (place, hit) of the nearest value at or before and at or after each row.
 
     Both look back over a running frame, the second in reversed order: a frame that runs to the end of
-    the series would be evaluated anew for each row.
+    the series would be evaluated anew for each row. With ranges a series is cut into so many (of time), for one that is too
+    long for a task.
     """
+    if ranges:
+        return with_neighbours(df, [key], ts, F.col(value), ranges)
     order = Window.partitionBy(key).orderBy(ts)
     place = F.row_number().over(order)
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col("_place").alias("place"), F.col(value).alias("value")))
+    here = F.when(F.col(value).isNotNull(), F.struct(F.col("_place").alias("place"), F.col(value).alias("hit")))
     before = F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     back = Window.partitionBy(key).orderBy(F.desc("_place"))
     after = F.last(here, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    return place, before, after
+    return df.withColumn("_place", place).withColumns({"_before": before, "_after": after})
 
 
 def interpolate_both(
-    df: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None
+    df: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Missing values become linear by row position; those before the first or after the last take the nearest.
 
-    With limit, a value fills at most so many rows to each side, still along the whole gap's line.
+    With limit, a value fills at most so many rows to each side, still along the whole gap's line. ranges cuts series that
+    are too long for one task.
     """
-    place, before, after = _neighbours(key, ts, value)
     a, b, p = F.col("_before"), F.col("_after"), F.col("_place")
-    line = a["value"] + (b["value"] - a["value"]) * (p - a["place"]) / F.nullif(b["place"] - a["place"], F.lit(0))
-    filled = F.coalesce(F.col(value), line, a["value"], b["value"])
+    line = a["hit"] + (b["hit"] - a["hit"]) * (p - a["place"]) / F.nullif(b["place"] - a["place"], F.lit(0))
+    filled = F.coalesce(F.col(value), line, a["hit"], b["hit"])
     if limit is not None:
         near = F.least(p - a["place"], b["place"] - p) <= limit
         filled = F.when(F.col(value).isNotNull() | near, filled)
-    return (
-        df.withColumn("_place", place)
-        .withColumns({"_before": before, "_after": after})
-        .withColumn(value, filled)
-        .drop("_place", "_before", "_after")
-    )
+    return _with_neighbours(df, key, ts, value, ranges).withColumn(value, filled).drop("_place", "_before", "_after")
 
 
-def ffill(df: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None) -> DataFrame:
+def ffill(df: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None, ranges: int | None = None) -> DataFrame:
     """Missing values take the last one before, over at most limit rows."""
-    place, before, _ = _neighbours(key, ts, value)
     near = F.lit(True) if limit is None else F.col("_place") - F.col("_before.place") <= limit
-    filled = F.when(near, F.col("_before.value"))
-    return df.withColumn("_place", place).withColumn("_before", before).withColumn(value, filled).drop("_place", "_before")
+    filled = F.when(near, F.col("_before.hit"))
+    return _with_neighbours(df, key, ts, value, ranges).withColumn(value, filled).drop("_place", "_before", "_after")
 
 
 def _centred(key: str, ts: str, window: int):
@@ -108,19 +106,46 @@ def hampel(
     return interpolate_both(cleaned, key, ts, value) if replace == "interp" else cleaned
 
 
+def _bin_start(ts: str, count: int, unit: str) -> Column:
+    """The start of the bin of count units that a time is in: from midnight of the first day of all for hours and minutes, else by calendar."""
+    if count == 1:
+        return F.date_trunc(unit, ts).cast("timestamp_ntz")
+    if unit in ("month", "quarter", "year"):
+        months = count * {"month": 1, "quarter": 3, "year": 12}[unit]
+        since = (F.year(ts) - F.year("_from")) * 12 + F.month(ts) - F.month("_from")
+        return F.add_months(F.trunc("_from", "month"), F.floor(since / months).cast("int") * months).cast("timestamp_ntz")
+    origin = F.date_trunc("day", "_from").cast("timestamp_ntz")
+    seconds = count * {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[unit]
+    since = F.timestamp_diff("SECOND", origin, ts)
+    return F.timestamp_add("SECOND", F.floor(since / seconds) * seconds, origin).cast("timestamp_ntz")
+
+
 def resample(
     df: DataFrame, unit: str = "day", how: str = "mean", key: str = "code", ts: str = "ts", value: str = "kwh"
 ) -> DataFrame:
-    """(key, ts, value) by hour, day, month or year of local time; an empty sum is 0, an empty mean null."""
-    at = F.date_trunc(unit, ts).cast("timestamp_ntz").alias(ts)
-    return df.groupBy(key, at).agg(AGGREGATES[how](value).alias(value))
+    """(key, ts, value) by bins of local time, such as "day", "month", "3 hours" or "2 weeks", with a row for every bin from the first to the last of the table.
+
+    An empty sum is 0, an empty mean, min or max null. Single units begin with the calendar's; bins of several hours, days or weeks count from
+    midnight of the table's first day, of several months or years from its first month. Rows without a time are left out.
+    """
+    count, _, name = unit.rpartition(" ")
+    count, name = int(count or 1), name.rstrip("s")
+    if count < 1 or name not in ("second", "minute", "hour", "day", "week", "month", "quarter", "year"):
+        raise ValueError(f"no unit: {unit}")
+    rows = df.where(F.col(ts).isNotNull()).select(key, ts, value)
+    if count > 1:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.min(ts).alias("_from"))))  # one row
+    binned = rows.groupBy(key, _bin_start(ts, count, name).alias(ts)).agg(AGGREGATES[how](value).alias(value))
+    months = {"quarter": 3}.get(name)
+    full = regularize(binned, f"{3 * count} month" if months else f"{count} {name}", key, ts, value)
+    return full.fillna(0.0, [value]) if how == "sum" else full
 
 
 def monthly_energy(df: DataFrame, how: str = "sum", key: str = "code", ts: str = "ts", value: str = "kwh") -> DataFrame:
     """As resample by month, with a row for every month from the first to the last of the table."""
     if how not in ("sum", "mean"):
         raise ValueError("how must be 'sum' or 'mean'")
-    by_month = resample(df, "month", how, key, ts, value)
+    by_month = df.groupBy(key, month_of(ts).alias(ts)).agg(AGGREGATES[how](value).alias(value))
     full = regularize(by_month, "1 month", key, ts, value)
     return full.fillna(0.0, [value]) if how == "sum" else full
 
@@ -196,27 +221,24 @@ def instants_of(df: DataFrame, zone: str, ts: str = "ts", by: list[str] | None =
 
 
 def asof_nearest(
-    left: DataFrame, right: DataFrame, value: str, ts: str = "ts", by: list[str] | None = None
+    left: DataFrame, right: DataFrame, value: str, ts: str = "ts", by: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Each left row with value from the right row of the nearest time, the later one on ties.
 
-    Only the distinct times of both sides are ordered together; the rows of left then join on the time.
-    So a place with very many rows costs no more than its times, and there is no range join.
+    Only the distinct times of both sides are ordered; the rows of left then join on the time, so a place with very many
+    rows costs no more than its times, and there is no range join. Times are ordered within ranges, and the hits that lie beyond a
+    range's ends come from a scan over the ranges, so one long series is many tasks' work.
     """
     on = [*(by or []), ts]
-    times = left.select(*on).distinct().withColumn("_hit", F.lit(None)).withColumn("_asks", F.lit(True))
-    hit = F.struct(F.col(ts).alias("at"), F.col(value).alias("value")).alias("_hit")
-    given = right.where(F.col(value).isNotNull()).select(*on, hit, F.lit(False).alias("_asks"))
-    parts = Window.partitionBy(*on[:-1])
-    before, after = (
-        F.last("_hit", ignorenulls=True).over(parts.orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        for way in (F.asc(ts), F.desc(ts))
-    )
-    found = times.unionByName(given).withColumns({"_b": before, "_a": after}).where("_asks")
-    since, until = (F.unix_micros(F.col(x).cast("timestamp")) for x in ("_b.at", "_a.at"))
+    times = left.select(*on).distinct().withColumn("_given", F.lit(None)).withColumn("_asks", F.lit(True))
+    given = right.where(F.col(value).isNotNull()).groupBy(*on).agg(F.struct(F.col(ts).alias("at"), F.min(value).alias("value")).alias("_given"))
+    both = times.unionByName(given.withColumn("_asks", F.lit(False)))
+    both = both.groupBy(*on).agg(F.first("_given", ignorenulls=True).alias("_given"), F.bool_or("_asks").alias("_asks"))  # a row for each time
+    found = with_neighbours(both, on[:-1], ts, F.col("_given"), ranges).where("_asks")
+    since, until = (F.unix_micros(F.col(x).cast("timestamp")) for x in ("_before.hit.at", "_after.hit.at"))
     now = F.unix_micros(F.col(ts).cast("timestamp"))
-    later = F.col("_b").isNull() | (until - now <= now - since)
-    nearest = F.when(F.col("_a").isNotNull() & later, F.col("_a.value")).otherwise(F.col("_b.value"))
+    later = F.col("_before").isNull() | (until - now <= now - since)
+    nearest = F.when(F.col("_after").isNotNull() & later, F.col("_after.hit.value")).otherwise(F.col("_before.hit.value"))
     return left.join(found.select(*on, nearest.alias(value)), on, "left")
 
 
@@ -229,12 +251,12 @@ def area_metric(df: DataFrame, how: str = "mean", key: str = "code", ts: str = "
 
 
 def color_limits(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """One row (low, high): percentiles, or the extremes where these are equal."""
-    q = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    return df.agg(q.alias("q"), F.min(value).alias("a"), F.max(value).alias("b")).select(
-        F.when(F.col("q")[0] == F.col("q")[1], F.col("a")).otherwise(F.col("q")[0]).alias("low"),
-        F.when(F.col("q")[0] == F.col("q")[1], F.col("b")).otherwise(F.col("q")[1]).alias("high"),
-    )
+    """One row (low, high): exact quantiles of the whole table, found by ranges of the values, or the extremes where these are equal; nulls for an empty table."""
+    q = quantiles(df, value, {"_low": low, "_high": high})
+    ends = df.agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    both = ends.join(F.broadcast(q), F.lit(True), "left")  # a row on either side
+    flat = F.col("_low") == F.col("_high")
+    return both.select(F.when(flat, F.col("_a")).otherwise(F.col("_low")).alias("low"), F.when(flat, F.col("_b")).otherwise(F.col("_high")).alias("high"))
 
 
 def monthly_ape(truth: DataFrame, imputed: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh") -> DataFrame:
