@@ -199,7 +199,8 @@ def replace_anomalies(
     return interpolate_both(masked, key, ts, value)
 
 
-REPORT = "iterations int, initial_rate double, final_rate double, n_points long, n_replaced long, status string"
+REPORT = "iterations int, initial_rate double, final_rate double, final_n_anomalies long, n_points long, n_replaced long, status string"
+COMPONENTS = "trend double, seasonal double, resid double, robust_z double, is_anomaly boolean"
 
 
 def _line(y: np.ndarray) -> np.ndarray:
@@ -218,22 +219,30 @@ def treat_anomalies(
     key: str = "code",
     ts: str = "ts",
     value: str = "kwh",
-) -> tuple[DataFrame, DataFrame]:
-    """(treated, report): decompose, score and replace per area until its rate of anomalies is low enough.
-
-    The whole loop of an area is one task's work; it runs once, its result is stored for both tables. Status: ok, stalled (nothing changed), not_conformed
-    (max_iter reached; the rate is that before the last replacement, which still holds).
+    codes: list | None = None,
+    components: bool = False,
+) -> tuple[DataFrame, ...]:
+    """(treated, report): decompose, score and replace per area until its rate of anomalies is low enough; with components also those of its last round.
+
+    Gaps are filled for the decomposition only: a series that conforms at once comes back as it was, one that is replaced in without gaps.
+    codes limits the areas that are treated; the others pass through, without a row in the report.
+    The whole loop of an area is one task's work; it runs once, its result is stored for all tables. Status: ok, stalled (nothing changed), not_conformed
+    (max_iter reached; rate and anomalies are those before the last replacement, which still holds). n_replaced counts the points of all rounds.
     """
+    if not 0 <= target_rate <= 1 or max_iter < 1:
+        raise ValueError("target_rate must be in 0 to 1, max_iter 1 or more")
     if method not in ("interp", "stl_rebuild"):
         raise ValueError("method must be 'interp' or 'stl_rebuild'")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts)
-        y = _line(pdf[value].to_numpy(float))
-        out = pdf.assign(iterations=0, initial_rate=np.nan, final_rate=np.nan, n_points=len(y), n_replaced=0, status="too_short")
+        given = pdf[value].to_numpy(float)
+        y, none = _line(given), np.full(len(given), np.nan)
+        out = pdf.assign(iterations=0, initial_rate=np.nan, final_rate=np.nan, final_n_anomalies=0, n_points=len(y), n_replaced=0, status="too_short")
+        out = out.assign(trend=none, seasonal=none, resid=none, robust_z=none, is_anomaly=False)
         if len(y) < 2 * period or np.isnan(y).any():
             return out
-        first, status, rate, changed, step = np.nan, "not_conformed", np.nan, np.zeros(len(y), bool), 0
+        first, status, replaced = np.nan, "not_conformed", 0
         for step in range(1, max_iter + 1):
             trend, season, resid = stl(y, period, robust)
             off = resid - np.median(resid)
@@ -245,15 +254,24 @@ def treat_anomalies(
             if rate <= target_rate:
                 status = "ok"
                 break
+            replaced += int(hit.sum())
             new = np.where(hit, trend + season, y) if method == "stl_rebuild" else _line(np.where(hit, np.nan, y))
-            if np.allclose(new, y, rtol=0, atol=1e-12):
+            if np.array_equal(new, given, equal_nan=True):
                 status = "stalled"
                 break
-            y, changed = new, changed | hit
-        return out.assign(**{value: y, "iterations": step, "initial_rate": first, "final_rate": rate, "n_replaced": int(changed.sum()), "status": status})
+            y = given = new
+        out = out.assign(**{value: given, "iterations": step, "initial_rate": first, "final_rate": rate, "final_n_anomalies": int(hit.sum()), "n_replaced": replaced, "status": status})
+        return out.assign(trend=trend, seasonal=season, resid=resid, robust_z=z, is_anomaly=hit)
 
-    rows = df.select(key, ts, F.col(value).cast("double").alias(value))
+    every = df.select(key, ts, F.col(value).cast("double").alias(value))
+    rows = every if codes is None else every.where(F.col(key).isin(codes))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    both = stored(rows.groupBy(key).applyInPandas(fit, f"{schema}, {REPORT}"), "treated")
+    both = stored(rows.groupBy(key).applyInPandas(fit, f"{schema}, {REPORT}, {COMPONENTS}"), "treated")
     names = [x.split()[0] for x in REPORT.split(", ")]
-    return both.select(key, ts, value), both.groupBy(key).agg(*[F.max(c).alias(c) for c in names])
+    treated = both.select(key, ts, value)
+    if codes is not None:
+        treated = treated.unionByName(every.where(~F.col(key).isin(codes) | F.col(key).isNull()))
+    report = both.groupBy(key).agg(*[F.max(c).alias(c) for c in names])
+    if not components:
+        return treated, report
+    return treated, report, both.select(key, ts, *[x.split()[0] for x in COMPONENTS.split(", ")])

@@ -84,14 +84,18 @@ def short_term_table(
     months: tuple[int, ...] = WINTER,
     clusters: bool = False,
     aggregate: bool = True,
+    city: str | None = None,
     key: str = "code",
     ts: str = "ts",
     value: str = "kwh",
 ) -> DataFrame:
-    """Daily metrics after, in this order: weather normalisation, division by population, month and weekday filters."""
-    df = load.select(key, ts, value)
+    """Daily metrics after, in this order: weather normalisation, division by population, month and weekday filters.
+
+    With city, load and weather have such a column and each area meets its own city's weather.
+    """
+    df = load.select(key, ts, value, *[city] * bool(city))
     if weather is not None:
-        df = normalize_weather(df, align_weather(df, weather, key, ts, value), key, ts, value)
+        df = normalize_weather(df, align_weather(df, weather, key, ts, value, city=city), key, ts, value)
     if population is not None:
         df = per_capita(df, population, True, key, value)
     if winter_only:

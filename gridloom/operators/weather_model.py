@@ -15,7 +15,7 @@ BASES = (8.0, 24.0, 0.5)
 def normalize_weather(
     load: DataFrame, aligned: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", temperature: str = "temperature"
 ) -> DataFrame:
-    """load - slope * (temperature - its mean) on the rows of load; rows without weather or load come back null.
+    """load - slope * (temperature - its mean) on the rows of load, other columns kept; rows without weather or load come back null.
 
     slope is covariance over variance of an area's aligned rows, 0 without variance.
     """
@@ -26,7 +26,7 @@ def normalize_weather(
     adjusted = aligned.join(fit, key).select(
         key, ts, (F.col(value) - slope * (F.col(temperature) - F.col("mean"))).alias(value)
     )
-    return load.select(key, ts).join(adjusted, [key, ts], "left")
+    return load.drop(value).join(adjusted, [key, ts], "left").select(*load.columns)
 
 
 def per_capita(

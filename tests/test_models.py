@@ -2,8 +2,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import anomalies, prism, short_term
+from tests import plain_prism as plain
 from tests.test_timeseries import START, series
 
 
@@ -122,39 +124,85 @@ def points(t, **p):
     return full
 
 
-@pytest.mark.parametrize(
-    ("model", "p"),
-    [("2ch", {"x1": 13.3, "k1": -2.0}), ("2cl", {"x2": 18.65, "k2": 1.5}), ("3sg", {"x1": 11.2, "x2": 19.4, "k1": -2.0, "k2": 3.0})],
-)
-def test_segments_are_recovered(spark, model, p):
+SHAPES = [("2ch", {"x1": 13.3, "k1": -2.0}), ("2cl", {"x2": 18.65, "k2": 1.5}), ("3sg", {"x1": 11.2, "x2": 19.4, "k1": -2.0, "k2": 3.0})]
+
+
+def fitted(spark, series, **options):
+    """One fit for each of {name: (t, y)}."""
+    rows = [(name, float(a), float(b)) for name, (t, y) in series.items() for a, b in zip(t, y, strict=True)]
+    return prism.prism_fit(spark.createDataFrame(rows, "code string, temperature double, kwh double"), **options)
+
+
+def test_segments_are_recovered(spark):
     t = np.linspace(-25, 35, 700)
-    y = prism.evaluate(model, t, points(t, **p))
-    found = prism.fit_segments(t, y)
-    assert found["model"] == model
-    for k, v in p.items():
-        assert found["p"][k] == pytest.approx(v, abs=0.06)
-    assert found["sse"] < 1e-3 * ((y - y.mean()) ** 2).sum()
-    rows = [("a", float(a), float(b)) for a, b in zip(t, y, strict=True)]
-    fit = prism.prism_fit(spark.createDataFrame(rows, "code string, temperature double, kwh double"))
-    r = fit.first()
-    assert r.model == model and r.r2 > 0.999 and model in r.candidates
-    curve = prism.prism_curve(fit, -20.0, 30.0, 11).orderBy("temperature").collect()
-    assert [c.fitted for c in curve] == pytest.approx(prism.evaluate(model, np.linspace(-20, 30, 11), found["p"]).tolist())
-
-
-def test_cold_break_is_a_candidate_that_needs_leave():
+    series = {m: (t, plain.evaluate(m, t, points(t, **p))) for m, p in SHAPES}
+    fit = fitted(spark, series)
+    curves = prism.prism_curve(fit, -20.0, 30.0, 11).orderBy("temperature").collect()
+    for m, p in SHAPES:
+        r = fit.where(F.col("code") == m).first()
+        y = series[m][1]
+        assert r.model == m and r.r2 > 0.9999 and m in r.candidates and r.sse < 1e-4 * ((y - y.mean()) ** 2).sum()
+        for k, v in p.items():
+            assert r[k] == pytest.approx(v, abs=0.006)
+        want = plain.evaluate(m, np.linspace(-20, 30, 11), {k: r[k] for k in prism.PARAMETERS})
+        assert [c.fitted for c in curves if c.code == m] == pytest.approx(want.tolist())
+
+
+def test_fits_are_never_worse_than_a_plain_grid(spark):
+    """Every model of noisy series of every shape, and the choice among them, against least squares on a grid."""
+    rng = np.random.default_rng(11)
+    t = np.round(rng.uniform(-28, 33, 400), 1)
+    shapes = {m: (t, plain.evaluate(m, t, points(t, **p)) + rng.normal(0, 3, len(t))) for m, p in SHAPES}
+    cold = {"x0": -12.0, "x1": 12.0, "k1": -2.0, "k0": 0.5, "y0": 78.0}
+    shapes["3be"] = t, plain.evaluate("3be", t, points(t, **cold)) + rng.normal(0, 2, len(t))
+    shapes["4sg"] = t, plain.evaluate("4sg", t, points(t, **cold, k2=2.5)) + rng.normal(0, 2, len(t))
+    shapes["noise"] = t, 20 + rng.normal(0, 3, len(t))
+    every = ("2ch", "2cl", "3seg", "3be", "4sg")
+    for options in ({}, {"models": every}, {"models": every, "f_rule": "critical"}):
+        got = {r.code: r for r in fitted(spark, shapes, **options).collect()}
+        for name, (x, y) in shapes.items():
+            want = plain.fit_segments(x, y, options.get("models", ("2ch", "2cl", "3seg")), options.get("f_rule", "pdf"))
+            assert set(want["candidates"]) <= set(got[name].candidates)
+            for m, c in want["candidates"].items():
+                slack = 2e-3 if m == "4sg" else 1e-6  # the coarse grid of three breaks is another, which may lead to another local optimum
+                assert got[name].candidates[m].sse <= c["sse"] * (1 + slack), (name, m)
+            assert got[name].model == want["model"] and (got[name].n_left, got[name].n_right) == ((x <= got[name].x1).sum(), (x >= got[name].x2).sum())
+            rest = y - plain.evaluate(got[name].model, x, {k: got[name][k] for k in prism.PARAMETERS})
+            assert (rest**2).sum() == pytest.approx(got[name].sse, rel=1e-5) and rest.std(ddof=1) == pytest.approx(got[name].resid_std, rel=1e-5)
+
+
+def test_cold_break_is_a_candidate_that_needs_leave(spark):
     t = np.linspace(-30, 30, 900)
-    y = prism.evaluate("3be", t, points(t, x0=-12.0, x1=12.0, k1=-2.0, k0=0.5, y0=78.0))
-    assert prism.fit_segments(t, y, ("2ch", "2cl", "3seg", "3be"))["model"] == "3be"
-    assert prism.fit_segments(t, y)["model"] in ("2ch", "2cl", "3sg")
+    y = plain.evaluate("3be", t, points(t, x0=-12.0, x1=12.0, k1=-2.0, k0=0.5, y0=78.0))
+    assert fitted(spark, {"a": (t, y)}, models=("2ch", "2cl", "3seg", "3be")).first().model == "3be"
+    assert fitted(spark, {"a": (t, y)}).first().model in ("2ch", "2cl", "3sg")
 
 
-def test_f_distribution():
-    assert prism.f_density(0.05, 2, 10**6) == pytest.approx(np.exp(-0.05), rel=1e-4)
-    assert prism.f_density(0.05, 4, 10**6) == pytest.approx(0.2 * np.exp(-0.1), rel=1e-3)
-    assert prism.f_critical(0.05, 2, 100) == pytest.approx(3.087, rel=0.02)
+def test_f_distribution(spark):
+    value = lambda x: spark.range(1).select(x).first()[0]
+    for d1 in (2, 4):
+        for d2 in (3, 50, 4000):
+            assert value(prism.f_density(0.05, d1, F.lit(float(d2)))) == pytest.approx(plain.f_density(0.05, d1, d2), rel=1e-9)
+        assert value(prism.f_critical(0.05, d1, F.lit(100.0))) == pytest.approx(plain.f_critical(0.05, d1, 100), rel=0.02)
+    assert value(prism.f_critical(0.05, 4, F.lit(100.0))) == pytest.approx(2.4626, rel=1e-4)
 
 
 def test_few_points_or_no_variation_give_no_fit(spark):
     df = spark.createDataFrame([("a", 5.0, 1.0)] * 30 + [("b", float(k), 1.0) for k in range(10)], "code string, temperature double, kwh double")
     assert prism.prism_fit(df).count() == 0
+
+
+def test_treatment_leaves_gaps_of_a_series_that_conforms(spark):
+    """Gaps are filled for the decomposition only; a series with replaced points has none left; other areas pass through."""
+    k = np.arange(240)
+    y = 20 + 5 * np.sin(2 * np.pi * k / 24) + np.random.default_rng(1).normal(0, 0.1, 240)
+    gap = [None if 50 <= i < 53 else float(v) for i, v in enumerate(y)]
+    treated, report, parts = anomalies.treat_anomalies(series(spark, gap), target_rate=0.1, z_thresh=8.0, components=True)
+    assert treated.where("kwh is null").count() == 3 and report.first().status == "ok" and report.first().n_replaced == 0
+    assert parts.count() == 240 and parts.where("is_anomaly").count() == report.first().final_n_anomalies
+    y[100] += 40
+    spiked = series(spark, [None if 50 <= i < 53 else float(v) for i, v in enumerate(y)])
+    treated, report = anomalies.treat_anomalies(spiked, target_rate=0.0, z_thresh=8.0)
+    assert treated.where("kwh is null").count() == 0 and report.first().n_replaced >= 1
+    other, none = anomalies.treat_anomalies(spiked, target_rate=0.0, codes=["zz"])
+    assert none.count() == 0 and other.exceptAll(spiked).count() == 0
