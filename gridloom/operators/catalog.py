@@ -74,13 +74,24 @@ def build_catalog(
     return Catalog(large.unionByName(small), load, weather, census, nearest_units(small, large, k), buildings)
 
 
-def city_tables(catalog: Catalog, unit: str = "fsa", winter_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(prism, short_term) of the areas of a unit, per head where the census has a population."""
-    codes = units_of(catalog.areas, unit).select("code")
-    load = units_of(catalog.load, unit).join(codes, "code", "left_semi").select("code", "ts", "kwh")
-    people = catalog.census.where(F.col("feature") == POPULATION).select("code", F.col("value").alias("population"))
-    weather = catalog.weather.select("ts", "temperature")
-    return prism_table(load, weather, people), short_term_table(load, weather, people, winter_only)
+def city_of(areas: DataFrame, key: str = "code") -> DataFrame:
+    """(key, city): the first city in order of each area."""
+    return areas.groupBy(key).agg(F.min("city").alias("city"))
+
+
+def people_of(census: DataFrame, feature: str = POPULATION, key: str = "code") -> DataFrame:
+    """(key, population) from the census feature of that name; of several values of an area the least. ValueError if no row has it."""
+    own = census.where(F.col("feature") == feature)
+    if not own.limit(1).count():
+        raise ValueError(f"the census has no feature {feature!r}")
+    return own.groupBy(key).agg(F.min("value").alias("population"))
+
+
+def city_tables(catalog: Catalog, unit: str = "fsa", winter_only: bool = True, population: str = POPULATION) -> tuple[DataFrame, DataFrame]:
+    """(prism, short_term) of the areas of a unit, per head, each area on the weather of its own city."""
+    load = units_of(catalog.load, unit).select("code", "ts", "kwh").join(city_of(units_of(catalog.areas, unit)), "code")
+    people, weather = people_of(catalog.census, population), catalog.weather.select("city", "ts", "temperature")
+    return prism_table(load, weather, people, city="city"), short_term_table(load, weather, people, winter_only, city="city")
 
 
 def complete(
@@ -88,9 +99,13 @@ def complete(
 ) -> tuple[DataFrame, DataFrame]:
     """(load, imputation report): treated load normalised for weather, taken per head (stored), completed by imputation, expanded again.
 
+    If weather and areas have a city, an area meets its own city's weather, and load of areas that no city has is left out.
     With a zone treated is in UTC and weather local there; what comes back is local.
     """
-    normal = normalize_weather(treated, align_weather(treated, weather, zone=zone))
+    city = "city" if "city" in weather.columns and "city" in areas.columns else None
+    if city:
+        treated = treated.join(city_of(areas), "code")
+    normal = normalize_weather(treated, align_weather(treated, weather, city=city, zone=zone)).select("code", "ts", "kwh")
     if zone:
         normal = normal.withColumn("ts", local_of(F.col("ts"), zone))
     heads = stored(per_capita(normal, people, strict=False), "heads")
@@ -108,9 +123,11 @@ def rebuild(
     treatment: dict | None = None,
     imputation: dict | None = None,
     zone: str | None = None,
+    population: str = POPULATION,
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(load, qc, treatment report, imputation report): clean, treat anomalies, normalise for weather, impute per head, expand.
 
+    Weather and areas by city are used by city (as in complete). population is the census feature that heads are counted by.
     With a zone the series are those of load's column utc until they are imputed, so a clock change neither
     doubles nor skips an hour; without one ts must not repeat.
     Each step that later ones read more than once is stored in the shared folder, so nothing runs twice.
@@ -118,8 +135,8 @@ def rebuild(
     imputed area's population counts twice; population_scaling=False leaves the first out.
     """
     load = load.select("code", F.col("utc").alias("ts"), "kwh") if zone else load
-    clean, qc = preprocess_load(load, **{"fill": "interpolate"} | (preprocess or {}))
+    clean, qc = preprocess_load(load, **preprocess or {})
     treated, report = treat_anomalies(clean, **treatment or {})
-    people = census.where(F.col("feature") == POPULATION).select("code", F.col("value").alias("population"))
-    out, imputed = complete(treated, weather, census, areas, people, population_scaling, imputation, zone)
+    people = people_of(census, population)
+    out, imputed = complete(treated, weather, census, areas, people, population_scaling, {"population": population} | (imputation or {}), zone)
     return out, qc, report, imputed

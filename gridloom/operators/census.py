@@ -16,7 +16,8 @@ from gridloom.functions.columns import correlation
 from gridloom.operators.timeseries import monthly_energy
 from gridloom.storage import stored
 
-POPULATION = "population"
+#: Fixed value: the feature of census files that counts people.
+POPULATION = "Population and dwelling counts / Population, 2021"
 #: Areas of a block that meets another block in one task.
 BLOCK = 5000
 
@@ -31,20 +32,23 @@ def select_features(
     min_pairs: int = 8,
     min_areas: int = 5,
     how: str = "sum",
+    candidates: list[str] | None = None,
     key: str = "code",
 ) -> DataFrame:
     """(feature, score, n_months): features by mean absolute correlation with monthly load over months, best first.
 
-    Only areas with load count. A feature needs values for enough areas and enough distinct ones; a
-    month needs min_pairs areas with both. Ties go by name. Fewer than min_areas areas with load are an error when the rows are made.
+    Only areas count that have load and are in the census; candidates limits the features. A feature needs values for enough areas and enough distinct ones; a
+    month needs min_pairs areas with both. Ties go by name. Fewer than min_areas such areas are an error when the rows are made.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
     monthly = monthly_energy(load, how, key)
-    codes = monthly.select(key).distinct()
+    codes = monthly.select(key).distinct().join(census.select(key).distinct(), key, "left_semi")
     n = codes.agg(F.count(F.lit(1)).alias("areas"))
     own = census.where(F.col("value").isNotNull()).join(codes, key, "left_semi")
-    too_few = F.raise_error(F.lit(f"features need {min_areas} areas with load")).cast("boolean")
+    if candidates is not None:
+        own = own.where(F.col("feature").isin(candidates))
+    too_few = F.raise_error(F.lit(f"features need {min_areas} areas with load in the census")).cast("boolean")
     good = (
         own.groupBy("feature")
         .agg(F.count_distinct(key).alias("have"), F.count_distinct("value").alias("kinds"))
@@ -151,6 +155,8 @@ def impute_by_census(
     areas: DataFrame,
     features: DataFrame | None = None,
     population_scaling: bool = True,
+    population: str = POPULATION,
+    scale_clip: tuple[float, float] = (0.5, 2.0),
     key: str = "code",
     ts: str = "ts",
     value: str = "kwh",
@@ -158,7 +164,7 @@ def impute_by_census(
 ) -> tuple[DataFrame, DataFrame]:
     """(load with imputed areas, report) for areas without load: the nearest donor's series times the ratio of populations.
 
-    The ratio is kept within 0.5 and 2 and is 1 if either population is missing; of several populations of
+    population names the census feature; more options go to select_features. The ratio is kept within scale_clip and is 1 if either population is missing; of several populations of
     an area the least counts. Ties go to the first donor in order. Features and report are stored. Report: code, donor, distance, scale, status (imputed, missing_census, no_comparable_donor).
     """
     both = load.select(key, F.lit(True).alias("given")).unionByName(areas.select(key, F.lit(False).alias("given")))
@@ -168,7 +174,7 @@ def impute_by_census(
         features = select_features(census, load, key=key, **options)
     features = stored(features, "features")
     best = nearest_donor(census, features, targets, donors, key)
-    people = census.where(F.col("feature") == POPULATION).groupBy(key).agg(F.min("value").alias("people"))
+    people = census.where(F.col("feature") == population).groupBy(key).agg(F.min("value").alias("people"))
     known = census.select(key).distinct().withColumn("has_census", F.lit(True))
     report = (
         targets.join(known, key, "left")
@@ -177,7 +183,7 @@ def impute_by_census(
         .join(people.select(F.col(key).alias("donor"), F.col("people").alias("other")), "donor", "left")
     )
     ratio = F.col("own") / F.nullif("other", F.lit(0.0))
-    scale = F.least(F.greatest(ratio, F.lit(0.5)), F.lit(2.0)) if population_scaling else F.lit(1.0)
+    scale = F.least(F.greatest(ratio, F.lit(scale_clip[0])), F.lit(scale_clip[1])) if population_scaling else F.lit(1.0)
     status = F.when(F.col("has_census").isNull(), "missing_census").when(F.col("donor").isNull(), "no_comparable_donor").otherwise("imputed")
     report = report.select(key, "donor", "distance", F.when(F.col("donor").isNotNull(), F.coalesce(scale, F.lit(1.0))).alias("scale"), status.alias("status"))
     report = stored(report, "report")
@@ -189,7 +195,7 @@ def impute_by_census(
     return load.select(key, ts, value).unionByName(copied), report
 
 
-def error_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", predicted: str = "predicted", eps: float = 1e-6) -> DataFrame:
+def error_metrics(pairs: DataFrame, by: list[str], truth: str = "truth", predicted: str = "predicted", eps: float = 1e-9) -> DataFrame:
     """Per group: n_obs, mae, rmse, mbe, mape_pct (where the truth is eps or more), corr (two pairs or more); pairs with a null don't count."""
     t, p = F.col(truth), F.col(predicted)
     both = t.isNotNull() & p.isNotNull()

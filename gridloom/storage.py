@@ -27,4 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once and read again: plans above it neither compute it anew nor need the executors that made it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for these, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
