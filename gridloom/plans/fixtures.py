@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import hour_of
+from gridloom.operators.census import POPULATION
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +49,9 @@ def census_long(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_nationkey").cast("double").alias("nation"),
         (F.col("c_custkey") * 7 % 31).cast("double").alias("index31"),
         F.when(F.col("c_custkey") % 3 > 0, (F.col("c_custkey") % 11).cast("double")).alias("sparse"),
-        (100 + F.col("c_custkey") % 97).cast("double").alias("population"),
+        (100 + F.col("c_custkey") % 97).cast("double").alias(POPULATION),
     )
-    return wide.unpivot(["code"], ["balance", "nation", "index31", "sparse", "population"], "feature", "value")
+    return wide.unpivot(["code"], ["balance", "nation", "index31", "sparse", POPULATION], "feature", "value")
 
 
 def areas(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +104,10 @@ def day_labels(spark: SparkSession, d: str) -> DataFrame:
     return days.withColumn("cluster_label", F.concat(F.lit("c"), (F.dayofmonth("date") * 5 % 7 % 3).cast("string")))
 
 
+def people(spark: SparkSession, d: str) -> DataFrame:
+    return census_long(spark, d).where(F.col("feature") == POPULATION).select("code", F.col("value").alias("population"))
+
+
 SQL = {
     "load_hourly": "SELECT event_type AS code, date_trunc('hour', ts) AS ts, sum(value) AS kwh FROM events GROUP BY 1, 2",
     "load_gappy": "SELECT * FROM load_hourly WHERE (hour(ts) + dayofmonth(ts)) % 7 <> 0",
@@ -114,7 +119,7 @@ SQL = {
         (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM load_gappy) g""",
     "full_load": "SELECT g.code, g.ts, l.kwh FROM grid g LEFT JOIN load_gappy l ON g.code = l.code AND g.ts = l.ts",
     "aligned": "SELECT l.code, l.ts, l.kwh, w.temperature FROM load_hourly l JOIN weather_hourly w ON l.ts = w.ts",
-    "census": """SELECT c_custkey AS code, unnest(['balance', 'nation', 'index31', 'sparse', 'population']) AS feature,
+    "census": f"""SELECT c_custkey AS code, unnest(['balance', 'nation', 'index31', 'sparse', '{POPULATION}']) AS feature,
         unnest([c_acctbal, c_nationkey::DOUBLE, (c_custkey * 7 % 31)::DOUBLE, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 11)::DOUBLE END, (100 + c_custkey % 97)::DOUBLE]) AS value FROM customer""",
     "areas": "SELECT lpad(n_nationkey::VARCHAR, 2, '0') AS code, (n_nationkey % 5 * 10)::DOUBLE AS cx, (n_nationkey // 5 * 10)::DOUBLE AS cy FROM nation",
     "small_areas": "SELECT s_suppkey::VARCHAR AS code, (s_suppkey * 13 % 47)::DOUBLE AS cx, (s_suppkey * 29 % 43)::DOUBLE AS cy FROM supplier",

@@ -27,22 +27,6 @@ def prism_table_heating_only(spark, d):
     return rounded(prism.prism_table(fx.load_hourly(spark, d), fx.weather_hourly(spark, d), mode="heating_only"))
 
 
-FITS = [("a", "2ch", 5.0), ("b", "2cl", 2.0), ("c", "3sg", 1.0), ("d", "3be", 0.5), ("e", "4sg", 3.0)]
-SHAPE = {"x0": -5.0, "x1": 12.0, "x2": 20.0, "y0": 84.0, "y1": 50.0, "k0": 0.25, "k1": -2.0, "k2": 1.5}
-
-
-@query(
-    "WITH f(code, model, sd) AS (VALUES " + ", ".join(f"('{c}', '{m}', {s}::DOUBLE)" for c, m, s in FITS) + """), g AS (SELECT code, model, sd, -20 + i * 0.5::DOUBLE AS t FROM f, (SELECT unnest(range(101)) AS i)),
-y AS (SELECT *, CASE WHEN model IN ('3be', '4sg') AND t <= -5 THEN 84 + 0.25 * (t + 5)
-  ELSE 50 + CASE WHEN model <> '2cl' THEN -2 * least(t - 12, 0) ELSE 0 END + CASE WHEN model IN ('2cl', '3sg', '4sg') THEN 1.5 * greatest(t - 20, 0) ELSE 0 END END AS v FROM g)
-SELECT code, round(t, 6) AS temperature, round(v, 6) AS fitted, round(v - 1.96 * sd, 6) AS lower, round(v + 1.96 * sd, 6) AS upper FROM y"""
-)
-def prism_curve(spark, d):
-    rows = [(c, m, s, *SHAPE.values()) for c, m, s in FITS]
-    fits = spark.createDataFrame(rows, "code string, model string, resid_std double, " + ", ".join(f"{p} double" for p in SHAPE))
-    return rounded(prism.prism_curve(fits, -20.0, 30.0, 101))
-
-
 @query(with_tables("load_hourly", "SELECT DISTINCT code, 12.0::DOUBLE AS x1, 20.0::DOUBLE AS x2, (50 + length(code))::DOUBLE AS y1, -2.0::DOUBLE AS k1, 1.5::DOUBLE AS k2, 0.0::DOUBLE AS sse FROM load_hourly"))
 def prism_fit_of_exact_segments(spark, d):
     """Load that is three segments exactly: the three-segment candidate must find its breaks, level and slopes."""
@@ -103,8 +87,8 @@ def high_anomalies(spark, d):
 
 def _some_people(spark, d):
     """Populations of users; some are missing or not positive."""
-    people = fx.census_long(spark, d).where("feature = 'population' and code % 5 > 0")
-    return people.select("code", F.when(F.col("code") % 5 == 1, 0.0).otherwise(F.col("value")).alias("population"))
+    people = fx.people(spark, d).where("code % 5 > 0")
+    return people.select("code", F.when(F.col("code") % 5 == 1, 0.0).otherwise(F.col("population")).alias("population"))
 
 
 @query(with_tables("load_user", "SELECT code, ts, CASE WHEN code % 5 > 1 THEN round(kwh, 6) END AS kwh FROM load_user"))
@@ -127,31 +111,11 @@ def expand_by_population(spark, d):
 def rebuild_after_treatment(spark, d):
     """The stages of the rebuild that follow the treatment of anomalies: weather, heads, imputation, expansion."""
     load, known = fx.load_user(spark, d), fx.census_long(spark, d)
-    people = known.where("feature = 'population'").select("code", F.col("value").alias("population"))
+    people = fx.people(spark, d)
     out, _ = catalog.complete(load.where("code % 10 <> 3"), fx.weather_hourly(spark, d), known, load.select("code").distinct(), people)
     return out.select("code", "ts", F.round("kwh", 4).alias("kwh"))
 
 
-@query(
-    with_tables(
-        "load_hourly weather_hourly",
-        NORMAL.format(source="load_hourly")
-        + ", heads AS (SELECT code, ts, kwh / (100 + length(code)) AS kwh FROM normal WHERE month(ts) IN (11, 12, 1, 2, 3, 4) AND isodow(ts) <= 5), "
-        + DAILY.format(source="heads")
-        + f" SELECT code, {MEANS}, count(*) AS n_days FROM daily GROUP BY code",
-    )
-)
-def city_tables(spark, d):
-    """The short-term table of a catalog, per head and normalised for weather."""
-    load = fx.load_hourly(spark, d).withColumn("unit", F.lit("fsa"))
-    codes = load.select("code").distinct()
-    areas = codes.select(F.lit("m").alias("city"), F.lit("fsa").alias("unit"), "code", F.length("code").cast("double").alias("cx"), F.lit(0.0).alias("cy"))
-    weather = fx.weather_hourly(spark, d).withColumn("city", F.lit("m"))
-    known = codes.select("code", F.lit("population").alias("feature"), (100 + F.length("code")).cast("double").alias("value"))
-    _, short = catalog.city_tables(catalog.Catalog(areas, load, weather, known))
-    return rounded(short.drop("dtw_cluster_label"))
-
-
 def _catalog(spark, d):
     """Areas of two cities that share codes, load of two in three, small areas without load, buildings."""
     both = fx.areas(spark, d).withColumn("unit", F.lit("fsa")).withColumn("city", F.explode(F.array(F.lit("x"), F.lit("a"))))
@@ -367,11 +331,3 @@ def load_project(spark, d):
     n = c.load.groupBy("unit", "code").agg(F.count(F.lit(1)).alias("n_hours"))
     m = c.census.groupBy("code").agg(F.count("value").alias("n_features"))
     return rounded(c.areas.join(n, ["unit", "code"]).join(m, "code").select("unit", "code", "cx", "cy", "n_hours", "n_features"))
-
-
-@query(with_tables("full_load", "q AS (SELECT code, count(kwh) / count(*) AS coverage FROM full_load GROUP BY code) SELECT code, round(coverage, 8) AS coverage, row_number() OVER (ORDER BY coverage DESC, code) AS place FROM q"))
-def qc_by_coverage(spark, d):
-    """The profile in order; its places are taken from the order of the rows."""
-    qc = quality.by_coverage(quality.qc_profile(fx.load_gappy(spark, d)))
-    rows = [(r.code, r.coverage, k) for k, r in enumerate(qc.collect(), 1)]  # a row per area
-    return rounded(spark.createDataFrame(rows, "code string, coverage double, place long"), 8)

@@ -150,9 +150,7 @@ def align_weather(spark, d):
     )
 )
 def asof_nearest(spark, d):
-    one = F.lit("x").alias("city")
-    load, weather = fx.load_hourly(spark, d).select("*", one), fx.weather_sparse(spark, d).select("*", one)
-    return rounded(timeseries.asof_nearest(load, weather, "temperature", by=["city"]).drop("city"))
+    return rounded(timeseries.asof_nearest(fx.load_hourly(spark, d), fx.weather_sparse(spark, d), "temperature"))
 
 
 @query(
@@ -168,7 +166,7 @@ def normalize_weather(spark, d):
 
 
 def _people(spark, d):
-    return fx.census_long(spark, d).where("feature = 'population'").select("code", F.col("value").alias("population"))
+    return fx.people(spark, d)
 
 
 @query(with_tables("load_user", "SELECT code, ts, round(kwh / (100 + code % 97), 9) AS kwh FROM load_user"))
@@ -365,16 +363,6 @@ def _aligned(spark, d):
     return timeseries.align_weather(fx.load_hourly(spark, d), fx.weather_hourly(spark, d))
 
 
-@query()
-def prism_fit(spark, d):
-    return prism.prism_fit(_aligned(spark, d)).drop("candidates")
-
-
-@query()
-def prism_table(spark, d):
-    return prism.prism_table(fx.load_hourly(spark, d), fx.weather_hourly(spark, d)).drop("candidates")
-
-
 @query(
     with_tables(
         "aligned",
@@ -396,7 +384,7 @@ def prism_predict(spark, d):
 
 
 FEATURES = """monthly AS (SELECT code, date_trunc('month', ts) AS m, sum(kwh) AS kwh FROM {source} GROUP BY 1, 2), known AS (SELECT c.* FROM census c WHERE value IS NOT NULL AND code IN (SELECT code FROM monthly)),
-good AS (SELECT feature FROM known GROUP BY feature HAVING count(DISTINCT code) / (SELECT count(DISTINCT code) FROM monthly) >= 0.8 AND count(DISTINCT value) >= 5),
+good AS (SELECT feature FROM known GROUP BY feature HAVING count(DISTINCT code) / (SELECT count(DISTINCT code) FROM monthly WHERE code IN (SELECT code FROM census)) >= 0.8 AND count(DISTINCT value) >= 5),
 pairs AS (SELECT k.feature, m.m, k.value AS x, m.kwh AS y FROM known k JOIN good USING (feature) JOIN monthly m ON m.code = k.code),
 ranks AS (SELECT feature, m, rank() OVER (PARTITION BY feature, m ORDER BY x) + (count(*) OVER (PARTITION BY feature, m, x) - 1) / 2 AS rx,
   rank() OVER (PARTITION BY feature, m ORDER BY y) + (count(*) OVER (PARTITION BY feature, m, y) - 1) / 2 AS ry FROM pairs),
@@ -437,7 +425,7 @@ def impute_by_census(spark, d):
 
 
 ERRORS = """count(CASE WHEN p IS NOT NULL THEN t END) AS n_obs, round(avg(abs(p - t)), 6) AS mae, round(sqrt(avg((p - t) ** 2)), 6) AS rmse, round(avg(p - t), 6) AS mbe,
-       round(100 * avg(CASE WHEN abs(t) >= 1e-6 THEN abs(p - t) / abs(t) END), 6) AS mape_pct, round(CASE WHEN count(CASE WHEN p IS NOT NULL THEN t END) >= 2 THEN corr(t, p) END, 6) AS corr"""
+       round(100 * avg(CASE WHEN abs(t) >= 1e-9 THEN abs(p - t) / abs(t) END), 6) AS mape_pct, round(CASE WHEN count(CASE WHEN p IS NOT NULL THEN t END) >= 2 THEN corr(t, p) END, 6) AS corr"""
 
 
 @query(
@@ -469,19 +457,6 @@ def evaluate_holdout(spark, d):
     return rounded(census.evaluate_holdout(load, fx.census_long(spark, d), load.select("code").distinct(), codes)[1], 9)
 
 
-NAMES = ["Population / Age / 0 to 14", "Population / Age/65 +", "Population /Sex", "Dwellings", "Dwellings / Type / Detached", "Population / Age / 0 to 14"]
-
-
-@query(
-    """WITH n AS (SELECT regexp_split_to_array(unnest(["""
-    + ", ".join(f"'{n}'" for n in NAMES)
-    + """]), '\\s*/\\s*') AS p), x AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM n)
-SELECT array_to_string(p[1:depth], ' / ') AS id, CASE WHEN depth > 1 THEN array_to_string(p[1:depth - 1], ' / ') ELSE '' END AS parent, p[depth] AS label, depth, count(*) AS n_columns FROM x GROUP BY ALL"""
-)
-def column_hierarchy(spark, d):
-    return census.column_hierarchy(spark.createDataFrame([(n,) for n in NAMES], "name string"))
-
-
 @query(with_tables("load_hourly", "SELECT code, round(arg_max(kwh, ts), 6) AS metric FROM load_hourly GROUP BY code"))
 def area_metric(spark, d):
     return rounded(timeseries.area_metric(fx.load_hourly(spark, d), "latest"))
@@ -623,7 +598,7 @@ def summarize_synpop(spark, d):
 
 def _da_input(spark, d):
     small = fx.small_areas(spark, d).withColumn("has_geometry", F.lit(True))
-    people = fx.census_long(spark, d).where("feature = 'population' and code % 2 = 0").select(F.col("code").cast("string").alias("code"), F.col("value").alias("population"))
+    people = fx.people(spark, d).where("code % 2 = 0").select(F.col("code").cast("string").alias("code"), "population")
     return synpop.synpop_input(small, spatial.nearest_units(small, fx.areas(spark, d)), people, "montreal")
 
 
@@ -685,4 +660,4 @@ def rebuild_load(spark, d):
     return rebuild(load, fx.weather_hourly(spark, d), known, areas, preprocess=options)[0]
 
 
-from gridloom.plans import file_queries, model_queries  # noqa: E402, F401  (they register their queries here)
+from gridloom.plans import file_queries, model_queries, series_queries  # noqa: E402, F401  (they register their queries here)

@@ -141,7 +141,7 @@ def town(spark):
     facts, load = [], []
     for k in range(20):
         code = f"A{k:02d}"
-        facts += [(code, "f", float(k)), (code, "noise", float(k * 7 % 11)), (code, "flat", 1.0), (code, "population", 100.0 + (100 * (k == 17)))]
+        facts += [(code, "f", float(k)), (code, "noise", float(k * 7 % 11)), (code, "flat", 1.0), (code, census.POPULATION, 100.0 + (100 * (k == 17)))]
         if k < 16:
             load += [(code, START + dt.timedelta(days=31 * m, hours=h), (k + 1.0) * (h + 1)) for m in range(3) for h in range(3)]
     c = spark.createDataFrame(facts, "code string, feature string, value double")
@@ -298,7 +298,7 @@ def test_catalog(spark, town):
     rows = [("m", "fsa", "A00", 0.0, 0.0), ("l", "fsa", "A00", 9.0, 9.0), ("m", "fsa", "NOLOAD", 1.0, 0.0), ("m", "da", "D1", 0.2, 0.0), ("m", "fsa", "A01", 10.0, 0.0)]
     areas = spark.createDataFrame([(*r, square(r[3], r[4], 1)) for r in rows], "city string, unit string, " + RING)
     unit = load.withColumn("unit", F.lit("fsa"))
-    weather = load.select("ts").distinct().select(F.lit("m").alias("city"), "ts", F.hour("ts").cast("double").alias("temperature"))
+    weather = load.select("ts").distinct().select(F.explode(F.array(F.lit("m"), F.lit("l"))).alias("city"), "ts", F.hour("ts").cast("double").alias("temperature"))
     points = spark.createDataFrame([("B1", 9.5, 0.5)], "building_id string, cx double, cy double")
     c = catalog.build_catalog(areas, unit, weather, facts, points, 5.0)
     assert [r.code for r in c.codes().collect()] == ["A00", "A01"] and [r.code for r in c.codes("da").collect()] == ["D1"]
@@ -319,7 +319,7 @@ def test_rebuild(spark):
     rng = np.random.default_rng(0)
     rows, facts = [], []
     for k in range(12):
-        facts += [(f"A{k:02d}", "f", float(k)), (f"A{k:02d}", "population", 50.0)]
+        facts += [(f"A{k:02d}", "f", float(k)), (f"A{k:02d}", census.POPULATION, 50.0)]
         if k < 10:
             rows += [(f"A{k:02d}", START + dt.timedelta(hours=h), float((k + 1) * (10 + np.sin(h / 24 * 6.283)) + rng.normal(0, 0.01))) for h in range(96)]
     load = spark.createDataFrame(rows, "code string, ts timestamp_ntz, kwh double")
@@ -334,7 +334,7 @@ def test_rebuild_over_a_clock_change(spark):
     """Four days around the autumn change: the repeated hour stays two rows, and neither is doubled."""
     rows, facts = [], []
     for k in range(8):
-        facts += [(f"A{k}", "f", float(k)), (f"A{k}", "population", 10.0)]
+        facts += [(f"A{k}", "f", float(k)), (f"A{k}", census.POPULATION, 10.0)]
         for h in range(96 * (k < 6)):
             rows.append((f"A{k}", str(dt.datetime(2024, 11, 1, 4) + dt.timedelta(hours=h)), str(100.0 + k + h % 24)))
     load = readers.long_from_raw(spark.createDataFrame(rows, "CP3 string, DateIntervalUTC string, kWh string"))
