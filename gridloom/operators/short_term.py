@@ -1,8 +1,8 @@
 """Daily peak and ramp metrics, daily profiles, and profile clusters.
 
-Metrics and profiles are windows and aggregates by (code, day). Only the clustering, which needs all
-pairs of an area's days under time warping, runs in Python: one group per area, its memory bounded
-by the square of the number of days (MAX_DAYS).
+Metrics and profiles are windows and aggregates by (code, day). Only time warping runs in Python. The clustering needs it between
+all pairs of an area's days: an area of up to MAX_DAYS days is one task's matrix; the pairs of a longer one are dealt to tasks by blocks of
+days and kept as a table, over which assignments, medoids and silhouettes are aggregates.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import types as T
 from gridloom.functions.columns import is_weekday, months_of
 from gridloom.operators.timeseries import align_weather, interpolate_both
 from gridloom.operators.weather_model import normalize_weather, per_capita
+from gridloom.storage import discard, stored
 
 # Winter months, first and last morning and evening hours, the label of undecided days.
 WINTER = (11, 12, 1, 2, 3, 4)
 AM, PM = (6, 11), (16, 21)
 NO_DECISION = "no_decision"
-#: Days of one area that a clustering task holds: pairwise distances take 8 * MAX_DAYS^2 bytes.
-MAX_DAYS = 4000
+#: Days of an area that one task clusters: pairwise distances take 8 * MAX_DAYS^2 bytes. Days of a block of a longer one.
+MAX_DAYS, BLOCK_DAYS = 4000, 256
 METRICS = ["peak_load", "p90_top10_mean", "am_pm_peak_ratio", "ramp_up_rate"]
 
 
@@ -131,27 +132,58 @@ def daily_profiles(
     return raw.select(key, "date", "profile")
 
 
-def dtw_pairs(profiles: np.ndarray) -> np.ndarray:
-    """Dynamic time warping between all pairs of rows: absolute cost, steps right, down and diagonal, no window.
+def warped(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dynamic time warping of each row of x to the row of y beside it: absolute cost, steps right, down and diagonal, no window.
 
-    All pairs advance together, one anti-diagonal of the cost table at a time.
+    All advance together, one anti-diagonal of the cost table at a time.
     """
-    n, w = profiles.shape
-    i, j = np.triu_indices(n, 1)
-    out = np.zeros((n, n))
-    for a in range(0, len(i), 20_000):
-        x, y = profiles[i[a : a + 20_000]], profiles[j[a : a + 20_000]]
-        table = np.full((len(x), w + 1, w + 1), np.inf)
+    w, out = x.shape[1], np.zeros(len(x))
+    for a in range(0, len(x), 20_000):
+        own, other = x[a : a + 20_000], y[a : a + 20_000]
+        table = np.full((len(own), w + 1, w + 1), np.inf)
         table[:, 0, 0] = 0.0
         for d in range(2 * w - 1):
             r = np.arange(max(0, d - w + 1), min(w, d + 1))
             c = d - r
             step = np.minimum(np.minimum(table[:, r, c + 1], table[:, r + 1, c]), table[:, r, c])
-            table[:, r + 1, c + 1] = np.abs(x[:, r] - y[:, c]) + step
-        out[i[a : a + 20_000], j[a : a + 20_000]] = table[:, w, w]
+            table[:, r + 1, c + 1] = np.abs(own[:, r] - other[:, c]) + step
+        out[a : a + 20_000] = table[:, w, w]
+    return out
+
+
+def dtw_pairs(profiles: np.ndarray) -> np.ndarray:
+    """Time warping between all pairs of rows."""
+    i, j = np.triu_indices(len(profiles), 1)
+    out = np.zeros((len(profiles), len(profiles)))
+    out[i, j] = warped(profiles[i], profiles[j])
     return out + out.T
 
 
+def dtw_table(profiles: DataFrame, block: int = BLOCK_DAYS, key: str = "code") -> DataFrame:
+    """(key, i, j, date, other, distance) for all pairs of a key's days, i before j, numbered from 0 by date.
+
+    Days come in blocks; each pair of blocks is a task's work, so no task holds an area's pairs.
+    """
+    kind = profiles.schema[key].dataType.simpleString()
+    days = profiles.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1)
+    days = days.withColumns({"own": F.floor(F.col("i") / block), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    last = F.floor((F.col("n") - 1) / block)
+    first = days.withColumn("low", F.col("own")).withColumn("high", F.explode(F.sequence("own", last)))
+    second = days.withColumn("high", F.col("own")).withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), "own")))
+    sides = [x.select(*[F.col(c).alias(c) for c in (key, "low", "high", "i", "date", "profile")]) for x in (first, second)]  # columns of their own
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j = np.nonzero(a["i"].to_numpy()[:, None] < b["i"].to_numpy()[None, :])
+        if not len(i):
+            return a[[key, "i", "date"]].iloc[:0].assign(j=0, other=None, distance=0.0)
+        x, y = np.stack(a["profile"].to_numpy()).astype(float), np.stack(b["profile"].to_numpy()).astype(float)
+        own, other = a.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({key: own[key], "i": own["i"], "j": other["i"], "date": own["date"], "other": other["date"], "distance": warped(x[i], y[j])})
+
+    by = (key, "low", "high")
+    return sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInPandas(pairs, f"{key} {kind}, i int, j int, date date, other date, distance double")
+
+
 def k_medoids(distance: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(labels, medoids): nearest medoid, then the member of least total distance, until neither changes."""
     medoids = np.random.default_rng(seed).choice(len(distance), size=k, replace=False)
@@ -197,18 +229,20 @@ def cluster_profiles(
     min_days: int = 20,
     seed: int = 42,
     single: float = 1.0,
+    most: int = MAX_DAYS,
     key: str = "code",
 ) -> DataFrame:
     """(key, date, cluster_label, k, silhouette): k-medoids under time warping, the k of best silhouette, the first on ties.
 
-    Areas with too few days get the label no_decision.
+    Areas with too few days get the label no_decision. Areas of more than most days are clustered over a table of distances.
     """
 
+    sizes = stored(profiles.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "sizes")  # a row per area
+    small = profiles if not sizes.where(F.col("n") > most).limit(1).count() else profiles.join(sizes.where(F.col("n") <= most), key, "left_semi")
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         n = len(pdf)
-        if n > MAX_DAYS:
-            raise ValueError(f"{n} days of one area; at most {MAX_DAYS} can be compared pair by pair")
         out = pdf[[key, "date"]].assign(cluster_label=NO_DECISION, k=0, silhouette=np.nan)
         choices = range(max(2, k_min), min(k_max, n - 1) + 1)
         if n < min_days or not len(choices):
@@ -223,7 +257,74 @@ def cluster_profiles(
         return out.assign(cluster_label=[f"cluster_{c}" for c in best[2]], k=best[1], silhouette=best[0])
 
     kind = profiles.schema[key].dataType.simpleString()
-    return profiles.groupBy(key).applyInPandas(fit, f"{key} {kind}, {CLUSTERS}")
+    found = small.groupBy(key).applyInPandas(fit, f"{key} {kind}, {CLUSTERS}")
+    if small is profiles:
+        return found
+    return found.unionByName(_clustered_by_table(profiles.join(sizes.where(F.col("n") > most), key), k_min, k_max, min_days, seed, single, key))
+
+
+def _clustered_by_table(profiles: DataFrame, k_min: int, k_max: int, min_days: int, seed: int, single: float, key: str, rounds: int = 50) -> DataFrame:
+    """As cluster_profiles, for areas (with their number of days n) whose distances are a table; all areas go through a round together."""
+    one_way = stored(dtw_table(profiles, key=key), "pairs")
+    turned = one_way.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "distance")
+    days = stored(profiles.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1).select(key, "i", "date", "n"), "days")
+    itself = days.select(key, "i", F.col("i").alias("j"), F.lit(0.0).alias("distance"))
+    pairs = stored(one_way.select(key, "i", "j", "distance").unionByName(turned).unionByName(itself), "pairs")
+    scores = []
+    for k in range(max(2, k_min), k_max + 1):
+
+        @F.udf("array<int>")
+        def start(n: int, k: int = k) -> list[int]:
+            return np.random.default_rng(seed).choice(n, size=k, replace=False).tolist()
+
+        areas = days.where((F.col("n") >= max(min_days, k + 1))).select(key, "n").distinct()
+        medoids = stored(areas.select(key, F.posexplode(start("n")).alias("c", "j")), "medoids")
+        labels = stored(_nearest_medoid(pairs, medoids, key), "labels")
+        for _ in range(rounds):
+            mates = pairs.join(labels.select(key, "i", "c"), [key, "i"]).join(labels.select(key, F.col("i").alias("j"), F.col("c").alias("c_")), [key, "j"])
+            total = mates.where("c = c_").groupBy(key, "c", "i").agg(F.sum("distance").alias("total"))
+            best = total.groupBy(key, "c").agg(F.min(F.struct("total", "i")).alias("b")).select(key, "c", F.col("b.i").alias("new"))
+            new = stored(medoids.join(best, [key, "c"], "left").select(key, "c", F.coalesce("new", "j").alias("j")), "medoids")
+            again = stored(_nearest_medoid(pairs, new, key), "labels")
+            still = new.exceptAll(medoids).limit(1).count() or again.exceptAll(labels).limit(1).count()
+            discard(medoids, labels)
+            medoids, labels = new, again
+            if not still:
+                break
+        score = silhouettes(pairs, labels, single, key)
+        scores.append(labels.join(score, key).withColumn("k", F.lit(k)))
+    none = days.select(key, "date", F.lit(NO_DECISION).alias("cluster_label"), F.lit(0).alias("k"), F.lit(None).cast("double").alias("silhouette"))
+    if not scores:
+        return none
+    every = scores[0]
+    for x in scores[1:]:
+        every = every.unionByName(x)
+    best = every.groupBy(key).agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"))
+    won = every.join(best, [key, "k"]).select(key, "i", F.concat(F.lit("cluster_"), "c").alias("label"), F.col("k").alias("k_"), F.col("silhouette").alias("s_"))
+    return days.join(won, [key, "i"], "left").select(key, "date", F.coalesce("label", F.lit(NO_DECISION)).alias("cluster_label"), F.coalesce("k_", F.lit(0)).alias("k"), F.col("s_").alias("silhouette"))
+
+
+def _nearest_medoid(pairs: DataFrame, medoids: DataFrame, key: str) -> DataFrame:
+    """(key, i, c): the number of the nearest medoid of each day, the first on ties."""
+    near = pairs.join(medoids, [key, "j"]).groupBy(key, "i").agg(F.min(F.struct("distance", "c")).alias("b"))
+    return near.select(key, "i", F.col("b.c").alias("c"))
+
+
+def silhouettes(pairs: DataFrame, labels: DataFrame, single: float = 1.0, key: str = "code") -> DataFrame:
+    """(key, silhouette): the mean silhouette of each key's labels (key, i, c) over a table of distances (key, i, j, distance) of both directions; -1 with fewer than two clusters."""
+    size = labels.groupBy(key, "c").agg(F.count(F.lit(1)).alias("size"))
+    other = labels.select(key, F.col("i").alias("j"), F.col("c").alias("c_"))
+    sums = pairs.join(other, [key, "j"]).groupBy(key, "i", "c_").agg(F.sum("distance").alias("total")).join(size.withColumnRenamed("c", "c_"), [key, "c_"])
+    own = F.col("c") == F.col("c_")
+    each = sums.join(labels, [key, "i"]).groupBy(key, "i").agg(
+        F.max(F.when(own, F.col("total") / F.greatest(F.col("size") - 1, F.lit(1)))).alias("inside"),
+        F.min(F.when(~own, F.col("total") / F.col("size"))).alias("outside"),
+        F.max(F.when(own, F.col("size"))).alias("size"),
+    )
+    top = F.greatest("inside", "outside")
+    s = F.when(F.col("size") == 1, single).otherwise(F.when(top > 0, (F.col("outside") - F.col("inside")) / top).otherwise(0.0))
+    found = each.groupBy(key).agg(F.avg(s).alias("silhouette"), F.count("outside").alias("n"))
+    return found.select(key, F.when(F.col("n") > 0, F.col("silhouette")).otherwise(-1.0).alias("silhouette"))
 
 
 def dominant_label(labels: DataFrame, threshold: float = 0.5, key: str = "code") -> DataFrame:

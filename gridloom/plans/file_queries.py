@@ -238,8 +238,9 @@ def building_geojson(spark, d):
     path = fresh_path(spark, "export")
     standard = buildings.standardize_buildings(_footprints(spark, d)).select("building_id", "rings")
     writers.write_feature_collection(standard, path, "EPSG:2950")
-    schema = "type string, features array<struct<properties:map<string,string>,geometry:struct<coordinates:array<array<array<double>>>>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    schema = "properties map<string,string>, geometry struct<coordinates:array<array<array<double>>>>"
+    lines = spark.read.text(path).where("value like '%\"Feature\"%'")  # a feature is a line of a part of the document
+    f = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("f"))
     corner = F.col("f.geometry.coordinates")[0][0]
     props = F.col("f.properties")
     return rounded(f.select(props["building_id"].alias("building_id"), props["crs"].alias("crs"), corner[0].alias("lon"), corner[1].alias("lat")), 8)

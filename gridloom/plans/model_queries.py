@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.config import Paths
@@ -231,51 +229,49 @@ def sample_rows(spark, d):
     return some.select("p_partkey").distinct().join(same.select("p_partkey"), "p_partkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count("p_partkey").alias("known"))
 
 
-PARTS = "parts AS (SELECT code, hour(ts) // 8 AS k, avg(kwh) AS x FROM load_hourly GROUP BY 1, 2), p AS (SELECT code, max(CASE WHEN k = 0 THEN x END) AS x0, max(CASE WHEN k = 1 THEN x END) AS x1, max(CASE WHEN k = 2 THEN x END) AS x2 FROM parts GROUP BY code)"
+#: Daily profiles as lists, and time warping by anti-diagonals of the cost table: each from the two before it.
+WARPED = """days AS (SELECT area AS code, date, list(y ORDER BY ts) AS p FROM filled GROUP BY 1, 2),
+pairs AS (SELECT a.code, a.date, b.date AS other, a.p AS x, b.p AS y FROM days a JOIN days b ON b.code = a.code AND a.date < b.date),
+warp(code, date, other, x, y, d, now, last) AS (
+  SELECT code, date, other, x, y, 0, list_transform(range(1, 25), lambda r: CASE WHEN r = 1 THEN abs(x[1] - y[1]) ELSE 'inf'::DOUBLE END), list_transform(range(1, 25), lambda r: 'inf'::DOUBLE) FROM pairs
+  UNION ALL SELECT code, date, other, x, y, d + 1, list_transform(range(1, 25), lambda r: CASE WHEN d + 2 - r BETWEEN 0 AND 23 THEN abs(x[r] - y[d + 3 - r]) + least(now[r], now[r - 1], last[r - 1]) ELSE 'inf'::DOUBLE END), now
+  FROM warp WHERE d < 46),
+far AS (SELECT code, date, other, now[24] AS distance FROM warp WHERE d = 46)"""
+WARPED_DAYS = PROFILES + FILL.format(source="j", x="kwh") + ", " + WARPED
 
 
-def _paths(i=0, j=0):
-    """The costs of all ways through a table of three by three, as SQL."""
-    here = f"abs(a.x{i} - b.x{j})"
-    steps = [(i + di, j + dj) for di, dj in ((1, 0), (0, 1), (1, 1)) if i + di < 3 and j + dj < 3]
-    return [f"{here} + {rest}" for s in steps for rest in _paths(*s)] if steps else [here]
+def _profiles(spark, d):
+    return short_term.daily_profiles(fx.load_gappy(spark, d), normalize=False)
 
 
-@query(with_tables("load_hourly", PARTS + f" SELECT a.code, b.code AS other, round(least({', '.join(_paths())}), 6) AS distance FROM p a, p b WHERE a.code < b.code"))
-def dtw_distance(spark, d):
-    """Time warping between the areas' three mean loads of a day, against the least of all ways."""
-    parts = fx.load_hourly(spark, d).groupBy("code", F.floor(F.hour("ts") / 8).alias("k")).agg(F.avg("kwh").alias("x"))
-    profiles = parts.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("profile"))
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("code")
-        far = short_term.dtw_pairs(np.stack(pdf["profile"].to_numpy()).astype(float))
-        i, j = np.triu_indices(len(pdf), 1)
-        names = pdf["code"].to_numpy()
-        return pd.DataFrame({"code": names[i], "other": names[j], "distance": far[i, j]})
 
-    return rounded(profiles.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(pairs, "code string, other string, distance double"))
+@query(recursive(with_tables("load_gappy", WARPED_DAYS + " SELECT code, date::VARCHAR AS date, other::VARCHAR AS other, round(distance, 6) AS distance FROM far")))
+def dtw_distance(spark, d):
+    """Time warping between all days of each area, in blocks of seven days."""
+    return rounded(short_term.dtw_table(_profiles(spark, d), block=7).drop("i", "j"))
 
 
 @query(
-    with_tables(
-        "load_hourly",
-        """x AS (SELECT code, hour(ts) AS h, hour(ts) % 3 AS c, avg(kwh) AS v FROM load_hourly GROUP BY 1, 2, 3),
-m AS (SELECT a.code, a.h, a.c, b.c AS other, sum(abs(a.v - b.v)) AS far, count(*) AS n FROM x a JOIN x b ON b.code = a.code GROUP BY ALL),
-s AS (SELECT code, h, max(CASE WHEN other = c THEN far / (n - 1) END) AS inside, min(CASE WHEN other <> c THEN far / n END) AS outside FROM m GROUP BY 1, 2)
+    recursive(
+        with_tables(
+            "load_gappy",
+            WARPED_DAYS
+            + """, f AS (SELECT code, date, other, distance FROM far UNION ALL SELECT code, other, date, distance FROM far), sizes AS (SELECT code, day(date) % 3 AS c, count(*) AS n FROM days GROUP BY 1, 2),
+m AS (SELECT f.code, f.date, day(f.date) % 3 AS c, n.c AS o, sum(distance) AS far, max(n.n) AS n FROM f JOIN sizes n ON n.code = f.code AND n.c = day(f.other) % 3 GROUP BY ALL),
+s AS (SELECT code, date, max(CASE WHEN o = c THEN far / (n - 1) END) AS inside, min(CASE WHEN o <> c THEN far / n END) AS outside FROM m GROUP BY 1, 2)
 SELECT code, round(avg((outside - inside) / greatest(outside, inside)), 6) AS silhouette FROM s GROUP BY code""",
+        )
     )
 )
 def silhouette(spark, d):
-    """Of each area's hourly means, labelled by hour modulo 3."""
-    hours = fx.load_hourly(spark, d).groupBy("code", F.hour("ts").alias("h")).agg(F.avg("kwh").alias("v"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy()
-        s = short_term.silhouette(np.abs(v[:, None] - v[None, :]), pdf["h"].to_numpy() % 3)
-        return pd.DataFrame({"code": pdf["code"].iloc[:1], "silhouette": [s]})
-
-    return rounded(hours.groupBy("code").applyInPandas(score, "code string, silhouette double"))
+    """Of each area's days, labelled by the day of the month modulo 3."""
+    one_way = short_term.dtw_table(_profiles(spark, d))
+    labels = one_way.select("code", "i", "date").union(one_way.select("code", "j", "other")).distinct().select("code", "i", (F.dayofmonth("date") % 3).alias("c"))
+    pairs = one_way.select("code", "i", "j", "distance").union(one_way.select("code", "j", "i", "distance"))
+    return rounded(short_term.silhouettes(pairs, labels))
 
 
 TWO = "SELECT code, d.date::DATE::VARCHAR AS date, day(d.date) % 2 = 1 AS with_first, 2 AS k, 1.0::DOUBLE AS silhouette FROM (SELECT DISTINCT code FROM load_hourly), (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-24', INTERVAL 1 DAY)) AS date) d"

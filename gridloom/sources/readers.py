@@ -15,6 +15,7 @@ from gridloom.functions.columns import identifier, number, rename_first_present
 from gridloom.functions.geometry import from_geojson
 from gridloom.operators.buildings import HEIGHTS, NUMBERS, TEXTS, standardize_buildings
 from gridloom.operators.timeseries import local_of
+from gridloom.sources.features import read_features
 
 # The zone and column names of the source files.
 ZONE = "America/Toronto"
@@ -144,9 +145,7 @@ def read_geometry(spark: SparkSession, paths: Mapping[str, str], aliases: Sequen
                 raise FileNotFoundError(path)
             continue
         keys = [F.get_json_object("p", f"$['{a}']") for a in aliases]
-        schema = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
-        rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-        flat = rows.select(F.col("f.properties").alias("p"), F.col("f.geometry").alias("g"))
+        flat = read_features(spark, path).select(F.col("properties").alias("p"), F.col("geometry").alias("g"))
         parts.append(flat.select(F.lit(city).alias("city"), F.trim(F.coalesce(*keys)).alias("code"), from_geojson("g").alias("rings")))
     if not parts:
         raise FileNotFoundError("no geometry file")
@@ -156,8 +155,7 @@ def read_geometry(spark: SparkSession, paths: Mapping[str, str], aliases: Sequen
 def _features(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """Rings and the source columns of standard buildings from GeoJSON with a fixed schema; sources of one standard column are
     merged into the first, as some names differ in case only."""
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+    rows = read_features(spark, path, "map<string,string>")
     p = F.col("properties")
     merged = {names[0]: F.coalesce(*[number(p[n]) for n in names]) for names in [*NUMBERS.values(), HEIGHTS]}
     merged |= {names[0]: F.coalesce(*[p[n] for n in names]) for names in TEXTS.values()}

@@ -119,6 +119,27 @@ def test_clusters_of_days(spark):
     assert {r.cluster_label for r in own.collect()} == {"up", "down"}
 
 
+def test_long_areas_are_clustered_over_a_table(spark, monkeypatch):
+    """Distances by blocks are those of one matrix; labels, k and silhouettes too; areas of few days stay in their group."""
+    rng = np.random.default_rng(7)
+    shapes = rng.normal(size=(3, 24))
+    rows = [(c, START.date() + dt.timedelta(days=k), (shapes[k % 3] + rng.normal(0, 0.4, 24)).tolist()) for c, n in (("a", 37), ("b", 24), ("c", 9), ("d", 1)) for k in range(n)]
+    profiles = spark.createDataFrame(rows, "code string, date date, profile array<double>")
+    own = {c: np.array([p for code, _, p in rows if code == c]) for c in "abcd"}
+    far = {c: short_term.dtw_pairs(p) for c, p in own.items()}
+    got = short_term.dtw_table(profiles, block=7).collect()
+    assert len(got) == sum(n * (n - 1) // 2 for n in (37, 24, 9, 1))
+    assert all(r.i < r.j and r.date < r.other and r.distance == pytest.approx(far[r.code][r.i, r.j]) for r in got)
+    monkeypatch.setattr(short_term, "BLOCK_DAYS", 10)
+    key = lambda r: (r.code, r.date)
+    want = sorted(short_term.cluster_profiles(profiles, k_max=4).collect(), key=key)
+    for most in (8, 30):
+        found = sorted(short_term.cluster_profiles(profiles, k_max=4, most=most).collect(), key=key)
+        assert [(key(r), r.cluster_label, r.k) for r in found] == [(key(r), r.cluster_label, r.k) for r in want]
+        scores = [[-9 if r.silhouette is None else r.silhouette for r in x] for x in (found, want)]
+        assert scores[0] == pytest.approx(scores[1])
+
+
 def points(t, **p):
     full = {"x0": -10.0, "x1": 10.0, "x2": 20.0, "y0": 0.0, "y1": 30.0, "k0": 0.0, "k1": 0.0, "k2": 0.0} | p
     return full
