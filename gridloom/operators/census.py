@@ -2,7 +2,7 @@
 
 Tables: census (code, feature, value) long, load (code, ts, kwh). What is compared pair by pair is
 targets times donors (areas, not load rows): an area's selected features (at most max_features) are one
-array, blocks of targets meet blocks of donors in grouped maps, and only the nearest donor of a block leaves it.
+array, blocks of targets meet blocks of donors in grouped maps, each of which searches a tree of its donors, and only the nearest donor of a block leaves it.
 """
 
 from __future__ import annotations
@@ -102,6 +102,70 @@ def _vectors(census: DataFrame, features: DataFrame, donors: DataFrame, key: str
     return wide.select(key, *arrays), len(names)
 
 
+class DonorIndex:
+    """Donors in leaves of a kd-tree with their boxes, for distances whose weights and features differ by target.
+
+    A feature that a donor lacks adds nothing to its distance, so it bounds nothing in that donor's leaf; a target's weights multiply the
+    gaps between it and a box, which therefore bound its distance to all donors of the leaf from below.
+    """
+
+    LEAF, DIGITS = 32, 9
+
+    def __init__(self, z: np.ndarray):
+        self.missing, self.z = np.isnan(z), np.nan_to_num(z)
+        self.leaves, stack = [], [np.arange(len(z))]
+        while stack:
+            own = stack.pop()
+            if len(own) <= self.LEAF:
+                self.leaves.append(np.sort(own))
+                continue
+            axis, m = int(np.ptp(self.z[own], axis=0).argmax()), len(own) // 2
+            own = own[np.argpartition(self.z[own, axis], m)]
+            stack += [own[m:], own[:m]]
+        known = [~self.missing[leaf].any(0) for leaf in self.leaves]
+        self.low = np.array([np.where(k, self.z[leaf].min(0), -np.inf) for k, leaf in zip(known, self.leaves, strict=True)])
+        self.high = np.array([np.where(k, self.z[leaf].max(0), np.inf) for k, leaf in zip(known, self.leaves, strict=True)])
+
+    def distances(self, own: np.ndarray, w: np.ndarray, donors: np.ndarray) -> np.ndarray:
+        """(targets, donors): infinite where they have no feature in common."""
+        use = ~np.isnan(own)[:, None, :] & ~self.missing[None, donors]
+        off = self.z[None, donors] - np.nan_to_num(own)[:, None]
+        square = np.where(use, w[:, None] * off**2, 0.0).sum(2)
+        return np.where(use.any(2), np.sqrt(square), np.inf)
+
+    def nearest(self, own: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The donor of least distance of each target (by DIGITS digits, the first on ties), the distance, and how many pairs were computed."""
+        w = np.where(np.isnan(own), 0.0, w)
+        total = w.sum(1, keepdims=True)
+        w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+        here = np.nan_to_num(own)
+        bound = np.zeros((len(own), len(self.leaves)))
+        for k in range(own.shape[1]):
+            gap = np.maximum(np.maximum(self.low[None, :, k] - here[:, k, None], here[:, k, None] - self.high[None, :, k]), 0.0)
+            bound += w[:, k, None] * gap**2
+        bound = np.sqrt(bound)
+        order = np.argsort(bound, axis=1, kind="stable")
+        best, far, exact = np.zeros(len(own), np.int64), np.full(len(own), np.inf), np.full(len(own), np.inf)
+        active, pairs = np.arange(len(own)), 0
+        for step in range(len(self.leaves)):
+            leaf = order[active, step]
+            on = bound[active, leaf] <= far[active] + 2 * 10.0**-self.DIGITS
+            active, leaf = active[on], leaf[on]  # the rest of a target's leaves is farther still
+            if not len(active):
+                break
+            for c in np.unique(leaf):
+                who, donors = active[leaf == c], self.leaves[c]
+                d = self.distances(own[who], w[who], donors)
+                pairs += d.size
+                near = np.round(d, self.DIGITS)
+                at = near.argmin(1)  # the first of equal ones; a leaf's donors are in order
+                rows = np.arange(len(who))
+                better = (near[rows, at] < far[who]) | ((near[rows, at] == far[who]) & (donors[at] < best[who]) & np.isfinite(far[who]))
+                moved = who[better]
+                best[moved], far[moved], exact[moved] = donors[at][better], near[rows, at][better], d[rows, at][better]
+        return best, exact, pairs
+
+
 def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, donors: DataFrame, key: str = "code") -> DataFrame:
     """For tables of targets and donors without repeats, (key, donor, distance) of the donor of least distance (as donor_distance; told by 9 digits, ties to the first donor) for each target that has one."""
     kind = census.schema[key].dataType.simpleString()
@@ -124,23 +188,11 @@ def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, do
             none = asking[[key]].iloc[:0]
             return none.assign(donor=none[key], distance=0.0)
         given = given.sort_values(key)
-        z = np.stack(given["z"].to_numpy())
-        missing, z = np.isnan(z), np.nan_to_num(z)
+        index = DonorIndex(np.stack(given["z"].to_numpy()))
         rows = []
-        for a in range(0, len(asking), 200):
-            part = asking.iloc[a : a + 200]
-            own, w = np.stack(part["z"].to_numpy()), np.stack(part["w"].to_numpy())
-            w = np.where(np.isnan(own), 0.0, w)
-            total = w.sum(1, keepdims=True)
-            w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-            square, comparable = np.zeros((len(part), len(z))), np.zeros((len(part), len(z)), bool)
-            for k in range(z.shape[1]):
-                use = ~np.isnan(own[:, k])[:, None] & ~missing[None, :, k]
-                square += np.where(use, w[:, k, None] * (z[None, :, k] - np.nan_to_num(own[:, k])[:, None]) ** 2, 0.0)
-                comparable |= use
-            far = np.where(comparable, np.sqrt(square), np.inf)
-            best = np.round(far, 9).argmin(1)  # the first of equal ones; donors are in order
-            found = far[np.arange(len(part)), best]
+        for a in range(0, len(asking), 1000):
+            part = asking.iloc[a : a + 1000]
+            best, found, _ = index.nearest(np.stack(part["z"].to_numpy()), np.stack(part["w"].to_numpy()))
             rows.append(pd.DataFrame({key: part[key].to_numpy(), "donor": given[key].to_numpy()[best], "distance": found})[np.isfinite(found)])
         return pd.concat(rows)
 

@@ -189,6 +189,51 @@ def test_distance_is_the_formula(spark):
     assert got == pytest.approx({"d1": 1.0, "d2": 3.0})  # b has no deviation, c is missing for t
 
 
+@pytest.mark.parametrize("lacking", [0.0, 0.05, 0.5])
+def test_donor_index_gives_the_nearest(lacking):
+    """Against all pairs, with features missing on both sides and weights of zero; with few missing most pairs are left out."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 4, (30, 4))
+    z, own = (centres[rng.integers(0, 30, n)] + rng.normal(0, 0.2, (n, 4)) for n in (3000, 400))
+    z[rng.random(z.shape) < lacking / 10], own[rng.random(own.shape) < lacking] = np.nan, np.nan
+    z[:50] = z[50:100]  # ties
+    own[0], w = np.nan, np.tile([0.5, 0.3, 0.2, 0.0], (400, 1))
+    index = census.DonorIndex(z)
+    best, found, pairs = index.nearest(own, w)
+    share = np.where(np.isnan(own), 0, w)
+    share = np.divide(share, share.sum(1, keepdims=True), out=np.zeros_like(share), where=share.sum(1, keepdims=True) > 0)
+    far = np.round(index.distances(own, share, np.arange(len(z))), 9)
+    assert np.isinf(found[0]) and np.array_equal(np.round(found[1:], 9), far.min(1)[1:])
+    assert np.array_equal(best[np.isfinite(found)], far.argmin(1)[np.isfinite(found)])
+    assert lacking > 0.1 or pairs < 0.25 * far.size
+
+
+def test_features_are_judged_on_areas_in_the_census(spark, town):
+    """Areas with load that the census lacks don't lower a feature's coverage; too few known areas are an error."""
+    load, facts, _ = town
+    known = facts.where("code <= 'A09'")
+    got = {r.feature: r.score for r in census.select_features(known, load).collect()}
+    assert got["f"] == pytest.approx(1)
+    assert {r.feature for r in census.select_features(known, load, candidates=["noise"]).collect()} == {"noise"}
+    with pytest.raises(Exception, match="features need 5 areas"):
+        census.select_features(facts.where("code < 'A04'"), load).collect()
+
+
+def test_cities_keep_their_weather(spark):
+    """Load that follows its own city's weather exactly is explained by it; the census must name the population."""
+    rows = [("A", "x", 1.0), ("B", "y", -2.0)]
+    hours = spark.range(400).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, id) as ts", "cast(id * 37 % 41 - 20 as double) as x", "cast(id * 11 % 29 - 9 as double) as y")
+    weather = hours.selectExpr("'x' as city", "ts", "x as temperature").union(hours.selectExpr("'y' as city", "ts", "y as temperature"))
+    areas = spark.createDataFrame([(city, "fsa", code, 0.0, 0.0) for code, city, _ in rows], "city string, unit string, code string, cx double, cy double")
+    load = hours.selectExpr("'fsa' as unit", "'A' as code", "ts", "100 - 2 * least(x - 10, 0) as kwh").union(hours.selectExpr("'fsa'", "'B'", "ts", "100 - 3 * least(y - 8, 0)"))
+    facts = spark.createDataFrame([("A", census.POPULATION, 2.0), ("B", census.POPULATION, 4.0)], "code string, feature string, value double")
+    c = catalog.Catalog(areas, load, weather, facts)
+    fits = {r.code: r for r in catalog.city_tables(c)[0].collect()}
+    assert {k: (r.model, round(r.x1, 2), round(r.k1, 3), round(r.r2, 6)) for k, r in fits.items()} == {"A": ("2ch", 10.0, -1.0, 1.0), "B": ("2ch", 8.0, -0.75, 1.0)}
+    with pytest.raises(ValueError, match="no feature"):
+        catalog.city_tables(c, population="People")
+
+
 def test_holdout(spark, town):
     load, facts, areas = town
     hourly, monthly = census.evaluate_holdout(load, facts, areas.where("code <> 'A03'"), ["A02", "A03"])
