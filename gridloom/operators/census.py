@@ -270,17 +270,18 @@ def holdout_codes(codes: list[str], fraction: float = 0.1, n: int | None = None,
 
 
 def evaluate_holdout(
-    load: DataFrame, census: DataFrame, areas: DataFrame, holdout: list[str], key: str = "code", ts: str = "ts", value: str = "kwh", **options
+    load: DataFrame, census: DataFrame, areas: DataFrame, holdout: list[str] | DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", **options
 ) -> tuple[DataFrame, DataFrame]:
     """(hourly, monthly) error metrics by code of the imputation of areas whose load is withheld.
 
-    A withheld area that isn't among areas gets no prediction (n_obs 0). Monthly sums count missing hours as 0.
+    holdout is a list of codes, or a table of them. A withheld area that isn't among areas gets no prediction (n_obs 0). Monthly sums count missing hours as 0.
     """
-    held = F.col(key).isin(holdout)
-    truth = load.where(held)
-    rest = load.where(~held)
+    if not isinstance(holdout, DataFrame):
+        holdout = load.sparkSession.createDataFrame([(c,) for c in holdout], load.select(key).schema)
+    held = holdout.select(key).distinct()
+    truth, rest = load.join(held, key, "left_semi"), load.join(held, key, "left_anti")
     filled, _ = impute_by_census(rest, census, areas, key=key, ts=ts, value=value, **options)
-    predicted = filled.where(held)
+    predicted = filled.join(held, key, "left_semi")
     hourly = truth.select(key, ts, F.col(value).alias("truth")).join(predicted.select(key, ts, F.col(value).alias("predicted")), [key, ts], "left")
     month = F.date_trunc("month", ts).cast("timestamp_ntz").alias(ts)
     sums = [

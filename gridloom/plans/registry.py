@@ -453,7 +453,7 @@ def error_metrics(spark, d):
 )
 def evaluate_holdout(spark, d):
     load = fx.load_user(spark, d)
-    codes = [r[0] for r in load.where("code % 10 = 3").select("code").distinct().collect()]
+    codes = load.where("code % 10 = 3").select("code").distinct()
     return rounded(census.evaluate_holdout(load, fx.census_long(spark, d), load.select("code").distinct(), codes)[1], 9)
 
 

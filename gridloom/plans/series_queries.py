@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, census, prism, quality, ranges, timeseries
+from gridloom.operators import catalog, census, prism, quality, ranges, spatial, timeseries
 from gridloom.operators.census import POPULATION
 from gridloom.plans import fixtures as fx
 from gridloom.plans.fixtures import with_tables
+from gridloom.plans.model_queries import CATALOG, _catalog
 from gridloom.plans.prism_sql import FITS, PARTS, prism_sql
-from gridloom.plans.registry import DAILY, FEATURES, FILL, IMPUTED, MEANS, _aligned, query, rounded
+from gridloom.plans.registry import DAILY, ERRORS, FEATURES, FILL, IMPUTED, MEANS, NEAR, ROUNDED, _aligned, query, rounded
+from gridloom.storage import fresh_path
+from gridloom.streaming.daily import daily_metrics_stream
 
 # --- long series and large groups -------------------------------------------------------------------------------------
 
@@ -217,3 +220,54 @@ def select_features_of_known_areas(spark, d):
 def column_hierarchy(spark, d):
     """Of the parts' kinds, whose words are the levels."""
     return census.column_hierarchy(fx.table(spark, d, "part").select(F.regexp_replace("p_type", " +", " / ").alias("name")))
+
+
+# --- areas ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_tables(
+        "load_user census",
+        IMPUTED + ", h AS (SELECT a.code, a.kwh AS t, i.kwh AS p FROM load_user a LEFT JOIN imputed i ON i.code = a.code AND i.ts = a.ts WHERE a.code % 10 = 3) SELECT code, " + ERRORS.replace(", 6)", ", 9)") + " FROM h GROUP BY code",
+    )
+)
+def evaluate_holdout_hourly(spark, d):
+    load = fx.load_user(spark, d)
+    codes = load.where("code % 10 = 3").select("code").distinct()
+    return rounded(census.evaluate_holdout(load, fx.census_long(spark, d), load.select("code").distinct(), codes)[0], 9)
+
+
+@query(
+    with_tables(
+        "areas points",
+        f"""SELECT s.building_id, a.code AS fsa_code FROM points s, areas a QUALIFY row_number() OVER (PARTITION BY s.building_id
+  ORDER BY NOT (abs(s.cx - a.cx) < 7.95 AND abs(s.cy - a.cy) < 7.95), {NEAR}, a.code) = 1""",
+    )
+)
+def assign_footprints(spark, d):
+    """Buildings whose square footprints may lie over several areas, or beside the one that holds their point."""
+    at = lambda dx, dy: F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))
+    ring = F.array(at(-2.95, -2.95), at(2.95, -2.95), at(2.95, 2.95), at(-2.95, 2.95))
+    shapes = fx.building_points(spark, d).withColumn("rings", F.array(ring))
+    return spatial.assign_units(shapes, fx.areas(spark, d), "fsa_code", 7.0).select("building_id", "fsa_code")
+
+
+@query(with_tables("areas", CATALOG + " SELECT CASE WHEN code::INT % 2 = 0 THEN 'a' ELSE 'x' END AS city, code, cx, cy FROM k WHERE code = '04'"))
+def catalog_area(spark, d):
+    return _catalog(spark, d).area("04").select("city", "code", "cx", "cy")
+
+
+@query(
+    with_tables(
+        "load_hourly",
+        "l AS (SELECT code, ts - INTERVAL 5 HOUR AS ts, kwh FROM load_hourly), e AS (SELECT max(ts)::DATE AS last FROM l), " + DAILY.format(source="l") + f" SELECT code, date::VARCHAR AS date, {ROUNDED} FROM daily, e WHERE date < last",
+    )
+)
+def stream_daily_metrics(spark, d):
+    """The stream over files, to its end, by days of Toronto in winter; the last day isn't final."""
+    path, out, mark = (fresh_path(spark, f"metrics-{x}") for x in ("in", "out", "mark"))
+    load = fx.load_hourly(spark, d).select("code", F.col("ts").cast("timestamp").alias("ts"), "kwh")
+    load.write.parquet(path)
+    found = daily_metrics_stream(spark.readStream.schema(load.schema).parquet(path), "America/Toronto")
+    found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
+    return rounded(spark.read.schema(found.schema).parquet(out))
