@@ -175,8 +175,8 @@ def dbf_fields(head: bytes) -> tuple[list[tuple[str, int, int]], int, int]:
     return fields, size, width
 
 
-def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """The attribute table of a shapefile, all columns as text, empty ones null, deleted records left out. A file is one task's work."""
+def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8", record: str | None = None) -> DataFrame:
+    """The attribute table of a shapefile, all columns as text, empty ones null, deleted records left out; record names a column for their numbers, from 0. A file is one task's work."""
     files = spark.read.format("binaryFile").load(path).select("content")
     fields, _, _ = dbf_fields(bytes(files.select(F.substring("content", 1, 65535)).first()[0]))
     names = [n for n, *_ in fields]
@@ -190,11 +190,13 @@ def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
                 n = min(struct.unpack_from("<I", head, 4)[0], (len(data) - size) // width)
                 for a in range(0, n, 10_000):
                     block = data.slice(size + a * width, min(10_000, n - a) * width).to_pybytes()
-                    rows = [block[k : k + width] for k in range(0, len(block), width) if block[k : k + 1] != b"*"]
+                    kept = [k for k in range(0, len(block), width) if block[k : k + 1] != b"*"]
+                    rows = [block[k : k + width] for k in kept]
                     columns = [[r[at : at + w].decode(encoding, "replace").strip(" \0") or None for r in rows] for _, at, w in own]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+                    numbers = [pa.array([a + k // width for k in kept], pa.int64())] if record else []
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], *numbers], [*names, *[record] * bool(record)])
 
-    return files.mapInArrow(records, ", ".join(f"`{n}` string" for n in names))
+    return files.mapInArrow(records, ", ".join([*[f"`{n}` string" for n in names], *[f"`{record}` long"] * bool(record)]))
 
 
 def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> DataFrame:
@@ -214,9 +216,14 @@ def read_buildings(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> Da
 
 
 def read_building_geometry(spark: SparkSession, path: str, id_col: str = "ID_UEV") -> DataFrame:
-    """Standard building table with rings, from GeoJSON; other formats are an error."""
-    if path.rsplit(".", 1)[-1].lower() not in ("geojson", "json"):
-        raise ValueError("building geometry must be GeoJSON")
+    """Standard building table with rings, from GeoJSON or a shapefile; other formats are an error."""
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "shp":
+        from gridloom.sources.shapefile import read_shapefile  # it reads attributes by this module
+
+        return standardize_buildings(read_shapefile(spark, path), id_col)
+    if suffix not in ("geojson", "json"):
+        raise ValueError("building geometry must be GeoJSON or a shapefile")
     return standardize_buildings(_features(spark, path, id_col), id_col)
 
 
