@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import catalog, census, prism, quality, ranges, spatial, timeseries
+from gridloom.operators import anomalies, catalog, census, prism, quality, ranges, spatial, timeseries
 from gridloom.operators.census import POPULATION
 from gridloom.plans import fixtures as fx
 from gridloom.plans.fixtures import with_tables
 from gridloom.plans.model_queries import CATALOG, _catalog
 from gridloom.plans.prism_sql import FITS, PARTS, prism_sql
 from gridloom.plans.registry import DAILY, ERRORS, FEATURES, FILL, IMPUTED, MEANS, NEAR, ROUNDED, _aligned, query, rounded
+from gridloom.plans.stl_sql import stl_sql
 from gridloom.storage import fresh_path
 from gridloom.streaming.daily import daily_metrics_stream
 
@@ -271,3 +272,32 @@ def stream_daily_metrics(spark, d):
     found = daily_metrics_stream(spark.readStream.schema(load.schema).parquet(path), "America/Toronto")
     found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
     return rounded(spark.read.schema(found.schema).parquet(out))
+
+
+# --- decomposition ----------------------------------------------------------------------------------------------------
+
+
+@query(with_tables("load_hourly", stl_sql("load_hourly", "parts") + " SELECT code, ts, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(resid, 6) AS resid FROM parts"))
+def stl_decompose(spark, d):
+    return rounded(anomalies.stl_decompose(fx.load_hourly(spark, d), 24, robust=False).select("code", "ts", "trend", "seasonal", "resid"))
+
+
+#: Of a decomposition: which points are anomalies at 3, as treatment scores them.
+HITS = """{to}_m AS (SELECT code, median(resid) AS m, stddev_pop(resid) AS sd FROM {source} GROUP BY code), {to}_d AS (SELECT s.code, median(abs(s.resid - m.m)) AS mad FROM {source} s JOIN {to}_m m USING (code) GROUP BY s.code),
+{to} AS MATERIALIZED (SELECT s.*, abs(CASE WHEN d.mad > 0 THEN 0.6745 * (resid - m.m) / d.mad WHEN m.sd > 0 THEN (resid - m.m) / m.sd ELSE 0 END) >= 3 AS hit FROM {source} s JOIN {to}_m m USING (code) JOIN {to}_d d USING (code))"""
+#: What a round makes of a series: as it was where few enough are hit, else without the anomalies.
+ROUND = (
+    stl_sql("{source}", "{to}_parts")
+    + ", "
+    + HITS.replace("{to}", "{to}_hits").replace("{source}", "{to}_parts")
+    + ", {to}_rate AS MATERIALIZED (SELECT code, avg(hit::INT) AS rate, count(*) FILTER (WHERE hit) AS n FROM {to}_hits GROUP BY code), {to}_x AS (SELECT h.code, h.ts, CASE WHEN NOT h.hit THEN h.kwh END AS v, h.kwh AS was, r.rate FROM {to}_hits h JOIN {to}_rate r USING (code)), "
+    + FILL.format(source="{to}_x", x="v").replace("p AS (", "{to}_p AS (").replace("n AS (", "{to}_n AS (").replace("FROM p ", "FROM {to}_p ").replace("filled AS (", "{to}_f AS (").replace("FROM n)", "FROM {to}_n)")
+    + ", {to} AS MATERIALIZED (SELECT code, ts, CASE WHEN rate <= 0.001 THEN was ELSE y END AS kwh FROM {to}_f)"
+)
+TREATED = ROUND.replace("{source}", "load_hourly").replace("{to}", "one") + ", " + ROUND.replace("{source}", "one").replace("{to}", "two")
+
+
+@query(with_tables("load_hourly", TREATED + " SELECT code, ts, round(kwh, 6) AS kwh FROM two"))
+def treat_anomalies_twice(spark, d):
+    """Two rounds of treatment."""
+    return rounded(anomalies.treat_anomalies(fx.load_hourly(spark, d), 24, max_iter=2)[0])
