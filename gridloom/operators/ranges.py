@@ -54,7 +54,7 @@ def counts_of(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def quantiles_of_counts(counts: DataFrame, at: dict[str, float], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """(by, a column for each of at): exact quantiles, linear between neighbours, of what counts_of gives. Nulls and NaN don't count; a group of nothing else gives no row."""
+    """(by, a column for each of at): exact quantiles, linear between neighbours, of what counts_of gives. Nulls and NaN don't count; a group of nothing else gives no row (without by, a row of nulls)."""
     placed = with_ranges(counts.where(F.col("_v").isNotNull() & ~F.isnan("_v")), "_v", ranges)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     per = placed.groupBy(*by, "range").agg(F.sum("_n").alias("_m"))  # a row for each group and range
