@@ -3,7 +3,7 @@
 With the break temperatures fixed a model is linear in hinges, so its least error follows from sums over the rows below each break. An area's rows
 are summed by temperature, its temperatures sorted, and running sums kept as one array (a few hundred entries,
 however many rows there are). Then any combination of breaks costs a constant: a search by halving for each break, and a
-system of three equations. Breaks are searched on a coarse grid and twice on finer ones around the best (STAGES). Combinations are
+system of three equations. Breaks are searched on a coarse grid and then on a fine one around the best (STAGES). Combinations are
 rows that combine to the best of each area and model before they shuffle.
 """
 
@@ -28,7 +28,7 @@ ABSENT = {"x0": -10.0, "x1": 10.0, "x2": 20.0}
 BREAKS = {"2ch": "x1", "2cl": "x2", "3sg": "x1 x2", "3be": "x0 x1", "4sg": "x0 x1 x2"}
 #: Step of the grid, and how far around the best of the grid before it (none: the whole range), by number of breaks under three and of three.
 COARSE = 0.5
-STAGES = [((COARSE, None), (2 * COARSE, None)), ((0.05, 0.5), (0.2, 1.0)), ((0.005, 0.05), (0.04, 0.2))]
+STAGES = [((COARSE, None), (2 * COARSE, None)), ((0.025, 0.5), (0.1, 1.0))]
 #: Errors over the load's variation are told apart by so much; ties go to the lowest breaks, x0 first.
 GRAIN = 1e-9
 #: Bits that number the breaks of a grid: 2 ** 7 for each.

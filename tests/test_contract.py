@@ -14,7 +14,10 @@ import __spark_entry__ as contract
 from gridloom.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations "
+    "clicks sales sale_lines clients client_changes vendors items stamps"
+).split()
 
 
 @pytest.fixture(scope="module")
