@@ -117,7 +117,8 @@ def prism_candidates(aligned: DataFrame, key: str = "code", value: str = "kwh",
 
     valid: over BEYOND rows lie beyond each heating and cooling break, slopes aren't 0 and load doesn't rise again below the cold break.
     """
-    areas = stored(_responses(aligned, key, value, temperature), "responses")
+    tasks = int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    areas = stored(_responses(aligned, key, value, temperature), "responses").repartition(tasks, "_key")  # a few small files, but much work for each row
     best = None
     for stage in range(len(STAGES)):  # five rows an area
         best = stored(_searched(areas, stage, best), "breaks")
