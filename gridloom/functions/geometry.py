@@ -51,8 +51,18 @@ def box(rings: Column) -> Column:
     return F.struct(*ends)
 
 
+def all_edges(rings: Column) -> Column:
+    """Edges of all rings. What tests a shape many times has them as a column, made once."""
+    return F.flatten(F.transform(rings, edges_of))
+
+
 def contains(rings: Column, x: Column, y: Column) -> Column:
     """Whether a ray from the point crosses the rings an odd number of times, or the point is on an edge."""
+    return edges_contain(all_edges(rings), x, y)
+
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
+    """contains for the edges of the rings."""
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -65,9 +75,8 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
         straight = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
         return straight & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
 
-    edges = F.flatten(F.transform(rings, edges_of))
-    total = F.aggregate(F.transform(edges, crosses), F.lit(0), lambda s, v: s + v)
-    return F.exists(edges, holds) | (total % 2 == 1)
+    total = F.aggregate(edges, F.lit(0), lambda s, e: s + crosses(e))
+    return (total % 2 == 1) | F.exists(edges, holds)
 
 
 def contains_any(parts: Column, x: Column, y: Column) -> Column:
@@ -77,6 +86,11 @@ def contains_any(parts: Column, x: Column, y: Column) -> Column:
 
 def intersects(a: Column, b: Column) -> Column:
     """Whether two polygons share a point: a corner of one is in the other, or two edges cross."""
+    return edges_meet(all_edges(a), all_edges(b))
+
+
+def edges_meet(a: Column, b: Column) -> Column:
+    """intersects for the edges of the polygons, whose starts are their corners."""
 
     def side(e: Column, p: Column) -> Column:
         return F.signum((e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"]))
@@ -85,10 +99,9 @@ def intersects(a: Column, b: Column) -> Column:
         return (side(e, f["a"]) * side(e, f["b"]) < 0) & (side(f, e["a"]) * side(f, e["b"]) < 0)
 
     def corner(one: Column, other: Column) -> Column:
-        return F.exists(F.flatten(one), lambda p: contains(other, p["x"], p["y"]))
+        return F.exists(one, lambda e: edges_contain(other, e["a"]["x"], e["a"]["y"]))
 
-    edges = [F.flatten(F.transform(rings, edges_of)) for rings in (a, b)]
-    return corner(a, b) | corner(b, a) | F.exists(edges[0], lambda e: F.exists(edges[1], lambda f: cross(e, f)))
+    return corner(a, b) | corner(b, a) | F.exists(a, lambda e: F.exists(b, lambda f: cross(e, f)))
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -1,7 +1,8 @@
 """Proximity and containment between units.
 
 A unit's rings are looked up by the cells of a grid that its box covers, so points meet only units
-near them, and the exact test follows. The nearest units are searched on a grid too: a point looks at
+near them; of these the ones whose box holds the point (or meets its own) are tested exactly. Points at one place,
+and units of one shape, are looked up once. The nearest units are searched on a grid too: a point looks at
 the cells around its own, and only if those can't hold its nearest at cells four times as large. No
 point meets all units.
 """
@@ -9,12 +10,13 @@ point meets all units.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import RINGS, box, centroid, contains, distance, edges_of, intersects
+from gridloom.functions.geometry import RINGS, all_edges, box, centroid, distance, edges_contain, edges_meet, edges_of
 from gridloom.storage import stored
 
 #: How much larger cells are in the next round of a search.
@@ -138,23 +140,25 @@ def candidates(points: DataFrame, units: DataFrame, cell: float, id_col: str = "
     """(id, key) of units that contain the point (cx, cy) or, if points have rings, intersect them, by an equi-join on grid cells and an exact test."""
     covered = _covered(units.select(key, "rings"), cell)
     here = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select(id_col, "cx", "cy", F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy"))
-    inside = here.join(covered, ["gx", "gy"]).where(contains(F.col("rings"), F.col("cx"), F.col("cy"))).select(id_col, key)
+    in_box = F.col("cx").between(F.col("_b.min_x"), F.col("_b.max_x")) & F.col("cy").between(F.col("_b.min_y"), F.col("_b.max_y"))
+    inside = here.join(covered, ["gx", "gy"]).where(in_box).where(edges_contain(F.col("edges"), F.col("cx"), F.col("cy"))).select(id_col, key)
     if "rings" not in points.columns:
         return inside
     placed = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select(id_col, "rings")
-    shapes = _covered(placed, cell).select(id_col, "gx", "gy", F.col("rings").alias("_rings"), F.col("low_x").alias("_low_x"), F.col("low_y").alias("_low_y"))
+    shapes = _covered(placed, cell).withColumnsRenamed({c: f"_{c}" for c in ("edges", "low_x", "low_y", "_b")})
     # Of the cells that both boxes cover, the first stands for the pair.
     once = (F.col("gx") == F.greatest("low_x", "_low_x")) & (F.col("gy") == F.greatest("low_y", "_low_y"))
-    touched = shapes.join(covered, ["gx", "gy"]).where(once).where(intersects(F.col("_rings"), F.col("rings"))).select(id_col, key)
+    meet = reduce(and_, [(F.col(f"_b.min_{c}") <= F.col(f"__b.max_{c}")) & (F.col(f"__b.min_{c}") <= F.col(f"_b.max_{c}")) for c in "xy"])
+    touched = shapes.join(covered, ["gx", "gy"]).where(once & meet).where(edges_meet(F.col("_edges"), F.col("edges"))).select(id_col, key)
     return inside.unionByName(touched).distinct()
 
 
 def _covered(shapes: DataFrame, cell: float) -> DataFrame:
-    """shapes once for each grid cell (gx, gy) that the box of their rings covers, with its lowest cell."""
-    cells = shapes.where(F.col("rings").isNotNull()).withColumn("_b", box(F.col("rings")))
+    """shapes, their rings as edges, once for each grid cell (gx, gy) that the box (_b) of their rings covers, with its lowest cell."""
+    cells = shapes.where(F.col("rings").isNotNull()).withColumn("_b", box(F.col("rings"))).withColumn("edges", all_edges(F.col("rings"))).drop("rings")
     ends = {f"{k}_{c}": F.floor(F.col(f"_b.{m}_{c}") / cell) for k, m in (("low", "min"), ("high", "max")) for c in "xy"}
     span = cells.withColumns(ends).withColumn("gx", F.explode(F.sequence("low_x", "high_x")))
-    return span.withColumn("gy", F.explode(F.sequence("low_y", "high_y"))).drop("_b", "high_x", "high_y")
+    return span.withColumn("gy", F.explode(F.sequence("low_y", "high_y"))).drop("high_x", "high_y")
 
 
 def assign_units(
@@ -162,18 +166,23 @@ def assign_units(
 ) -> DataFrame:
     """points with out: of the units that hold the point, or intersect its rings if points have them, the one of nearest centroid; the nearest of all if none does.
 
-    Ties go to the lower code. Codes already there stay unless overwrite; points without a place get none.
+    Ties go to the lower code, so of units with the same rings and centroid only the lowest code is looked at; points
+    with the same place and rings get the same, found once. Codes already there stay unless overwrite; points without a place get none.
     """
     have = F.col("cx").isNotNull() & F.col("cy").isNotNull()
     old = F.col(out) if out in points.columns else F.lit(None).cast("string")
     todo = points.where(have) if overwrite or out not in points.columns else points.where(have & old.isNull())
-    place = units.where(have).select(F.col(key).alias("unit"), F.col("cx").alias("ux"), F.col("cy").alias("uy"))
+    place = ["cx", "cy", *(["rings"] if "rings" in points.columns else [])]
+    todo = stored(todo.groupBy(*place).agg(F.min(id_col).alias(id_col)), "places")
+    units = stored(units.where(have).groupBy("cx", "cy", "rings").agg(F.min(key).alias(key)), "shapes")
+    centre = units.select(F.col(key).alias("unit"), F.col("cx").alias("ux"), F.col("cy").alias("uy"))
     far = distance(F.col("cx"), F.col("cy"), F.col("ux"), F.col("uy"))
     inside = candidates(todo, units, cell, id_col, key).withColumnRenamed(key, "unit")
-    held = todo.select(id_col, "cx", "cy").join(inside, id_col).join(place, "unit").groupBy(id_col).agg(F.min_by("unit", F.struct(far, F.col("unit"))).alias("_in"))
+    held = todo.select(id_col, "cx", "cy").join(inside, id_col).join(centre, "unit").groupBy(id_col).agg(F.min_by("unit", F.struct(far, F.col("unit"))).alias("_in"))
     held = stored(held, "held")
     missing = todo.select(id_col, "cx", "cy").join(held, id_col, "left_anti")
-    near = _nearest(missing, place, 1, id_col).select(id_col, F.col("unit").alias("_in"))
-    found = held.unionByName(near)
+    near = _nearest(missing, centre, 1, id_col).select(id_col, F.col("unit").alias("_in"))
+    found = todo.join(held.unionByName(near), id_col).select(*[F.col(c).alias(f"_{c}") for c in place], "_in")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place])
     new = F.coalesce(F.col("_in"), old) if overwrite else F.coalesce(old, F.col("_in"))
-    return points.join(found, id_col, "left").withColumn(out, new).drop("_in")
+    return points.join(found, same, "left").withColumn(out, new).drop("_in", *[f"_{c}" for c in place])

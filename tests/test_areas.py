@@ -412,3 +412,22 @@ def test_dissolve_and_inspect(spark):
     assert readers.inspect_tables({"two": two, "none": two.limit(0)}) == {"two": 3, "none": 0}
     c = spark.createDataFrame([("A", 1), ("A", 1), ("B", 2)], "code string, v int")
     assert readers.first_census_row(c).count() == 2
+
+
+def test_one_shape_and_one_place_are_looked_up_once(spark, monkeypatch):
+    """Copies of units and of points make no pairs of copies; the lowest code of a shape and every point's row stay."""
+    seen, real = [], spatial.candidates
+
+    def counted(points, units, *rest):
+        seen.append((points.count(), units.count()))
+        return real(points, units, *rest)
+
+    monkeypatch.setattr(spatial, "candidates", counted)
+    many = units(spark, *[(f"u{k:02d}", k % 2 * 10, 0, 3) for k in reversed(range(40))])
+    rows = [(f"B{k}", *[(0.5, 1.0), (11.0, 1.0), (100.0, 0.0), (None, 1.0)][k % 4]) for k in range(80)]
+    points = spark.createDataFrame(rows, "building_id string, cx double, cy double")
+    got = {r.building_id: r.code for r in spatial.assign_units(points, many, "code", 5.0).collect()}
+    assert got == {f"B{k}": ["u00", "u01", "u01", None][k % 4] for k in range(80)}
+    shapes = points.withColumn("rings", F.when(F.col("building_id") != "B0", F.array(F.array(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))))))
+    again = {r.building_id: r.code for r in spatial.assign_units(shapes, many, "code", 5.0).collect()}
+    assert again == got and seen == [(3, 2), (4, 2)]
