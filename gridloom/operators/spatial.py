@@ -34,8 +34,8 @@ def with_centroid(units: DataFrame, rings: str = "rings") -> DataFrame:
 def dissolve(areas: DataFrame, by: list[str], rings: str = "rings") -> DataFrame:
     """One row per group: all its rings, and parts, the polygons they come from.
 
-    A point is in the union if `contains_any` finds it in a part; the rings alone count by odd and even, which
-    is the union only where areas don't overlap. Shared borders aren't removed.
+    A point is in the union if `contains_any` finds it in a part (many points: `points_in_parts`); the rings alone count
+    by odd and even, which is the union only where areas don't overlap. Shared borders aren't removed.
     """
     have = areas.where(F.col(rings).isNotNull())
     return have.groupBy(*by).agg(F.collect_list(rings).alias("parts")).select(*by, F.flatten("parts").alias(rings), "parts")
@@ -153,6 +153,19 @@ def candidates(points: DataFrame, units: DataFrame, cell: float, id_col: str = "
     return inside.unionByName(touched).distinct()
 
 
+def points_in_parts(points: DataFrame, whole: DataFrame, by: list[str], cell: float = 1000.0, id_col: str = "building_id") -> DataFrame:
+    """(by, id), once each: which points are in which of dissolve's groups, as contains_any tells, found by the grid cells of its parts.
+
+    Points of one place are looked up once.
+    """
+    here = points.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("cx", "cy", id_col)
+    places = stored(here.groupBy("cx", "cy").agg(F.min(id_col).alias("_at")), "places")
+    parts = whole.select(F.struct(*by).alias("_by"), F.explode("parts").alias("rings"))
+    found = stored(candidates(places, parts, cell, "_at", "_by").distinct(), "in_parts")
+    groups = places.join(found, "_at").groupBy("cx", "cy").agg(F.collect_list("_by").alias("_all"))
+    return here.join(groups, ["cx", "cy"]).select(id_col, F.explode("_all").alias("_by")).select("_by.*", id_col).distinct()
+
+
 def _covered(shapes: DataFrame, cell: float) -> DataFrame:
     """shapes, their rings as edges, once for each grid cell (gx, gy) that the box (_b) of their rings covers, with its lowest cell."""
     cells = shapes.where(F.col("rings").isNotNull()).withColumn("_b", box(F.col("rings"))).withColumn("edges", all_edges(F.col("rings"))).drop("rings")

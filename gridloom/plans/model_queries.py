@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.config import Paths
-from gridloom.functions.geometry import area, contains_any
+from gridloom.functions.geometry import area
 from gridloom.operators import anomalies, buildings, catalog, prism, quality, short_term, spatial, timeseries, weather_model
 from gridloom.plans import file_queries as files
 from gridloom.plans import fixtures as fx
@@ -185,9 +185,10 @@ def dissolve(spark, d):
     region = fx.table(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), F.col("n_regionkey").cast("long").alias("region"))
     big = fx.areas(spark, d).join(region, "code").withColumn("rings", F.array(F.array(at(-7, -7), at(7, -7), at(7, 7), at(-7, 7))))
     whole = spatial.dissolve(big, ["region"])
-    points = fx.building_points(spark, d)
-    held = whole.join(F.broadcast(points), contains_any(F.col("parts"), F.col("cx"), F.col("cy")), "left")
-    return held.groupBy("region").agg(F.max(F.size("parts")).cast("long").alias("n_parts"), F.count_distinct("building_id").alias("n_points"))
+    n_parts = whole.select("region", F.size("parts").cast("long").alias("n_parts"))
+    held = spatial.points_in_parts(fx.building_points(spark, d), whole, ["region"], 7.0)
+    n_points = held.groupBy("region").agg(F.count(F.lit(1)).alias("n_points"))
+    return n_parts.join(n_points, "region", "left").select("region", "n_parts", F.coalesce("n_points", F.lit(0)).alias("n_points"))
 
 
 @query(

@@ -431,3 +431,16 @@ def test_one_shape_and_one_place_are_looked_up_once(spark, monkeypatch):
     shapes = points.withColumn("rings", F.when(F.col("building_id") != "B0", F.array(F.array(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))))))
     again = {r.building_id: r.code for r in spatial.assign_units(shapes, many, "code", 5.0).collect()}
     assert again == got and seen == [(3, 2), (4, 2)]
+
+
+def test_points_in_parts_meet_only_parts_near_them(spark):
+    """Parts that overlap hold a point once; points aren't paired with every group."""
+    from gridloom.plans import registry
+
+    parts = units(spark, ("r", 0, 0, 3), ("r", 2, 0, 3), ("s", 2, 0, 3), ("t", 50, 50, 3))
+    rows = [("a", 1.0, 0.0), ("b", 1.0, 0.0), ("c", -2.5, 0.0), ("d", 20.0, 0.0), ("e", None, 0.0)]
+    points = spark.createDataFrame(rows, "building_id string, cx double, cy double")
+    got = sorted((r.code, r.building_id) for r in spatial.points_in_parts(points, spatial.dissolve(parts, ["code"]), ["code"], 4.0).collect())
+    assert got == [("r", "a"), ("r", "b"), ("r", "c"), ("s", "a"), ("s", "b")]
+    plan = registry.QUERIES["dissolve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(parts" not in plan and "Join LeftOuter, exists" not in plan
