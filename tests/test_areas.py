@@ -444,3 +444,16 @@ def test_points_in_parts_meet_only_parts_near_them(spark):
     assert got == [("r", "a"), ("r", "b"), ("r", "c"), ("s", "a"), ("s", "b")]
     plan = registry.QUERIES["dissolve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "exists(parts" not in plan and "Join LeftOuter, exists" not in plan
+
+
+def test_footprints_are_tested_once_for_a_place(spark, monkeypatch):
+    """As registered, over parts repeated under other keys: as many footprints are looked up as before."""
+    from gridloom.plans import fixtures, registry
+
+    seen, candidates, table = [], spatial.candidates, fixtures.table
+    monkeypatch.setattr(spatial, "candidates", lambda points, *rest: seen.append(points.count()) or candidates(points, *rest))
+    found = registry.QUERIES["assign_footprints"](spark, "/root/testdata/sf0.001").count()
+    far = 601 * 557 * 10  # both coordinates repeat
+    more = lambda spark, d, name: table(spark, d, name).withColumn("p_partkey", F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + far))) if name == "part" else table(spark, d, name)
+    monkeypatch.setattr(fixtures, "table", more)
+    assert registry.QUERIES["assign_footprints"](spark, "/root/testdata/sf0.001").count() == 2 * found and seen[0] == seen[1]
