@@ -25,19 +25,49 @@ def series() -> tuple[float, list[float], list[float]]:
     return radius, inward, upward
 
 
-def to_geographic(x: Column, y: Column, system: str) -> tuple[Column, Column]:
-    """(longitude, latitude) in degrees of a point in one of SYSTEMS."""
+def _scaled(x: Column, y: Column, system: str) -> tuple[Column, Column]:
     if system not in SYSTEMS:
         raise ValueError(f"no reprojection from {system}")
-    meridian, scale, east, north = SYSTEMS[system]
-    radius, inward, upward = series()
-    xi, eta = (y - F.lit(north)) / (scale * radius), (x - F.lit(east)) / (scale * radius)
+    _, scale, east, north = SYSTEMS[system]
+    radius = series()[0]
+    return (y - F.lit(north)) / (scale * radius), (x - F.lit(east)) / (scale * radius)
+
+
+def _corrected(xi: Column, eta: Column) -> tuple[Column, Column]:
     a, b = xi, eta
-    for j, c in enumerate(inward, 1):
+    for j, c in enumerate(series()[1], 1):
         a = a - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         b = b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    conformal = F.asin(F.sin(a) / F.cosh(b))
+    return a, b
+
+
+def _conformal(a: Column, b: Column, system: str) -> tuple[Column, Column]:
+    """Longitude in degrees, and the conformal latitude."""
+    return F.lit(SYSTEMS[system][0]) + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.asin(F.sin(a) / F.cosh(b))
+
+
+def _latitude(conformal: Column) -> Column:
     latitude = conformal
-    for j, c in enumerate(upward, 1):
+    for j, c in enumerate(series()[2], 1):
         latitude = latitude + c * F.sin(2 * j * conformal)
-    return F.lit(meridian) + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(latitude)
+    return F.degrees(latitude)
+
+
+def to_geographic(x: Column, y: Column, system: str) -> tuple[Column, Column]:
+    """(longitude, latitude) in degrees of a point in one of SYSTEMS."""
+    longitude, conformal = _conformal(*_corrected(*_scaled(x, y, system)), system)
+    return longitude, _latitude(conformal)
+
+
+def ring_to_geographic(ring: Column, system: str) -> Column:
+    """to_geographic for an array of (x, y), one pass for each step: in a single one Spark makes what a step needs twice from the start again."""
+
+    def step(array: Column, f) -> Column:
+        def moved(p: Column) -> Column:
+            x, y = f(p["x"], p["y"])
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        return F.transform(array, moved)
+
+    corrected = step(step(ring, lambda x, y: _scaled(x, y, system)), _corrected)
+    return step(step(corrected, lambda a, b: _conformal(a, b, system)), lambda x, y: (x, _latitude(y)))

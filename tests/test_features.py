@@ -61,3 +61,19 @@ def test_feature_collection_is_json_for_any_ids(spark, tmp_path, kind, ids):
     found = [f["properties"].get("building_id") for f in doc["features"]]
     plain = lambda x: (x is not None, str(x).zfill(5))
     assert doc["type"] == "FeatureCollection" and sorted(map(plain, found)) == sorted(map(plain, ids)) and [f is None for f in found] == sorted([i is None for i in ids], reverse=True)
+
+
+def test_feature_collection_makes_each_feature_once(spark, tmp_path):
+    """What a feature is made from runs once a building, not again to find the order; equal first features keep one comma between them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(i: str) -> str:
+        made.add(1)
+        return i
+
+    df = spark.createDataFrame([(i, [[(304800.0, 5e6), (304801.0, 5e6), (304801.0, 5000001.0)]]) for i in ("b", "a", "a", "c")], f"building_id string, rings {RING}")
+    path = str(tmp_path / "out")
+    writers.write_feature_collection(df.repartition(3).withColumn("name", F.udf(counted, "string")("building_id")), path, "EPSG:2950")
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))
+    assert [f["properties"]["building_id"] for f in doc["features"]] == ["a", "a", "b", "c"]
+    assert made.value == 4
