@@ -1,15 +1,17 @@
 """Seasonal-trend decomposition, robust anomaly scores, replacement and iterative treatment.
 
 The decomposition (Cleveland et al. 1990) is iterative over one series, so it runs as a grouped map
-by area; the scores from the residual on, the replacement and the summary are windows and aggregates.
+by area, and treatment over batches of whole areas; the scores from the residual on, the replacement and the summary are windows and aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,6 +210,67 @@ def _line(y: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(y)), have, y[have]) if len(have) else y
 
 
+@lru_cache(maxsize=4)
+def _linear(n: int, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Not robust, the decomposition is linear: tables by which series (rows, of n points) are multiplied for trend, seasonal and both together."""
+    trend, season, _ = (np.array(x) for x in zip(*(stl(unit, period, False) for unit in np.eye(n)), strict=True))
+    return trend, season, trend + season
+
+
+def _residuals(y: np.ndarray, period: int, robust: bool, linear: bool, parts: bool) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray]:
+    """(trend, seasonal, resid) of the rows; the first two only if parts are wanted or linear tables aren't."""
+    if not linear:
+        return tuple(np.array(x) for x in zip(*(stl(row, period, robust) for row in y), strict=True))
+    to_trend, to_season, to_both = _linear(y.shape[1], period)
+    return (y @ to_trend, y @ to_season, y - y @ to_both) if parts else (None, None, y - y @ to_both)
+
+
+def _treated(given: np.ndarray, period: int, z_thresh: float, target_rate: float, max_iter: int, method: str, robust: bool, components: bool) -> tuple[np.ndarray, dict, dict]:
+    """(values, report, components) of series of one length (rows), all rounds; the rows that go on are decomposed together."""
+    count, n = given.shape
+    given, y = given.copy(), given.copy()
+    for k in np.flatnonzero(np.isnan(y).any(1)):
+        y[k] = _line(y[k])
+    ints = lambda: np.zeros(count, np.int64)
+    report = {"iterations": ints(), "initial_rate": np.full(count, np.nan), "final_rate": np.full(count, np.nan), "final_n_anomalies": ints()}
+    report |= {"n_points": np.full(count, n), "n_replaced": ints(), "status": np.full(count, "too_short", object)}
+    names = ("trend", "seasonal", "resid", "robust_z") if components else ()
+    found = {c: np.full(given.shape, np.nan) for c in names} | ({"is_anomaly": np.zeros(given.shape, bool)} if components else {})
+    active = np.flatnonzero(~np.isnan(y).any(1)) if n >= 2 * period else np.zeros(0, np.int64)
+    report["status"][active] = "not_conformed"
+    # The tables take n decompositions to make and serve all batches of a worker.
+    linear = not robust and n * n <= CELLS and len(active) * max_iter >= n
+    for step in range(1, max_iter + 1):
+        if not len(active):
+            break
+        now = y[active]
+        trend, season, resid = _residuals(now, period, robust, linear, components or method == "stl_rebuild")
+        off = resid - np.median(resid, 1, keepdims=True)
+        mad, sd = np.median(np.abs(off), 1, keepdims=True), resid.std(1, keepdims=True)
+        z = np.where(mad > 0, 0.6745 * off / np.where(mad > 0, mad, 1), np.where(sd > 0, off / np.where(sd > 0, sd, 1), 0.0))
+        hit = np.abs(z) >= z_thresh
+        rate, hits = hit.mean(1), hit.sum(1)
+        report["iterations"][active], report["final_rate"][active], report["final_n_anomalies"][active] = step, rate, hits
+        if step == 1:
+            report["initial_rate"][active] = rate
+        for c, values in zip((*names, "is_anomaly"), (trend, season, resid, z, hit), strict=True) if components else ():
+            found[c][active] = values
+        ok = rate <= target_rate
+        report["status"][active[ok]] = "ok"
+        report["n_replaced"][active[~ok]] += hits[~ok]
+        new = np.where(hit, trend + season, now) if method == "stl_rebuild" else np.where(hit, np.nan, now)
+        if method == "interp":
+            for k in np.flatnonzero(~ok & (hits > 0)):
+                new[k] = _line(new[k])
+        old = given[active]
+        stalled = ~ok & ((new == old) | (np.isnan(new) & np.isnan(old))).all(1)
+        report["status"][active[stalled]] = "stalled"
+        on = ~ok & ~stalled
+        active = active[on]
+        y[active] = given[active] = new[on]
+    return given, report, found
+
+
 def treat_anomalies(
     df: DataFrame,
     period: int = 24,
@@ -226,52 +289,64 @@ def treat_anomalies(
 
     Gaps are filled for the decomposition only: a series that conforms at once comes back as it was, one that is replaced in without gaps.
     codes limits the areas that are treated; the others pass through, without a row in the report.
-    The whole loop of an area is one task's work; it runs once, its result is stored for all tables. Status: ok, stalled (nothing changed), not_conformed
+    The whole loop of an area is one task's work, for many areas of a length at once (about CELLS points); it runs once, its result is stored for all tables. Status: ok, stalled (nothing changed), not_conformed
     (max_iter reached; rate and anomalies are those before the last replacement, which still holds). n_replaced counts the points of all rounds.
     """
     if not 0 <= target_rate <= 1 or max_iter < 1:
         raise ValueError("target_rate must be in 0 to 1, max_iter 1 or more")
     if method not in ("interp", "stl_rebuild"):
         raise ValueError("method must be 'interp' or 'stl_rebuild'")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
-        given = pdf[value].to_numpy(float)
-        y, none = _line(given), np.full(len(given), np.nan)
-        out = pdf.assign(iterations=0, initial_rate=np.nan, final_rate=np.nan, final_n_anomalies=0, n_points=len(y), n_replaced=0, status="too_short")
-        out = out.assign(trend=none, seasonal=none, resid=none, robust_z=none, is_anomaly=False)
-        if len(y) < 2 * period or np.isnan(y).any():
-            return out
-        first, status, replaced = np.nan, "not_conformed", 0
-        for step in range(1, max_iter + 1):
-            trend, season, resid = stl(y, period, robust)
-            off = resid - np.median(resid)
-            mad, sd = np.median(np.abs(off)), resid.std()
-            z = 0.6745 * off / mad if mad > 0 else off / sd if sd > 0 else np.zeros(len(y))
-            hit = np.abs(z) >= z_thresh
-            rate = hit.mean()
-            first = rate if step == 1 else first
-            if rate <= target_rate:
-                status = "ok"
-                break
-            replaced += int(hit.sum())
-            new = np.where(hit, trend + season, y) if method == "stl_rebuild" else _line(np.where(hit, np.nan, y))
-            if np.array_equal(new, given, equal_nan=True):
-                status = "stalled"
-                break
-            y = given = new
-        out = out.assign(**{value: given, "iterations": step, "initial_rate": first, "final_rate": rate, "final_n_anomalies": int(hit.sum()), "n_replaced": replaced, "status": status})
-        return out.assign(trend=trend, seasonal=season, resid=resid, robust_z=z, is_anomaly=hit)
+    names = [x.split()[0] for x in REPORT.split(", ")]
+    parts = [x.split()[0] for x in COMPONENTS.split(", ")] if components else []
+    kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+
+    def treat(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        values = table.column(value).to_numpy().astype(float)
+        starts = np.flatnonzero(table.column("_place").to_numpy() == 1)
+        sizes = np.diff(np.append(starts, len(values)))
+        reports = {c: np.zeros(len(starts), object if c == "status" else float if "rate" in c else np.int64) for c in names}
+        found = {c: np.zeros(len(values), bool if c == "is_anomaly" else float) for c in parts}
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            at = starts[own][:, None] + np.arange(n)
+            values[at], report, more = _treated(values[at], period, z_thresh, target_rate, max_iter, method, robust, components)
+            for c in names:
+                reports[c][own] = report[c]
+            for c in parts:
+                found[c][at] = more[c]
+        whole = pa.StructArray.from_arrays([pa.array(reports[c], kind, from_pandas=True) for c, kind in zip(names, kinds, strict=True)], names)
+        place = np.zeros(len(values), np.int64)
+        place[starts] = np.arange(len(starts))
+        first = np.ones(len(values), bool)
+        first[starts] = False
+        columns = [table.column(key), table.column(ts), pa.array(values, from_pandas=True), whole.take(pa.array(place, mask=first))]
+        columns += [pa.array(found[c], from_pandas=True) for c in parts]
+        yield from pa.table(columns, [key, ts, value, "_report", *parts]).combine_chunks().to_batches(CELLS // 10)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("_place")).to_numpy() == 1)
+            if size + len(batch) > CELLS and len(starts) and size + starts[-1]:
+                yield from treat([*held, batch.slice(0, starts[-1])])
+                held, size, batch = [], 0, batch.slice(starts[-1])
+            held.append(batch)
+            size += len(batch)
+        if size:
+            yield from treat(held)
 
     every = df.select(key, ts, F.col(value).cast("double").alias(value))
     rows = every if codes is None else every.where(F.col(key).isin(codes))
+    order = F.col(ts).asc_nulls_last()
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(order))).sortWithinPartitions(key, order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    both = stored(rows.groupBy(key).applyInPandas(fit, f"{schema}, {REPORT}, {COMPONENTS}"), "treated")
-    names = [x.split()[0] for x in REPORT.split(", ")]
+    structure = ", ".join(x.replace(" ", ": ") for x in REPORT.split(", "))
+    both = stored(placed.mapInArrow(fit, f"{schema}, _report struct<{structure}>" + (f", {COMPONENTS}" if components else "")), "treated")
     treated = both.select(key, ts, value)
     if codes is not None:
         treated = treated.unionByName(every.where(~F.col(key).isin(codes) | F.col(key).isNull()))
-    report = both.groupBy(key).agg(*[F.max(c).alias(c) for c in names])
+    report = both.where(F.col("_report").isNotNull()).select(key, "_report.*")
     if not components:
         return treated, report
-    return treated, report, both.select(key, ts, *[x.split()[0] for x in COMPONENTS.split(", ")])
+    return treated, report, both.select(key, ts, *parts)

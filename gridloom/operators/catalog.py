@@ -13,8 +13,8 @@ from gridloom.operators.prism import prism_table
 from gridloom.operators.quality import preprocess_load
 from gridloom.operators.short_term import short_term_table
 from gridloom.operators.spatial import assign_units, nearest_units, with_centroid
-from gridloom.operators.timeseries import align_weather, local_of
-from gridloom.operators.weather_model import expand_by_population, normalize_weather, per_capita
+from gridloom.operators.timeseries import local_of
+from gridloom.operators.weather_model import expand_by_population, normalize_by_weather, per_capita
 from gridloom.storage import stored
 
 
@@ -105,7 +105,7 @@ def complete(
     city = "city" if "city" in weather.columns and "city" in areas.columns else None
     if city:
         treated = treated.join(city_of(areas), "code")
-    normal = normalize_weather(treated, align_weather(treated, weather, city=city, zone=zone)).select("code", "ts", "kwh")
+    normal = normalize_by_weather(treated, weather, city=city, zone=zone).select("code", "ts", "kwh")
     if zone:
         normal = normal.withColumn("ts", local_of(F.col("ts"), zone))
     heads = stored(per_capita(normal, people, strict=False), "heads")

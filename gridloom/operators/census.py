@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import correlation
-from gridloom.operators.timeseries import monthly_energy
+from gridloom.functions.columns import correlation, month_of
+from gridloom.operators.timeseries import AGGREGATES, monthly_energy
 from gridloom.storage import stored
 
 #: Fixed value: the feature of census files that counts people.
 POPULATION = "Population and dwelling counts / Population, 2021"
-#: Areas of a block that meets another block in one task.
-BLOCK = 5000
+#: Areas without load of a block that meets a block of donors in one task, and donors of such a block: a search takes hardly longer in a larger tree.
+BLOCK, DONORS = 5000, 50_000
 
 
 def select_features(
@@ -42,7 +42,10 @@ def select_features(
     """
     if method not in ("spearman", "pearson"):
         raise ValueError("method must be 'spearman' or 'pearson'")
-    monthly = monthly_energy(load, how, key)
+    if how not in ("sum", "mean"):
+        raise ValueError("how must be 'sum' or 'mean'")
+    by_month = stored(load.groupBy(key, month_of("ts").alias("ts")).agg(AGGREGATES[how]("kwh").alias("kwh")), "months")  # a row per area and month; load may be long
+    monthly = monthly_energy(by_month, how, key)
     codes = monthly.select(key).distinct().join(census.select(key).distinct(), key, "left_semi")
     n = codes.agg(F.count(F.lit(1)).alias("areas"))
     own = census.where(F.col("value").isNotNull()).join(codes, key, "left_semi")
@@ -177,7 +180,7 @@ def nearest_donor(census: DataFrame, features: DataFrame, targets: DataFrame, do
     givers = vectors.join(donors.select(key).distinct(), key, "left_semi")
     again = vectors.select(*[F.col(c).alias(c) for c in vectors.columns])  # columns of its own, as both sides meet below
     askers = again.join(targets.select(key).distinct(), key, "left_semi")
-    shards, blocks = (max(1, -(-x.count() // BLOCK)) for x in (donors, targets))
+    shards, blocks = (max(1, -(-x.count() // n)) for x, n in ((donors, DONORS), (targets, BLOCK)))
     draw = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     givers = givers.withColumn("shard", draw(shards)).withColumn("block", every(blocks))

@@ -51,8 +51,11 @@ def preprocess_load(
     once = df.groupBy(key, ts).agg(F.sum(number(value)).alias(value))
     full = clip_negatives(regularize(once, step, key, ts, value) if step else once, value, clip)
     qc = qc_profile(full, None, key, ts, value)
-    share = F.count(value).over(Window.partitionBy(key)) / F.count(F.lit(1)).over(Window.partitionBy(key))
-    kept = full.withColumn("_share", share).where(F.col("_share") >= min_coverage).drop("_share")
+    kept = full
+    if min_coverage > 0:
+        own = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order that later steps need
+        share = F.count(value).over(own) / F.count(F.lit(1)).over(own)
+        kept = full.withColumn("_share", share).where(F.col("_share") >= min_coverage).drop("_share")
     if fill == "ffill":
         kept = ffill(kept, key, ts, value, max_fill)
     elif fill == "interpolate":

@@ -20,8 +20,11 @@ def regularize(
 ) -> DataFrame:
     """(key, ts, value) on a full grid of step from the first to the last time, null where a row is missing.
 
-    The range is that of all keys together, or each key's own. Rows off the grid are left out.
+    The range is that of all keys together, or each key's own. Rows off the grid are left out. Steps of a fixed length take no join.
     """
+    unit = step.split()[-1].lower().rstrip("s")
+    if unit in ("second", "minute", "hour", "day", "week") and df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        return _between(df, step, key, ts, value, own_range)
     ends = df.groupBy(key).agg(F.min(ts).alias("from"), F.max(ts).alias("to"))
     if not own_range:
         whole = df.agg(F.min(ts).alias("from"), F.max(ts).alias("to"))
@@ -30,7 +33,40 @@ def regularize(
     return grid.join(df.select(key, ts, value), [key, ts], "left")
 
 
-def _with_neighbours(df: DataFrame, key: str, ts: str, value: str, ranges: int | None) -> DataFrame:
+def _micros(c: Column) -> Column:
+    """Microseconds of a time without zone, whatever the session's zone is."""
+    day = F.unix_date(c.cast("date")).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return day * 1000000 + (F.date_part(F.lit("SECOND"), c) * 1000000).cast("long")
+
+
+def _between(df: DataFrame, step: str, key: str, ts: str, value: str, own_range: bool) -> DataFrame:
+    """regularize where all steps are of one length: each row makes the steps up to the next row of its key, the first also those before it.
+
+    A row off the grid stands one step before the grid, so it makes none of its own.
+    """
+    rows = df.select(key, ts, value)
+    if own_range:
+        own = Window.partitionBy(key)
+        rows = rows.withColumns({"_from": F.min(ts).over(own), "_to": F.max(ts).over(own)})
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))))  # one row
+    since = lambda a, b: _micros(b) - _micros(F.col(a))
+    size = since("_from", F.col("_from") + F.expr(f"interval {step}"))
+    on = F.coalesce(since("_from", F.col(ts)) % size == 0, F.lit(False)) & F.col(key).isNotNull()
+    rows = rows.withColumns({"_on": on, "_size": size, "_last": F.floor(since("_from", F.col("_to")) / size)})
+    rows = rows.withColumn("_at", F.when(F.col("_on"), (since("_from", F.col(ts)) / F.col("_size")).cast("long")).otherwise(F.lit(-1).cast("long")))
+    # A number of its own, as tasks aren't to be merged by the size of rows that become many.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    order = Window.partitionBy(key).orderBy("_at")
+    after = F.coalesce(F.lead("_at").over(order) - 1, F.col("_last"))
+    rows = rows.withColumns({"_first": F.row_number().over(order) == 1, "_end": F.greatest(F.col("_at"), after)})
+    steps = F.sequence(F.when(F.col("_first"), F.least("_at", F.lit(0).cast("long"))).otherwise(F.col("_at")), F.col("_end"))
+    full = rows.withColumn("_k", F.explode(steps)).where("_k >= 0 AND _size IS NOT NULL")
+    time = F.timestamp_add("MICROSECOND", F.col("_k") * F.col("_size"), F.col("_from"))
+    return full.select(key, time.alias(ts), F.when(F.col("_k") == F.col("_at"), F.col(value)).alias(value))
+
+
+def _with_neighbours(df: DataFrame, key: str | list[str], ts: str, value: str, ranges: int | None) -> DataFrame:
     """df with _place (row number), and _before and _after: (place, hit) of the nearest value at or before and at or after each row.
 
     Both look back over a running frame, the second in reversed order: a frame that runs to the end of
@@ -38,7 +74,7 @@ def _with_neighbours(df: DataFrame, key: str, ts: str, value: str, ranges: int |
     long for a task.
     """
     if ranges:
-        return with_neighbours(df, [key], ts, F.col(value), ranges)
+        return with_neighbours(df, [key] if isinstance(key, str) else key, ts, F.col(value), ranges)
     order = Window.partitionBy(key).orderBy(ts)
     place = F.row_number().over(order)
     here = F.when(F.col(value).isNotNull(), F.struct(F.col("_place").alias("place"), F.col(value).alias("hit")))
@@ -49,7 +85,7 @@ def _with_neighbours(df: DataFrame, key: str, ts: str, value: str, ranges: int |
 
 
 def interpolate_both(
-    df: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None, ranges: int | None = None
+    df: DataFrame, key: str | list[str] = "code", ts: str = "ts", value: str = "kwh", limit: int | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Missing values become linear by row position; those before the first or after the last take the nearest.
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.timeseries import instants_of, interpolate_both
+from gridloom.storage import stored
+
 BASES = (8.0, 24.0, 0.5)
 
 
@@ -29,6 +32,27 @@ def normalize_weather(
     return load.drop(value).join(adjusted, [key, ts], "left").select(*load.columns)
 
 
+def normalize_by_weather(
+    load: DataFrame, weather: DataFrame, key: str = "code", ts: str = "ts", value: str = "kwh", temperature: str = "temperature", city: str | None = None, zone: str | None = None
+) -> DataFrame:
+    """normalize_weather of load and align_weather(load, weather), for load that has a key's time once: no join of load with itself.
+
+    Gaps of temperature are searched first, as only they need the order of rows.
+    """
+    on = [city, ts] if city else [ts]
+    if zone:
+        weather = instants_of(weather, zone, ts, [city] if city else [], temperature)
+    weather = stored(weather.groupBy(*on).agg(F.avg(temperature).alias(temperature)), "weather")
+    rows = load.join(weather, on, "left").withColumn("_none", F.col(value).isNull())
+    if rows.where(~F.col("_none") & F.col(temperature).isNull()).limit(1).count():
+        rows = interpolate_both(rows, [key, "_none"], ts, temperature)
+    used = rows.where(~F.col("_none") & F.col(temperature).isNotNull())
+    fit = used.groupBy(key).agg(F.covar_pop(temperature, value).alias("_cov"), F.var_pop(temperature).alias("_var"), F.avg(temperature).alias("_mean"))
+    slope = F.when(F.col("_var") > 0, F.col("_cov") / F.col("_var")).otherwise(0.0)
+    new = F.when(F.col(ts).isNotNull(), F.col(value) - slope * (F.col(temperature) - F.col("_mean")))
+    return rows.join(fit, key, "left").withColumn(value, new).select(*load.columns)
+
+
 def per_capita(
     df: DataFrame, population: DataFrame, strict: bool = True, key: str = "code", value: str = "kwh", people: str = "population"
 ) -> DataFrame:

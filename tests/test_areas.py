@@ -457,3 +457,16 @@ def test_footprints_are_tested_once_for_a_place(spark, monkeypatch):
     more = lambda spark, d, name: table(spark, d, name).withColumn("p_partkey", F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + far))) if name == "part" else table(spark, d, name)
     monkeypatch.setattr(fixtures, "table", more)
     assert registry.QUERIES["assign_footprints"](spark, "/root/testdata/sf0.001").count() == 2 * found and seen[0] == seen[1]
+
+
+def test_donors_of_several_blocks(spark, monkeypatch):
+    """The nearest donor is the same in one block of donors and in many."""
+    facts = spark.range(60).selectExpr("cast(id as string) as code", "'f' as feature", "cast(id * 17 % 61 as double) as value")
+    features = spark.createDataFrame([("f", 1.0)], "feature string, score double")
+    donors, targets = (facts.where(f"cast(code as int) % 5 {c} 0").select("code") for c in ("<>", "="))
+    found = []
+    for donors_at_once in (census.DONORS, 7):
+        monkeypatch.setattr(census, "DONORS", donors_at_once)
+        monkeypatch.setattr(census, "BLOCK", 5)
+        found.append(sorted(map(tuple, census.nearest_donor(facts, features, targets, donors).collect())))
+    assert found[0] == found[1] and len(found[0]) == 12

@@ -227,3 +227,35 @@ def test_treatment_leaves_gaps_of_a_series_that_conforms(spark):
     assert treated.where("kwh is null").count() == 0 and report.first().n_replaced >= 1
     other, none = anomalies.treat_anomalies(spiked, target_rate=0.0, codes=["zz"])
     assert none.count() == 0 and other.exceptAll(spiked).count() == 0
+
+
+@pytest.mark.parametrize(("method", "robust"), [("interp", False), ("stl_rebuild", False), ("interp", True)])
+def test_treatment_of_many_areas_is_that_of_each(monkeypatch, method, robust):
+    """Series of a length are treated together by tables, fewer decompositions than rounds, with the same hits and statuses."""
+    rng = np.random.default_rng(5)
+    y = 5 + np.sin(np.arange(96) * np.pi / 12) + rng.normal(0, 0.1, (40 if not robust else 4, 96))
+    y[rng.random(y.shape) < 0.03] += 4
+    y[0, 5:9], y[1], y[2] = np.nan, np.nan, 0.0
+    calls, stl = [], anomalies.stl
+    monkeypatch.setattr(anomalies, "stl", lambda *a: calls.append(a) or stl(*a))
+    anomalies._linear.cache_clear()
+    together = anomalies._treated(y, 24, 3.0, 0.001, 10, method, robust, True)
+    assert robust or len(calls) == 96
+    for k in range(len(y)):
+        alone = anomalies._treated(y[k : k + 1], 24, 3.0, 0.001, 10, method, robust, True)
+        assert np.allclose(together[0][k], alone[0][0], equal_nan=True, atol=1e-9)
+        for one, all_ in zip(alone[1:], together[1:], strict=True):
+            for c in one:
+                same = one[c][0] == all_[c][k] if c == "status" else np.allclose(one[c][0].astype(float), all_[c][k].astype(float), equal_nan=True, atol=1e-6)
+                assert same, (k, c)
+
+
+def test_areas_longer_and_shorter_than_a_batch(spark, monkeypatch):
+    """Each area keeps its own rows and report where batches end within areas; a null key is an area."""
+    hours = "transform(sequence(0, n - 1), k -> struct(timestamp_ntz'2024-01-01' + make_dt_interval(0, k) as ts, 5 + sin(k / 12 * pi()) + if(k = 30, 9, 0) as kwh))"
+    areas = spark.createDataFrame([(f"a{k:02}", 60 + k) for k in range(30)] + [("long", 4000), (None, 70), ("short", 10)], "code string, n int")
+    treated, report = anomalies.treat_anomalies(areas.selectExpr("code", f"inline({hours})"), z_thresh=8.0, target_rate=0.5)
+    got = {r.code: r for r in report.collect()}
+    sizes = {r.code: r["count"] for r in treated.groupBy("code").count().collect()}
+    want = {r.code: r.n for r in areas.collect()}
+    assert sizes == want == {c: r.n_points for c, r in got.items()} and got["short"].status == "too_short" and got["a00"].status == "ok"

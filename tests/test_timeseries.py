@@ -189,3 +189,38 @@ def test_months_are_checked():
     with pytest.raises(ValueError):
         months_of("ts", [0])
     assert F.col("x") is not None
+
+
+def test_grids_of_fixed_steps_take_no_join(spark):
+    """As by a join with the grid: rows off it, repeated ones, those without time or key, and keys with none on it."""
+    rows = [("a", "2024-03-10 01:00:00", 1.0), ("a", "2024-03-10 04:00:00", 2.0), ("a", "2024-03-10 04:00:00", 3.0), ("a", "2024-03-10 02:30:00", 4.0), ("a", None, 5.0)]
+    rows += [("b", "2024-03-10 03:00:00", None), (None, "2024-03-10 02:00:00", 6.0), ("c", "2024-03-10 02:20:00", 7.0), ("d", None, 8.0), ("e", "2024-03-10 00:00:00", 9.0)]
+    df = spark.createDataFrame(rows, "code string, ts string, kwh double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Toronto")  # its clocks skip an hour here
+    try:
+        for own in (False, True):
+            ends = df.groupBy("code").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+            if not own:
+                ends = ends.select("code").crossJoin(df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")))
+            grid = ends.select("code", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts"))
+            want = grid.join(df, ["code", "ts"], "left").select("code", "ts", "kwh")
+            got = timeseries.regularize(df, own_range=own)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_weather_normalises_without_joining_load_to_itself(spark):
+    """As in two steps, with gaps of temperature, missing load and areas without weather; the load is in one join by area only."""
+    hours = spark.range(60).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id as int)) as ts", "id")
+    load = hours.selectExpr("'a' as code", "ts", "if(id % 7 = 0, null, cast(id * 5 % 13 as double)) as kwh").union(hours.selectExpr("'b'", "ts", "cast(id * 3 % 17 as double)"))
+    load = load.union(spark.range(3).selectExpr("'c'", "timestamp_ntz'2025-01-01' + make_dt_interval(0, cast(id as int))", "1.0D"))
+    weather = hours.where("id % 9 <> 2").selectExpr("ts", "cast(id * 7 % 11 as double) as temperature")
+    want = weather_model.normalize_weather(load, timeseries.align_weather(load, weather))
+    got = weather_model.normalize_by_weather(load, weather)
+    rows = lambda df: sorted((r.code, str(r.ts), None if r.kwh is None else round(r.kwh, 9)) for r in df.collect())
+    assert rows(got) == rows(want) and got.columns == load.columns
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter, ((code")
+    assert joins(got) < joins(want)
